@@ -18,6 +18,8 @@ BITS = 20
 SAMPLE = 30_000
 EPOCHS = 2
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
+#: Log-odds before any evidence: without weights a document is not toxic.
+PRIOR = -2.0
 #: From this score on a document counts as toxic.
 TOXIC = 0.5
 #: One label in so many folds is held out.
@@ -53,7 +55,7 @@ class Ftrl:
 
     def learn(self, i: np.ndarray, label: int) -> None:
         w = self.weights(i)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        g = 1 / (1 + np.exp(-np.clip(w.sum() + PRIOR, -35, 35))) - label
         sigma = (np.sqrt(self.n[i] + g * g) - np.sqrt(self.n[i])) / ALPHA
         self.z[i] += g - sigma * w
         self.n[i] += g * g
@@ -100,7 +102,7 @@ def _scorer(index: list[int], weight: list[float]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total = np.full(batch.num_rows, table[1 << BITS])
+            total = np.full(batch.num_rows, table[1 << BITS] + PRIOR)
             for first, n, doc, i in _runs(batch["text"]):
                 known = table[i] != 0
                 each = np.unique(doc[known] * (1 << BITS) + i[known])
