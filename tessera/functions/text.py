@@ -66,7 +66,7 @@ def tidy(text: Column) -> Column:
     """Collapse blanks, then newlines, then trim each line and the whole."""
     out = F.regexp_replace(text, r"[\t\r\f\x0B]+", " ")
     out = F.regexp_replace(F.regexp_replace(out, " +", " "), r"\n{3,}", "\n\n")
-    return F.trim(F.regexp_replace(F.array_join(F.transform(F.split(out, "\n"), F.trim), "\n"), r"^\n+|\n+$", ""))
+    return F.trim(F.regexp_replace(F.array_join(F.transform(F.split(out, "\n"), lambda line: F.trim(line)), "\n"), r"^\n+|\n+$", ""))
 
 
 @F.pandas_udf(StringType())
