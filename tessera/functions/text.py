@@ -154,7 +154,8 @@ def duration(ms: Column) -> Column:
     """1.23s, 2m 3s or 1h 2m."""
     s = F.floor(ms / 1000)
     return (
-        F.when(s < 60, F.format_string("%.2fs", F.floor(ms / 10.0 + 0.5) / 100.0))
+        F.when(ms.isNull(), F.lit(None).cast("string"))
+        .when(s < 60, F.format_string("%.2fs", F.floor(ms / 10.0 + 0.5) / 100.0))
         .when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60))
         .otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s / 60) % 60))
     )

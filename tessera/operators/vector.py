@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.operators.ranking import top_per_query
 
@@ -27,7 +28,7 @@ def broken(vector: Column) -> Column:
     return F.exists(vector, F.isnan)
 
 
-def _block(ids: list, matrix: np.ndarray, limit: int):
+def _block(ids: list, matrix: np.ndarray, limit: int, q_type: pa.DataType):
     norms = np.linalg.norm(matrix, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,7 +47,7 @@ def _block(ids: list, matrix: np.ndarray, limit: int):
             order = np.argsort(keys, kind="stable")
             best = order[np.argsort(-score[:, order], axis=1, kind="stable")[:, :limit]]
             q = np.repeat(np.arange(len(ids)), best.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), pa.array(keys[best.reshape(-1)].tolist()), pa.array(score[q, best.reshape(-1)])], ["query_id", "id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q], q_type), pa.array(keys[best.reshape(-1)].tolist(), batch["id"].type), pa.array(score[q, best.reshape(-1)])], ["query_id", "id", "score"])
 
     return run
 
@@ -60,6 +61,7 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     asked = queries.select("query_id", "embedding").where("embedding is not null").orderBy("query_id")
     n = asked.count()
     id_type, q_type = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    arrow_type = to_arrow_type(queries.schema["query_id"].dataType)
     schema = f"query_id {q_type}, id {id_type}, score double"
     found = queries.sparkSession.createDataFrame([], schema)
     for first in range(0, n, QUERY_BLOCK):
@@ -67,6 +69,6 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
         matrix = np.array([r["embedding"] for r in block], np.float64)
         if np.isnan(matrix).any():
             raise ValueError("a query vector holds NaN")
-        part = vectors.select("id", "embedding").mapInArrow(_block([r["query_id"] for r in block], matrix, limit), schema)
+        part = vectors.select("id", "embedding").mapInArrow(_block([r["query_id"] for r in block], matrix, limit, arrow_type), schema)
         found = part if first == 0 else found.unionByName(part)
     return top_per_query(found, limit, "id")

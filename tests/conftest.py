@@ -18,6 +18,6 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
-    s.sparkContext.setLogLevel("ERROR")
+    s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
