@@ -39,6 +39,11 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages now, not when the driver next collects its garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def without(df: DataFrame, *names: str) -> list[str]:
     """Columns of ``df`` but those that an operator is about to add under these names."""
     gone = {n.lower() for n in names}
