@@ -8,6 +8,7 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,9 +17,9 @@ from .common import packed, quoted, without
 from .pieces import PieceIds, gather, spans
 
 #: Text bytes of a block of documents whose pieces are merged together.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 10 << 20
 #: Documents in an Arrow batch on the way back.
-ROWS_OUT = 512
+ROWS_OUT = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,6 +41,10 @@ class Replay:
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.merged: dict[int, int] = {}
 
+    @staticmethod
+    def _code(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return first.astype(np.int64) << 32 | second
+
     def _rank(self, codes: np.ndarray) -> np.ndarray:
         """The token that each pair of tokens merges to, or -1."""
         each, back = np.unique(codes, return_inverse=True)
@@ -70,13 +75,13 @@ class Replay:
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = spans(np.fromiter(map(len, words), np.int64, len(words)))
         n = len(raw)
-        tok = self.byte[raw].astype(np.int64)
-        right, left = np.arange(1, n + 1), np.arange(-1, n - 1)
+        tok = self.byte[raw]
+        right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         right[ends[1:] - 1], left[ends[:-1]] = -1, -1
         index: dict[int, list] = {}
         heap: list[int] = []
-        at = np.flatnonzero(right >= 0)
-        self._enter(index, heap, at, tok[at] << 32 | tok[at + 1])
+        at = np.flatnonzero(right >= 0).astype(np.int32)
+        self._enter(index, heap, at, self._code(tok[at], tok[at + 1]))
         while heap:
             rank = heappop(heap)
             held = index.pop(rank)
@@ -101,7 +106,7 @@ class Replay:
             before = left[at]
             near = np.unique(np.concatenate([before[before >= 0], at[linked]]))
             if len(near):
-                self._enter(index, heap, near, tok[near] << 32 | tok[right[near]])
+                self._enter(index, heap, near, self._code(tok[near], tok[right[near]]))
         stays = tok >= 0
         return tok[stays].astype(np.int32), np.diff(spans(stays)[ends])
 
@@ -119,13 +124,20 @@ class Replay:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """Runs of rows with about ``most`` bytes of text, whatever the batches hold."""
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch["text"].nbytes
-        if size >= most:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().astype(np.int64))
+        i = 0
+        while i < batch.num_rows:
+            before = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, before + most - size, "right")))
+            held.append(batch.slice(i, j - i))
+            size += int(ends[j - 1]) - before
+            if j < batch.num_rows or size >= most:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+            i = j
     if held:
         yield pa.Table.from_batches(held)
 
@@ -135,34 +147,31 @@ def _encoder(path: str, pattern: str, block_bytes: int):
         split = regex.compile(pattern).findall
         cache = PieceIds(Replay(read_ranks(path)).pieces)
         for block in _blocks(batches, block_bytes):
-            pieces: list[str] = []
-            counts = []
-            for text in block["text"]:
-                found = split(text.as_py() or "")
-                counts.append(len(found))
-                pieces += found
-            flat, lens = cache(pieces)
-            ends = spans(lens)[spans(np.array(counts, np.int64))]
+            cache.start()
+            numbers = [cache.add(split(text.as_py() or "")) for text in block["text"]]
+            lots = [(i, min(i + ROWS_OUT, len(numbers))) for i in range(0, len(numbers), ROWS_OUT)]
             rows = block["row"].combine_chunks()
             rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
-            for i in range(0, block.num_rows, ROWS_OUT):
-                j = min(i + ROWS_OUT, block.num_rows)
-                ids = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.array(flat[ends[i] : ends[j]]))
+            for i, j in lots:
+                flat, lens = cache.ids(np.concatenate(numbers[i:j]))
+                ends = spans(lens)[spans(np.array([len(x) for x in numbers[i:j]]))]
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), ids], ["row", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, path: str, pattern: str, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
     """Add ids: each match of ``pattern`` encoded separately by the ranks in ``path``, without special tokens.
 
     The distinct pieces of a block of documents go through one merge replay; there is no
     shuffle, and a task holds one block (``block_bytes`` of text, or one longer text) at a time. A null text counts
-    as empty and has no ids. Same-named columns are replaced.
+    as empty and has no ids. Returns the ``carry`` columns (default: all; same-named ones are replaced) with ids.
     """
-    rows = docs.select(packed(docs, "ids").alias("row"), quoted(text_col)[0].alias("text"))
+    kept = docs.select(*quoted(*(carry if carry is not None else docs.columns)))
+    rows = docs.select(packed(kept, "ids").alias("row"), quoted(text_col)[0].alias("text"))
     schema = rows.select("row", F.array(F.lit(0)).alias("ids")).schema
-    return rows.mapInArrow(_encoder(path, pattern, block_bytes), schema).select(*[F.col("row").getField(c).alias(c) for c in without(docs, "ids")], "ids")
+    return rows.mapInArrow(_encoder(path, pattern, block_bytes), schema).select(*[F.col("row").getField(c).alias(c) for c in without(kept, "ids")], "ids")
 
 
 def _decoder(path: str):
@@ -173,15 +182,13 @@ def _decoder(path: str):
         flat, starts = np.frombuffer(b"".join(t for _, t in tokens), np.uint8), spans(lens)[:-1]
         for batch in batches:
             ids = batch["ids"].fill_null([]) if batch["ids"].null_count else batch["ids"]
-            values = ids.flatten().to_numpy()
-            at = spans(np.asarray(ids.value_lengths().to_numpy(zero_copy_only=False), np.int64))
-            own = lens[values]
-            out, ends = gather(flat, starts[values], own), spans(own)[at]
             for i in range(0, batch.num_rows, ROWS_OUT):
-                j = min(i + ROWS_OUT, batch.num_rows)
-                offsets = (ends[i : j + 1] - ends[i]).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(out[ends[i] : ends[j]]))])
-                yield pa.RecordBatch.from_arrays([batch["row"].slice(i, j - i), data], ["row", "decoded"])
+                part = ids.slice(i, ROWS_OUT)
+                values = part.flatten().to_numpy()
+                own = lens[values]
+                ends = spans(own)[spans(np.asarray(part.value_lengths().to_numpy(zero_copy_only=False), np.int64))]
+                buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(gather(flat, starts[values], own))]
+                yield pa.RecordBatch.from_arrays([batch["row"].slice(i, ROWS_OUT), pa.Array.from_buffers(pa.binary(), len(part), buffers)], ["row", "decoded"])
 
     return run
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import regex
 
@@ -27,26 +29,34 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
     return flat[np.repeat(starts - at[:-1], lens) + np.arange(at[-1])]
 
 
+class _Numbers(dict):
+    """Numbers for pieces in the order in which they are first looked up."""
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        return n
+
+
 class PieceIds:
-    """Ids of distinct pieces, encoded once per task; forgets all when it holds ``most`` pieces."""
+    """Ids of distinct pieces, encoded once; forgets all at the start of a block when it holds ``most`` pieces."""
 
-    def __init__(self, encode, most: int = 1_000_000) -> None:
+    def __init__(self, encode, most: int = 400_000) -> None:
         self.encode, self.most = encode, most
-        self.clear()
+        self.numbers, self.flat, self.lens = _Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def start(self) -> None:
+        if len(self.numbers) > self.most:
+            self.numbers, self.flat, self.lens = _Numbers(), np.zeros(0, np.int32), np.zeros(0, np.int64)
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat, self.lens = np.zeros(0, np.int32), np.zeros(0, np.int64)
+    def add(self, pieces: list[str]) -> np.ndarray:
+        """The pieces' numbers; what is new is encoded by the next ``ids``."""
+        return np.fromiter(map(self.numbers.__getitem__, pieces), np.int32, len(pieces))
 
-    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces end to end, ids per piece)."""
-        if len(self.number) > self.most:
-            self.clear()
-        new = [p for p in dict.fromkeys(pieces) if p not in self.number]
+        new = list(islice(self.numbers, len(self.lens), None))
         if new:
             flat, lens = self.encode(new)
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
             self.flat, self.lens = np.concatenate([self.flat, flat]), np.concatenate([self.lens, lens])
-        index = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
-        lens = self.lens[index]
-        return gather(self.flat, spans(self.lens)[:-1][index], lens), lens
+        lens = self.lens[numbers]
+        return gather(self.flat, spans(self.lens)[:-1][numbers], lens), lens

@@ -74,24 +74,20 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if s == 0:
             words[place[:-1][here] + 1] = padded[first[here]]
             continue
-        word = np.full(int(here.sum()), np.uint64(s) << np.uint64(60))
-        stop = np.minimum((first[here] // BLOCK + 1) * BLOCK, n)
-        for k in range(COUNTS[s]):
-            i = first[here] + k
-            word |= np.where(i < stop, padded[i], np.uint64(0)) << np.uint64(k * BITS[s])
-        words[place[:-1][here]] = word
+        start, taken = first[here], np.arange(COUNTS[s])
+        stop = np.minimum((start // BLOCK + 1) * BLOCK, n)
+        held = padded[start[:, None] + taken]
+        over = np.flatnonzero(start + COUNTS[s] > stop)
+        held[over] = np.where(start[over, None] + taken < stop[over, None], held[over], np.uint64(0))
+        parts = np.bitwise_or.reduce(held << (taken * BITS[s]).astype(np.uint64), axis=1)
+        words[place[:-1][here]] = parts | np.uint64(s) << np.uint64(60)
     return words, place[np.searchsorted(first, np.arange(blocks) * BLOCK)]
 
 
 def _bits(ids: np.ndarray, blocks: int) -> np.ndarray:
     """Bits that each id needs; 0 after the last."""
     out = np.zeros(blocks * BLOCK, np.int8)
-    left, own = ids.copy(), out[: len(ids)]
-    for step in (32, 16, 8, 4, 2, 1):
-        big = left >> np.uint64(step) > 0
-        own[big] += step
-        left = np.where(big, left >> np.uint64(step), left)
-    own += left.astype(np.int8)
+    out[: len(ids)] = np.frexp(ids.astype(np.float64))[1]  # rounding can add a bit over 2**53, which costs an escape at most
     return out.reshape(blocks, BLOCK)
 
 
@@ -147,17 +143,16 @@ def _tokenizer(path: str, pattern: str, end_id: int):
     cache = PieceIds(pieces)
 
     def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        all_pieces: list[str] = []
-        counts, whole = np.zeros(len(texts), np.int64), {}
+        cache.start()
+        numbers, whole = [], {}
         for i, text in enumerate(texts):
             if is_plain(text) and not any(s in text for s in special):
-                found = split(text)
-                counts[i] = len(found)
-                all_pieces += found
+                numbers.append(cache.add(split(text)))
             else:
+                numbers.append(np.zeros(0, np.int32))
                 whole[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        flat, lens = cache(all_pieces)
-        ends = spans(lens)[spans(counts)]
+        flat, lens = cache.ids(np.concatenate(numbers))
+        ends = spans(lens)[spans(np.array([len(x) for x in numbers]))]
         parts, close = [], np.array([end_id], np.int32)
         for i in range(len(texts)):
             parts += [whole[i] if i in whole else flat[ends[i] : ends[i + 1]], close]
