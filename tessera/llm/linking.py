@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +11,8 @@ from .common import stored
 
 #: Buckets up to this size are paired in full; a row has at most so many partners there.
 SMALL = 32
-#: In a larger bucket every row is compared with so many hubs in a round.
-HUBS = 2
-ROUNDS = 4
+#: In a larger bucket every row is compared with so many hubs.
+HUBS = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,13 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = forest.unionByName(forest.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         forest = stored(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "forest")
-        parents = forest.groupBy("u").agg(F.count("*").alias("n"))
-        open_ = parents.where("n > 1").select("u").limit(1).unionByName(forest.join(parents.select(F.col("u").alias("v")), "v", "left_semi").select("u").limit(1))
-        if open_.isEmpty():
+        ends = forest.select(F.col("u").alias("nid"), F.lit(1).alias("child"), F.lit(0).alias("head")).unionByName(forest.select(F.col("v").alias("nid"), F.lit(0).alias("child"), F.lit(1).alias("head")))
+        if ends.groupBy("nid").agg(F.sum("child").alias("child"), F.max("head").alias("head")).where("child > 1 or (child = 1 and head = 1)").isEmpty():
             break
     roots = forest.select(F.col("v").alias("nid")).distinct()
     return stored(forest.select(F.col("u").alias("nid"), F.col("v").alias("comp")).unionByName(roots.select("nid", F.col("nid").alias("comp"))), "components")
@@ -53,43 +50,40 @@ def _pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
     return near.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b"))
 
 
-def link(bands: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def second_bands(away: DataFrame, tagged: DataFrame, multi: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a row outside its bucket's main component and one of another component that share a second band too."""
+    second = multi.select("nid", F.col("key").alias("key2"))
+    finer = lambda x: x.join(second, "nid").where("key <> key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("fine"), "nid", "comp").distinct()
+    left, right = stored(finer(away), "away"), stored(finer(tagged), "all")
+    rest = left.alias("x").join(right.alias("y"), (F.col("x.fine") == F.col("y.fine")) & (F.col("x.comp") != F.col("y.comp")))
+    return rest.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+
+
+def link(bands: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Callable | None]]) -> DataFrame:
     """Verified links (a, b), a < b, among rows that share a band; ``bands`` has (key, nid, w), w a row's copies.
 
     ``prepare`` gets the rows of buckets with company and returns the check that keeps the
-    linked ones of candidate pairs. Small buckets are paired in full. In a large one
-    each row meets the hubs, first the rows with the most copies, then random members of the bucket's
-    main component; rows that joined it need no more. What stays outside after ``ROUNDS``
-    is compared with every row of another component that shares a second band with it. So rows
-    of a large group of copies make a few pairs each, and groups that only share a
-    passage fall apart before they are paired.
+    linked ones of candidate pairs, and what compares the rest of large buckets (or None for
+    ``second_bands`` and the check). Small buckets are paired in full. In a large one each row meets
+    the hubs, the rows with the most copies; rows that this joins to the bucket's main component need no
+    more. Those that stay outside are the rest: they are compared with every row of the
+    bucket in another component. So rows of a large group of copies make a few pairs each.
     """
     counts = stored(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "bucket-sizes")
     multi = stored(bands.join(counts, "key"), "buckets")
-    check = prepare(multi)
+    check, rest = prepare(multi)
     few = multi.where(F.col("size") <= SMALL).select("key", "nid")
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.nid") < F.col("y.nid"))).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
     large = multi.where(F.col("size") > SMALL).select("key", "nid", "w")
     if large.isEmpty():
         return stored(check(pairs.distinct()), "links")
     hubs = _top(large, F.col("w").desc(), F.xxhash64("nid"))
-    found = [stored(check(pairs.unionByName(_pairs(large, hubs)).distinct()), "links")]
-    union = lambda: reduce(DataFrame.unionByName, found)
-    for turn in range(ROUNDS):
-        comp = components(union())
-        rows = stored(large.join(comp, "nid", "left").select("key", "nid", "w", F.coalesce("comp", "nid").alias("comp")), "rows")
-        main = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
-        tagged = stored(rows.join(stored(main, "main"), "key"), "tagged")
-        away = tagged.where("comp <> main")
-        if away.isEmpty():
-            return union().distinct()
-        if turn + 1 < ROUNDS:
-            hubs = _top(tagged.where("comp = main"), F.xxhash64("nid", F.lit(turn)))
-            found.append(stored(check(_pairs(away, hubs).distinct()), "links"))
-    second = multi.select("nid", F.col("key").alias("key2"))
-    finer = lambda x: x.join(second, "nid").where("key <> key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("fine"), "nid", "comp").distinct()
-    left, right = stored(finer(away), "away"), stored(finer(tagged), "all")
-    rest = left.alias("x").join(right.alias("y"), (F.col("x.fine") == F.col("y.fine")) & (F.col("x.comp") != F.col("y.comp")))
-    rest = rest.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
-    found.append(stored(check(rest), "links"))
-    return union().distinct()
+    found = stored(check(pairs.unionByName(_pairs(large, hubs)).distinct()), "links")
+    rows = stored(large.join(components(found), "nid", "left").select("key", "nid", F.coalesce("comp", "nid").alias("comp")), "rows")
+    main = rows.groupBy("key", "comp").count().groupBy("key").agg(F.max(F.struct("count", "comp"))["comp"].alias("main"))
+    tagged = stored(rows.join(stored(main, "main"), "key"), "tagged")
+    away = tagged.where("comp <> main")
+    if away.isEmpty():
+        return found
+    more = rest(away, tagged) if rest else check(second_bands(away, tagged, multi))
+    return found.unionByName(stored(more, "more-links")).distinct()

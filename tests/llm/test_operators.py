@@ -252,3 +252,41 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert p.run(spark, str(tmp_path)).count() > 0
     for _, stage in p.STAGES:
         assert stage(spark, empty(spark), str(tmp_path)).count() == 0
+
+
+def test_rest_of_large_buckets_against_brute_force(spark, monkeypatch):
+    """Two families share a bucket by their first band; the hub is in one of them."""
+    monkeypatch.setattr(linking, "SMALL", 2)
+    monkeypatch.setattr(linking, "HUBS", 1)
+    monkeypatch.setattr(jaccard_join, "TILE", 8)
+    shared = words(99, 220).split()
+    texts = []
+    for family in range(3):
+        own = shared[:110] + words(family, 110).split()
+        for s in range(20):
+            w = list(own)
+            w[111 + 4 * s % 100] = f"f{family}x{s}"
+            texts.append(" ".join(w))
+    out = {r["doc_id"]: r["class_id"] for r in jaccard_join.near_duplicates(documents(spark, texts)).collect()}
+    assert out == brute_classes(list(enumerate(texts)))[0] and len(set(out.values())) == 3
+
+
+def test_tile_links_join_what_is_similar():
+    import pyarrow as pa
+
+    base = np.arange(1, 200, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.sort(np.concatenate([base[k:], base[:k] + np.uint64(1)])) for k in (0, 2, 4, 100)]
+    sig = [jaccard_join.signature(s) for s in sets]
+    same = [np.frombuffer(s, "<u4").reshape(jaccard_join.BANDS, -1) for s in sig]
+    band = next(b for b in range(jaccard_join.BANDS) if (same[0][b] == same[1][b]).all())
+    rows = lambda ids: pa.table({"nid": pa.array(ids), "comp": pa.array(ids), "band": pa.array([band] * len(ids), pa.int32()), "sig": pa.array([sig[i] for i in ids]), "set": pa.array([sets[i].tobytes() for i in ids])})
+    out = jaccard_join._tile((), rows([0]), rows([1, 3]))
+    assert out.to_pylist() == [{"a": 0, "b": 1}]
+    assert jaccard_join._tile((), rows([]), rows([1])).num_rows == 0
+
+
+def test_registry_names_each_operator():
+    from tessera.llm import registry
+
+    assert [n for k in range(1, 11) for n in registry.QUERIES if n.startswith(f"op{k}_")] == sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
+    assert set(registry.ORACLES) <= set(registry.QUERIES)
