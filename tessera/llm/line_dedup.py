@@ -14,6 +14,8 @@ from .linking import components, link
 CHARS = 10
 BANDS, ROWS = 8, 4
 SIMILAR = 0.8
+#: Rows of a tile, and its characters: the rest of a large bucket meets so many of its lines at once.
+TILE, TILE_CHARS = 64, 1 << 20
 #: A signature value is the least shingle hash after flipping the bits of one of these masks.
 _draw = random.Random(11)
 MASKS = [_draw.getrandbits(63) for _ in range(BANDS * ROWS)]
@@ -44,19 +46,50 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return least.select("same", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("keys"))
 
 
+def _near(x: Column, y: Column) -> Column:
+    """Whether two shingle sets reach the similarity; sizes that rule it out are seen first."""
+    n, m = F.size(x), F.size(y)
+    return (F.least(n, m) + 1e-9 >= SIMILAR * F.greatest(n, m)) & (F.size(F.array_intersect(x, y)) * (1 + SIMILAR) + 1e-9 >= SIMILAR * (n + m))
+
+
+def _set(line: Column) -> Column:
+    """The shingle set of a line. Lambdas bind their arguments once: a column would be put in place of its name, for every shingle anew."""
+    return F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(F.transform(_places(wide), lambda p: _shingle(wide, p))))[0]
+
+
 def _checker(lines: DataFrame):
     def prepare(multi: DataFrame):
         texts = stored(lines.join(multi.select("nid").distinct(), "nid", "left_semi").select("nid", "line"), "line-texts")
 
         def check(pairs: DataFrame) -> DataFrame:
             both = pairs.join(texts.select(F.col("nid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("nid").alias("b"), F.col("line").alias("lb")), "b")
-            # Lambdas bind their arguments once: a column would be put in place of its name, for every shingle anew.
-            near = lambda s: F.size(F.array_intersect(s["a"], s["b"])) * (1 + SIMILAR) + 1e-9 >= SIMILAR * (F.size(s["a"]) + F.size(s["b"]))
-            whole = lambda wide: F.array_distinct(F.transform(_places(wide), lambda p: _shingle(wide, p)))
-            sets = lambda w: F.exists(F.array(F.struct(whole(w["a"]).alias("a"), whole(w["b"]).alias("b"))), near)
-            return both.where(F.exists(F.array(F.struct(_wide(F.col("la")).alias("a"), _wide(F.col("lb")).alias("b"))), sets)).select("a", "b")
-
-        return check, None
+            return both.where(F.exists(F.array(F.struct(_set(F.col("la")).alias("a"), _set(F.col("lb")).alias("b"))), lambda s: _near(s["a"], s["b"]))).select("a", "b")
+
+        def rest(away: DataFrame, tagged: DataFrame) -> DataFrame:
+            """Pairs of components that a pair of similar lines joins.
+
+            Each line outside the main component meets the bucket's lines in tiles, which give the components that it is linked to and no
+            pairs of lines. A pair is looked at in the first band that it shares.
+            """
+            live = tagged.join(away.select("key").distinct(), "key", "left_semi").join(lines.select("nid", "keys", "line"), "nid")
+            live = stored(live.select("key", "nid", "comp", (F.col("comp") != F.col("main")).alias("out"), "keys", "line"), "rest-lines")
+            lots = lambda rows, name: rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.length("line")) / TILE_CHARS)).cast("int").alias(name))
+            dealt = stored(lots(live, "lots_b").join(lots(live.where("out"), "lots_a"), "key"), "lots")
+            lot = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
+            every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            tile = ["key", "lot_a", "lot_b"]
+            x = live.where("out").join(dealt, "key").select("key", lot("lots_a").alias("lot_a"), every("lots_b").alias("lot_b"), "nid", "comp", "keys", "line")
+            y = live.join(dealt, "key").select("key", lot("lots_b").alias("lot_b"), every("lots_a").alias("lot_a"), F.struct("nid", "comp", "out", "keys", "line").alias("y"))
+            # Both sides come from the same tables; new names for the columns of one keep them apart.
+            x, y = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (x, y))
+            shingled = lambda r: F.struct(r["nid"].alias("nid"), r["comp"].alias("comp"), r["out"].alias("out"), r["keys"].alias("keys"), _set(r["line"]).alias("set"))
+            y = y.groupBy(*tile).agg(F.collect_list("y").alias("ys")).select(*tile, F.transform("ys", shingled).alias("ys"))
+            other = lambda r: (r["comp"] != F.col("comp")) & (~r["out"] | (r["nid"] > F.col("nid"))) & (F.array_intersect(F.col("keys"), r["keys"])[0] == F.col("key"))
+            linked = lambda s: F.array_distinct(F.transform(F.filter("ys", lambda r: other(r) & _near(s, r["set"])), lambda r: r["comp"]))
+            met = x.join(y, tile).select("comp", F.explode(F.transform(F.array(_set(F.col("line"))), linked)[0]).alias("with"))
+            return met.select(F.least("comp", "with").alias("a"), F.greatest("comp", "with").alias("b")).distinct()
+
+        return check, rest
 
     return prepare
 

@@ -50,21 +50,12 @@ def _pairs(rows: DataFrame, hubs: DataFrame) -> DataFrame:
     return near.select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b"))
 
 
-def second_bands(away: DataFrame, tagged: DataFrame, multi: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a row outside its bucket's main component and one of another component that share a second band too."""
-    second = multi.select("nid", F.col("key").alias("key2"))
-    finer = lambda x: x.join(second, "nid").where("key <> key2").select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("fine"), "nid", "comp").distinct()
-    left, right = stored(finer(away), "away"), stored(finer(tagged), "all")
-    rest = left.alias("x").join(right.alias("y"), (F.col("x.fine") == F.col("y.fine")) & (F.col("x.comp") != F.col("y.comp")))
-    return rest.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
-
-
-def link(bands: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Callable | None]]) -> DataFrame:
+def link(bands: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Callable]]) -> DataFrame:
     """Verified links (a, b), a < b, among rows that share a band; ``bands`` has (key, nid, w), w a row's copies.
 
     ``prepare`` gets the rows of buckets with company and returns the check that keeps the
-    linked ones of candidate pairs, and what compares the rest of large buckets (or None for
-    ``second_bands`` and the check). Small buckets are paired in full. In a large one each row meets
+    linked ones of candidate pairs, and what compares the rest of large buckets (its links may
+    name a component for any row of it). Small buckets are paired in full. In a large one each row meets
     the hubs, the rows with the most copies; rows that this joins to the bucket's main component need no
     more. Those that stay outside are the rest: they are compared with every row of the
     bucket in another component. So rows of a large group of copies make a few pairs each.
@@ -85,5 +76,4 @@ def link(bands: DataFrame, prepare: Callable[[DataFrame], tuple[Callable, Callab
     away = tagged.where("comp <> main")
     if away.isEmpty():
         return found
-    more = rest(away, tagged) if rest else check(second_bands(away, tagged, multi))
-    return found.unionByName(stored(more, "more-links")).distinct()
+    return found.unionByName(stored(rest(away, tagged), "more-links")).distinct()

@@ -118,6 +118,43 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def near_lines(n, seed):
+    """Lines that keep nine tenths of one line: many pairs of them are just over the similarity, others just under."""
+    rng = np.random.default_rng(seed)
+    base, out = words(seed, 30)[:120], []
+    for i in range(n):
+        k = int(rng.integers(0, 16))
+        out.append(base[: 120 - k] + "".join(rng.choice(list("klmnop"), k)) + f"{i:02d}")
+    return out
+
+
+def brute_lines(lines, keys):
+    """Components of the lines that share a band and are similar."""
+    sets = [{t.lower()[k : k + 10] for k in range(max(1, len(t) - 9))} for t in lines]
+    comp = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if keys[a] & keys[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    return comp
+
+
+@pytest.mark.parametrize("hubs, tile", [(1, 7), (1, 64)])
+def test_rest_of_large_line_buckets_against_brute_force(spark, monkeypatch, hubs, tile):
+    """One shared band is enough in buckets of any size."""
+    monkeypatch.setattr(linking, "SMALL", 2)
+    monkeypatch.setattr(linking, "HUBS", hubs)
+    monkeypatch.setattr(line_dedup, "TILE", tile, raising=False)
+    lines = [t for seed in range(4) for t in near_lines(40, seed)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "same long, line string")
+    keys = {r["same"]: r["keys"] for r in line_dedup.band_keys(table).collect()}
+    expected = brute_lines(lines, [set(keys[i]) for i in range(len(lines))])
+    rows = table.select(F.col("same").alias("nid"), "line").join(spark.createDataFrame(list(keys.items()), "nid long, keys array<long>"), "nid")
+    bands = rows.select(F.explode("keys").alias("key"), "nid", F.lit(1).cast("long").alias("w"))
+    got = {r["nid"]: r["comp"] for r in linking.components(linking.link(bands, line_dedup._checker(rows))).collect()}
+    assert [got.get(i, i) for i in range(len(lines))] == expected and len(set(expected)) > 4
+
+
 def test_toxicity_learns_marked_words(spark):
     rng = np.random.default_rng(0)
     texts, labels = [], []
