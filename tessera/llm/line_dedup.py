@@ -12,13 +12,13 @@ from .linking import components, link
 
 #: Characters in a shingle; shorter lines are one shingle.
 CHARS = 10
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 9, 4
 SIMILAR = 0.8
 #: Rows of a tile, and its characters: the rest of a large bucket meets so many of its lines at once.
 TILE, TILE_CHARS = 64, 1 << 20
-#: A signature value is the least shingle hash after flipping the bits of one of these masks.
+#: A signature value is the least of the shingle hashes hashed anew after flipping the bits of one of these masks.
 _draw = random.Random(11)
-MASKS = [_draw.getrandbits(63) for _ in range(BANDS * ROWS)]
+MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
 
 
 def _wide(line: Column) -> Column:
@@ -42,7 +42,7 @@ def band_keys(lines: DataFrame) -> DataFrame:
     """
     wide = lines.select("same", _wide(F.col("line")).alias("wide"))
     hashes = wide.select("same", "wide", F.explode(_places(F.col("wide"))).alias("place")).select("same", _shingle(F.col("wide"), F.col("place")).alias("h"))
-    least = hashes.groupBy("same").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)])
+    least = hashes.groupBy("same").agg(*[F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(m)))).alias(f"m{i}") for i, m in enumerate(MASKS)])
     return least.select("same", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("keys"))
 
 

@@ -118,6 +118,18 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_bands_find_pairs_at_the_similarity(spark):
+    """Pairs of lines of similarity 0.8: a tenth of the shingles in each line alone, eight tenths shared."""
+    rng, rows, n = np.random.default_rng(4), [], 5000
+    text = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
+    for i in range(n):
+        k = int(rng.integers(4, 11))
+        shared = text(8 * k + 9)
+        rows += [(2 * i, shared + text(k)), (2 * i + 1, shared + text(k))]
+    keys = {r["same"]: set(r["keys"]) for r in line_dedup.band_keys(spark.createDataFrame(rows, "same long, line string")).collect()}
+    assert np.mean([bool(keys[2 * i] & keys[2 * i + 1]) for i in range(n)]) >= 0.99
+
+
 def near_lines(n, seed):
     """Lines that keep nine tenths of one line: many pairs of them are just over the similarity, others just under."""
     rng = np.random.default_rng(seed)
