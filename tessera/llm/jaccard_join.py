@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import linking
 from .common import quoted, stored
 from .linking import components, link
 from .words import grams, texts_to_words
@@ -23,6 +24,8 @@ LOOK = 8
 TOLERANCE = 1e-4
 #: Rows of a tile: the rest of a large bucket is compared in tiles of so many rows by as many.
 TILE = 256
+#: Rows of a lot, and cells of its sets, when the links of large buckets are counted.
+LOT, LOT_CELLS = 1024, 1 << 22
 #: Cells of the broadcast set of candidate rows; bounds its size.
 CELLS = 1 << 18
 
@@ -144,6 +147,44 @@ def _tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
+def _tally(table: pa.Table) -> pa.Table:
+    """(nid, others): copies that links between two lots of a bucket's rows (or inside one) give each row.
+
+    Counts the pairs that share no small bucket, in the first band that they share.
+    """
+    x = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u4").reshape(-1, HASHES)
+    sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
+    size, lot, w = np.array([len(s) for s in sets]), table["lot"].to_numpy(), table["w"].to_numpy()
+    few = (table["few"].to_numpy()[:, None] >> np.arange(BANDS)) & 1 == 1
+    lot_a, lot_b, band = (table[c][0].as_py() for c in ("lot_a", "lot_b", "band"))
+    right, needs = np.flatnonzero(lot == lot_b), np.array([fewest_matches(m) for m in range(LOOK, HASHES + 1, LOOK)])
+    others = np.zeros(len(sets), np.int64)
+    for i in np.flatnonzero(lot == lot_a).tolist():
+        near = right[right > i] if lot_a == lot_b else right
+        near = near[np.minimum(size[i], size[near]) >= SIMILAR * np.maximum(size[i], size[near]) - 1e-9]
+        same = x[i] == x[near]
+        shared = same.reshape(-1, BANDS, ROWS).all(axis=2)
+        matches = same.reshape(-1, HASHES // LOOK, LOOK).sum(axis=2).cumsum(axis=1)
+        for j in near[(shared.argmax(axis=1) == band) & ~(shared & few[i]).any(axis=1) & (matches >= needs).all(axis=1)].tolist():
+            if _similar(sets[i], sets[j]):
+                others[i] += w[j]
+                others[j] += w[i]
+    at = np.flatnonzero(others)
+    return pa.table({"nid": table["nid"].combine_chunks().take(pa.array(at)), "others": pa.array(others[at])})
+
+
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nid, others) for both ends of the links between rows that share a small bucket."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(-1, BANDS, ROWS) for c in ("sig_a", "sig_b"))
+        few = (batch["few"].to_numpy()[:, None] >> np.arange(BANDS)) & 1 == 1
+        left = batch.take(pa.array(np.flatnonzero(((x == y).all(axis=2) & few).any(axis=1))))
+        for nid, w in (("a", "w_b"), ("b", "w_a")):
+            yield pa.RecordBatch.from_arrays([left[nid], left[w]], ["nid", "others"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)
@@ -173,9 +214,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read for candidates only.
 
     class_id is the smallest id of the class (null ids last); n_links counts the other
-    documents that verified links and equal sets give a document (in buckets of more than
-    ``linking.SMALL`` texts the links that join the class, not all pairs). ``kept`` marks the
-    document of the smallest id; rows that repeat id and text share their marks.
+    documents that verified links and equal sets give a document. Links between texts that share a
+    bucket of ``linking.SMALL`` texts or fewer are all rows; those of large buckets are counted
+    apart, in tasks that give sums and no pairs. ``kept`` marks the document of the smallest id; rows that repeat id and text share their marks.
     Columns: doc id (under ``id_col``), row_key (hash of id and text), class_id, n_links, kept.
     """
     row_key = F.xxhash64(quoted(id_col)[0], quoted(text_col)[0])
@@ -186,7 +227,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rk")).alias("first")
     nodes = stored(some.groupBy("hi", "lo").agg(first, F.count("*").alias("w"), F.first("size").alias("size"), F.first("sig").alias("sig")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
+    buckets = sets = None
+
     def prepare(multi: DataFrame):
+        nonlocal buckets, sets
+        buckets = multi
         wanted = stored(nodes.join(multi.select("nid").distinct(), "nid", "left_semi").select("nid", F.col("first.rk").alias("rk")), "wanted")
         cell = F.pmod(F.col("rk"), F.lit(CELLS)).cast("int").alias("cell")
         # At most CELLS numbers are broadcast; they keep texts of rows that nobody asks for out of the shuffle.
@@ -219,8 +264,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return check, rest
 
     links = stored(link(nodes.select("nid", "w", "sig").mapInArrow(_bands, "key long, nid long, w long"), prepare), "all-links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.join(nodes.select(F.col("nid").alias("b"), "w"), "b").groupBy("a").agg(F.sum("w").alias("others")).withColumnRenamed("a", "nid")
+    band = F.col("key").bitwiseAND(F.lit(BANDS - 1)).cast("int")
+    small = F.when(F.col("size") <= linking.SMALL, F.pow(F.lit(2), band).cast("int")).otherwise(0)
+    info = stored(nodes.select("nid", "w", "sig", F.col("size").alias("cells")).join(buckets.groupBy("nid").agg(F.bit_or(small).alias("few")), "nid"), "counted")
+    a, b = (info.select(F.col("nid").alias(s), F.col("w").alias(f"w_{s}"), F.col("sig").alias(f"sig_{s}"), F.col("few").alias(f"few_{s}")) for s in "ab")
+    degree = links.join(a, "a").join(b, "b").select("a", "b", "w_a", "w_b", "sig_a", "sig_b", F.col("few_a").alias("few")).mapInArrow(_few, "nid long, others long")
+    large = buckets.where(F.col("size") > linking.SMALL).select("key", "nid").join(info, "nid")
+    lots = stored(large.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / LOT, F.sum("cells") / LOT_CELLS)).cast("int").alias("lots")), "count-lots")
+    dealt = large.join(lots, "key").select("key", "nid", "w", "sig", "few", band.alias("band"), F.pmod(F.xxhash64("nid"), F.col("lots")).cast("int").alias("lot"), F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("with"))
+    tiles = dealt.select("key", F.least("lot", "with").alias("lot_a"), F.greatest("lot", "with").alias("lot_b"), "lot", "nid", "w", "sig", "few", "band").join(sets, "nid")
+    degree = degree.unionByName(tiles.groupBy("key", "lot_a", "lot_b").applyInArrow(_tally, "nid long, others long"))
+    degree = degree.groupBy("nid").agg(F.sum("others").alias("others"))
     comp = components(links)
     grouped = nodes.select("nid", "hi", "lo", "first", "w").join(comp, "nid", "left").join(degree, "nid", "left")
     grouped = stored(grouped.select("hi", "lo", "first", (F.col("w") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("comp", "nid").alias("comp")), "grouped")

@@ -221,6 +221,21 @@ def test_near_duplicates_against_brute_force(spark, docs):
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("small, lot", [(32, 1024), (32, 16), (4, 16)])
+def test_links_of_large_classes_are_counted_whole(spark, monkeypatch, small, lot):
+    monkeypatch.setattr(linking, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "LOT", lot, raising=False)
+    base, texts = words(7, 200).split(), []
+    for s in range(70):  # close to one text, and so to one another
+        w = list(base)
+        for k in range(s % 4):
+            w[(37 * s + 50 * k) % 200] = f"new{s}x{k}"
+        texts.append(" ".join(w))
+    texts += [texts[0], texts[1], texts[1], words(8, 50), None]
+    out = {r["doc_id"]: r["n_links"] for r in jaccard_join.near_duplicates(documents(spark, texts)).collect()}
+    assert out == brute_classes(list(enumerate(texts)))[1]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(0, i) for i in range(1, 50)] + [(7, 7), (200, 201), (201, 200)]
     out = {r["nid"]: r["comp"] for r in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}
