@@ -13,13 +13,20 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Spark deletes the shuffle files of a query when it ends; only what a scratch table was written from is affected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which every executor sees.
 
-    Where the setting is missing (tests, a laptop) the session gets a folder of its own.
+    Where the setting is missing a local session (tests, a laptop) gets a folder of its own;
+    a cluster has no folder that all its machines share but the one it names.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessera.scratch.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("tessera.scratch.dir", base)
     return f"{base.rstrip('/')}/tessera-{name}-{uuid.uuid4().hex}"
@@ -29,19 +36,28 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     """Write ``df`` to a scratch table and read it back.
 
     This cuts the lineage: what comes later survives the loss of any executor
-    without running the earlier stages again.
+    without running the earlier stages again. The shuffle files behind the table go when it is written.
     """
-    path = scratch(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch(spark, name)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished stages now, not when the driver next collects its garbage."""
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Empty scratch tables that no later step reads."""
+    for t in tables:
+        t.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(t.scratch_path)
 
 
 def without(df: DataFrame, *names: str) -> list[str]:

@@ -1,93 +1,190 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame functions only."""
+"""Fuzzy line deduplication by MinHash."""
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
+from hashlib import md5
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, quoted, release, stored, without
+from .common import forget, packed, quoted, stored, without
 from .linking import components, link
+from .words import _BASE, _BYTE, _INVERSE, _power, mix, similar
 
 #: Characters in a shingle; shorter lines are one shingle.
 CHARS = 10
-BANDS, ROWS = 9, 4
+BANDS, ROWS = 7, 3
 SIMILAR = 0.8
+#: Characters hashed at once: a longer line goes in pieces that overlap by a shingle.
+STEP = 1 << 16
 #: Rows of a tile, and its characters: the rest of a large bucket meets so many of its lines at once.
-TILE, TILE_CHARS = 64, 1 << 20
-#: A signature value is the least of the shingle hashes hashed anew after flipping the bits of one of these masks.
-_draw = random.Random(11)
-MASKS = [_draw.getrandbits(64) - (1 << 63) for _ in range(BANDS * ROWS)]
-
-
-def _wide(line: Column) -> Column:
-    """Two bytes for each UTF-16 unit, so that a shingle is a slice at a known place."""
-    return F.encode(F.lower(line), "UTF-16BE")
-
-
-def _places(wide: Column) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(wide) / 2).cast("int") - CHARS))
-
-
-def _shingle(wide: Column, place: Column) -> Column:
-    return F.xxhash64(F.substring(wide, place * 2 + 1, F.lit(2 * CHARS)))
-
-
-def band_keys(lines: DataFrame) -> DataFrame:
-    """(same, keys) of lines (same, line): one key per band.
-
-    The shingles of a line are generated and reduced where the line is: grouping by ``same``
-    again needs no shuffle on lines that come out of an aggregation by it.
-    """
-    wide = lines.select("same", _wide(F.col("line")).alias("wide"))
-    hashes = wide.select("same", "wide", F.explode(_places(F.col("wide"))).alias("place")).select("same", _shingle(F.col("wide"), F.col("place")).alias("h"))
-    least = hashes.groupBy("same").agg(*[F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(m)))).alias(f"m{i}") for i, m in enumerate(MASKS)])
-    return least.select("same", F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]).alias("keys"))
-
-
-def _near(x: Column, y: Column) -> Column:
-    """Whether two shingle sets reach the similarity; sizes that rule it out are seen first."""
-    n, m = F.size(x), F.size(y)
-    return (F.least(n, m) + 1e-9 >= SIMILAR * F.greatest(n, m)) & (F.size(F.array_intersect(x, y)) * (1 + SIMILAR) + 1e-9 >= SIMILAR * (n + m))
-
-
-def _set(line: Column) -> Column:
-    """The shingle set of a line. Lambdas bind their arguments once: a column would be put in place of its name, for every shingle anew."""
-    return F.transform(F.array(_wide(line)), lambda wide: F.array_distinct(F.transform(_places(wide), lambda p: _shingle(wide, p))))[0]
-
-
-def _checker(lines: DataFrame):
+TILE, TILE_CHARS = 256, 1 << 22
+#: Text characters whose lines are sketched or compared together.
+LOT = 1 << 22
+
+_MULTIPLY = (np.random.default_rng(11).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
+
+
+def _pieces(lines: list[str]) -> tuple[list[bytes], np.ndarray]:
+    """The lower-cased lines, long ones cut into overlapping pieces, and where each line's pieces start."""
+    out, starts = [], []
+    for line in lines:
+        starts.append(len(out))
+        low = line.lower()
+        if len(low) <= STEP:
+            out.append(low.encode())
+        else:
+            out += [low[i : i + STEP + CHARS - 1].encode() for i in range(0, max(1, len(low) - CHARS + 1), STEP)]
+    return out, np.array(starts)
+
+
+def _shingles(pieces: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first piece, shingle hashes, start of each piece's) for runs of pieces; a short piece is one shingle."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(sizes)
+    i = 0
+    while i < len(pieces):
+        before = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, before + 2 * STEP, "right")))
+        data = np.frombuffer(b"".join(pieces[i:j]), np.uint8)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * _power("up", _BASE, len(data)), out=total[1:])
+        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        edge = np.searchsorted(chars, np.concatenate([[0], ends[i:j] - before]))
+        counts = np.maximum(1, np.diff(edge) - CHARS + 1)
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(edge[:-1] - starts[:-1], counts) + np.arange(starts[-1])
+        s, e = chars[at], chars[np.minimum(at + CHARS, np.repeat(edge[1:], counts))]
+        yield i, mix((total[e] - total[s]) * _power("down", _INVERSE, len(data))[s] + (e - s).astype(np.uint64)), starts
+        i = j
+
+
+def band_keys(lines: list[str]) -> np.ndarray:
+    """A key per band for each line: a hash of the band and the least of its shingles' hashes under each of the band's permutations."""
+    pieces, starts = _pieces(lines)
+    least = np.empty((len(pieces), BANDS * ROWS), np.uint32)
+    for i, h, at in _shingles(pieces):
+        halves = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+        for v, m in enumerate(_MULTIPLY):
+            least[i : i + len(at) - 1, v] = np.minimum.reduceat(halves[v % 2] * m, at[:-1])
+    values = np.minimum.reduceat(least, starts).reshape(-1, BANDS, ROWS) if len(lines) else least.reshape(0, BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), values.shape[:2])
+    for r in range(ROWS):
+        keys = mix(keys * _BASE + values[:, :, r])
+    return keys.view(np.int64)
+
+
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted set of whole-line shingle hashes of each line."""
+    pieces, starts = _pieces(lines)
+    found: list[np.ndarray] = []
+    for _, h, at in _shingles(pieces):
+        found += np.split(h, at[1:-1])
+    edges = [*starts.tolist(), len(pieces)]
+    return [np.unique(found[a] if b == a + 1 else np.concatenate(found[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of each text that are not blank: their number, digest and band keys."""
+    for batch in batches:
+        row, no, lines = [], [], []
+        for i, text in enumerate(batch["text"].to_pylist()):
+            for j, line in enumerate((text or "").split("\n")):
+                if line and not line.isspace():
+                    row.append(i)
+                    no.append(j)
+                    lines.append(line)
+        start = size = 0
+        for k, line in enumerate(lines):
+            size += len(line)
+            if size >= LOT or k + 1 == len(lines):
+                yield _occurrence(batch, row[start : k + 1], no[start : k + 1], lines[start : k + 1])
+                start, size = k + 1, 0
+
+
+def _occurrence(batch: pa.RecordBatch, row: list[int], no: list[int], lines: list[str]) -> pa.RecordBatch:
+    at, n = pa.array(row, pa.int32()), len(lines)
+    keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band_keys(lines).reshape(-1)))
+    digests = pa.array([md5(line.encode()).digest() for line in lines], pa.binary())
+    return pa.RecordBatch.from_arrays([batch["id"].take(at), batch["dk"].take(at), batch["th"].take(at), pa.array(no, pa.int32()), digests, keys], ["id", "dk", "th", "no", "same", "keys"])
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(nid, line) for the numbered lines of each text."""
+    for batch in batches:
+        for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
+            lines, asked = text.as_py().split("\n"), wanted.as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([w["nid"] for w in asked], pa.int64()), pa.array([lines[w["no"]] for w in asked], pa.string())], ["nid", "line"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose whole shingle sets are similar; each line of a lot is cut into shingles once."""
+    for batch in batches:
+        a, b, la, lb = (batch[c].to_pylist() for c in ("a", "b", "la", "lb"))
+        start = size = 0
+        for k in range(len(a)):
+            size += len(la[k]) + len(lb[k])
+            if size < LOT and k + 1 < len(a):
+                continue
+            held = dict(zip(a[start : k + 1], la[start : k + 1], strict=True)) | dict(zip(b[start : k + 1], lb[start : k + 1], strict=True))
+            sets = dict(zip(held, shingle_sets(list(held.values())), strict=True))
+            near = [i for i in range(start, k + 1) if similar(sets[a[i]], sets[b[i]], SIMILAR)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in near], pa.int64()) for x in (a, b)], ["a", "b"])
+            start, size = k + 1, 0
+
+
+def _tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Links between two lots of a bucket's lines, as few as join what they join; a pair is looked at in the first band that it shares."""
+    found: list[tuple[int, int]] = []
+    if left.num_rows and right.num_rows:
+        sx, sy = (shingle_sets(t["line"].to_pylist()) for t in (left, right))
+        kx, ky = (np.array(t["keys"].to_pylist(), np.int64) for t in (left, right))
+        nx, ny, head = left["nid"].to_pylist(), right["nid"].to_pylist(), {}
+        band = int(np.flatnonzero(kx[0] == key[0].as_py())[0])
+
+        def root(i: int) -> int:
+            while (up := head.setdefault(i, i)) != i:
+                head[i] = head.get(up, up)
+                i = up
+            return i
+
+        for n, c in zip(nx + ny, left["comp"].to_pylist() + right["comp"].to_pylist(), strict=True):
+            head[n] = head.setdefault(-1 - c, n)
+        for i, n in enumerate(nx):
+            for j in np.flatnonzero((kx[i] == ky).argmax(axis=1) == band).tolist():
+                if root(n) != root(ny[j]) and similar(sx[i], sy[j], SIMILAR):
+                    head[root(n)] = root(ny[j])
+                    found.append((min(n, ny[j]), max(n, ny[j])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _checker(rows: DataFrame, nodes: DataFrame):
     def prepare(multi: DataFrame):
-        texts = stored(lines.join(multi.select("nid").distinct(), "nid", "left_semi").select("nid", "line"), "line-texts")
+        asked = nodes.join(multi.select("nid").distinct(), "nid", "left_semi").select("nid", "first.dk", "first.th", "first.no")
+        asked = stored(asked.groupBy("dk", "th").agg(F.collect_list(F.struct("nid", "no")).alias("wanted")), "asked-lines")
+        met = rows.select("dk", "th", "text").join(asked, ["dk", "th"]).select("text", "wanted")
+        # Rows that repeat id and text give a line once each.
+        texts = stored(met.mapInArrow(_wanted, "nid long, line string").dropDuplicates(["nid"]), "line-texts")
 
         def check(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(texts.select(F.col("nid").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("nid").alias("b"), F.col("line").alias("lb")), "b")
-            return both.where(F.exists(F.array(F.struct(_set(F.col("la")).alias("a"), _set(F.col("lb")).alias("b"))), lambda s: _near(s["a"], s["b"]))).select("a", "b")
+            la, lb = (texts.select(F.col("nid").alias(s), F.col("line").alias(f"l{s}")) for s in "ab")
+            return pairs.join(la, "a").join(lb, "b").select("a", "b", "la", "lb").mapInArrow(_verify, "a long, b long")
 
         def rest(away: DataFrame, tagged: DataFrame) -> DataFrame:
-            """Pairs of components that a pair of similar lines joins.
-
-            Each line outside the main component meets the bucket's lines in tiles, which give the components that it is linked to and no
-            pairs of lines. A pair is looked at in the first band that it shares.
-            """
-            live = tagged.join(away.select("key").distinct(), "key", "left_semi").join(lines.select("nid", "keys", "line"), "nid")
-            live = stored(live.select("key", "nid", "comp", (F.col("comp") != F.col("main")).alias("out"), "keys", "line"), "rest-lines")
-            lots = lambda rows, name: rows.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.length("line")) / TILE_CHARS)).cast("int").alias(name))
-            dealt = stored(lots(live, "lots_b").join(lots(live.where("out"), "lots_a"), "key"), "lots")
+            held = stored(nodes.select("nid", "keys").join(texts, "nid"), "rest-lines")
+            sized = lambda t, name: t.join(held.select("nid", F.length("line").alias("chars")), "nid").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("chars") / TILE_CHARS)).cast("int").alias(name))
+            lots = stored(sized(tagged, "lots_b").join(sized(away, "lots_a"), "key"), "lots")
             lot = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
             every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-            tile = ["key", "lot_a", "lot_b"]
-            x = live.where("out").join(dealt, "key").select("key", lot("lots_a").alias("lot_a"), every("lots_b").alias("lot_b"), "nid", "comp", "keys", "line")
-            y = live.join(dealt, "key").select("key", lot("lots_b").alias("lot_b"), every("lots_a").alias("lot_a"), F.struct("nid", "comp", "out", "keys", "line").alias("y"))
+            a = away.join(lots, "key").select("key", "nid", "comp", lot("lots_a").alias("lot_a"), every("lots_b").alias("lot_b")).join(held, "nid")
+            b = tagged.join(lots, "key").select("key", "nid", "comp", lot("lots_b").alias("lot_b"), every("lots_a").alias("lot_a")).join(held, "nid")
             # Both sides come from the same tables; new names for the columns of one keep them apart.
-            x, y = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (x, y))
-            shingled = lambda r: F.struct(r["nid"].alias("nid"), r["comp"].alias("comp"), r["out"].alias("out"), r["keys"].alias("keys"), _set(r["line"]).alias("set"))
-            y = y.groupBy(*tile).agg(F.collect_list("y").alias("ys")).select(*tile, F.transform("ys", shingled).alias("ys"))
-            other = lambda r: (r["comp"] != F.col("comp")) & (~r["out"] | (r["nid"] > F.col("nid"))) & (F.array_intersect(F.col("keys"), r["keys"])[0] == F.col("key"))
-            linked = lambda s: F.array_distinct(F.transform(F.filter("ys", lambda r: other(r) & _near(s, r["set"])), lambda r: r["comp"]))
-            met = x.join(y, tile).select("comp", F.explode(F.transform(F.array(_set(F.col("line"))), linked)[0]).alias("with"))
-            return met.select(F.least("comp", "with").alias("a"), F.greatest("comp", "with").alias("b")).distinct()
+            a, b = (x.select(*[F.col(c).alias(c) for c in x.columns]) for x in (a, b))
+            tile = ["key", "lot_a", "lot_b"]
+            return a.groupBy(*tile).cogroup(b.groupBy(*tile)).applyInArrow(_tile, "a long, b long")
 
         return check, rest
 
@@ -98,36 +195,47 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Keep one line of each group of near-equal lines over the whole corpus.
 
     Lines are what stands between line feeds; those of white space alone stay. Equal lines are
-    grouped first. The distinct ones get MinHash values over their lower-cased
-    ``CHARS``-character shingles; lines that share a band are candidates, and a Jaccard
+    one node. Nodes get MinHash values over their lower-cased ``CHARS``-character shingles;
+    lines that share one of ``BANDS`` bands are candidates, and a Jaccard
     similarity of ``SIMILAR`` or more, computed on the whole shingle sets, links them.
     In each component the occurrence with the smallest id (null last), then the earliest place,
-    stays. Repeated rows are told apart by their place in the table. A null text stays null,
-    a text without lines left becomes empty; no rows give no rows.
+    stays. Of rows that repeat id and text the first one met keeps such lines and the others lose them. A null text stays null,
+    a text without lines left becomes empty, a line of any length is hashed whole in pieces; no rows give no rows.
+
+    The texts themselves are shuffled twice, by their rows' keys: once to fetch candidate lines, once
+    for the result; lines travel as digests and keys.
 
     Returns the columns of ``docs`` with the text cleaned (same-named ones are replaced), n_lines and n_dropped.
     """
     kept = without(docs, "n_lines", "n_dropped")
-    rows = stored(docs.select(packed(docs, "n_lines", "n_dropped", text_col).alias("row"), quoted(id_col)[0].alias("id"), quoted(text_col)[0].alias("text"), F.monotonically_increasing_id().alias("rid")), "line-rows")
-    split = F.split("text", "\n")
-    seen = rows.select("id", "rid", F.posexplode(split).alias("no", "line")).where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").withColumn("same", F.unhex(F.md5("line")))
-    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "rid", "no")
-    found = seen.groupBy("same").agg(F.first("line").alias("line"), F.min(first).alias("first"), F.count("*").alias("n"))
-    # Both sides come from one shuffle of the lines: the condition keeps their aggregates alike.
-    keyed = found.join(band_keys(found.where("n > 0 and first is not null")), "same")
-    lines = stored(keyed.withColumn("nid", F.monotonically_increasing_id()), "lines")
-    release(docs.sparkSession)
-    bands = lines.select(F.explode("keys").alias("key"), "nid", F.col("n").alias("w"))
-    comp = components(link(bands, _checker(lines)))
-    release(docs.sparkSession)
-    classed = stored(lines.select("same", "nid", "first", "n").join(comp, "nid", "left").select("same", "first", "n", F.coalesce("comp", "nid").alias("comp")), "line-classes")
-    stays = classed.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1")
-    shared = stored(classed.join(stays, "comp").select("same", F.col("stays.rid").alias("keep_rid"), F.col("stays.no").alias("keep_no")), "shared-lines")
-    gone = seen.select("same", "rid", "no").join(shared, "same").where((F.col("rid") != F.col("keep_rid")) | (F.col("no") != F.col("keep_no")))
-    gone = gone.groupBy("rid").agg(F.collect_list("no").alias("gone"))
-    clean = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    return rows.join(gone, "rid", "left").select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(clean).alias(c) if c.lower() == text_col.lower() else F.col("row").getField(c).alias(c) for c in kept],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
+    doc_id, doc_text = quoted(id_col)[0], quoted(text_col)[0]
+    rows = docs.select(
+        packed(docs, "n_lines", "n_dropped", text_col).alias("row"), doc_id.alias("id"), doc_text.alias("text"),
+        F.xxhash64(doc_id, doc_text).alias("dk"), F.xxhash64(F.lit("again"), doc_id, doc_text).alias("th"),
+    )
+    id_type = rows.schema["id"].dataType.simpleString()
+    seen = rows.select("id", "dk", "th", "text").mapInArrow(_occurrences, f"id {id_type}, dk long, th long, no int, same binary, keys array<long>")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "dk", "th", "no")).alias("first")
+    nodes = stored(seen.groupBy("same").agg(F.first("keys").alias("keys"), first, F.count("*").alias("n")).withColumn("nid", F.monotonically_increasing_id()), "line-nodes")
+    bands = nodes.select(F.explode("keys").alias("key"), "nid", F.col("n").alias("w"))
+    comp = components(link(bands, _checker(rows, nodes)))
+    classed = stored(nodes.select("same", "nid", "first", "n").join(comp, "nid", "left").select("same", "first", "n", F.coalesce("comp", "nid").alias("comp")), "line-classes")
+    forget(nodes, comp)
+    stays = stored(classed.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1"), "line-heads")
+    shared = stored(classed.join(stays, "comp").select("same", F.col("stays.dk").alias("keep_dk"), F.col("stays.th").alias("keep_th"), F.col("stays.no").alias("keep_no")), "shared-lines")
+    placed = rows.select("dk", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("dk", "th", "no", F.unhex(F.md5("line")).alias("same"))
+    stay = (F.col("dk") == F.col("keep_dk")) & (F.col("th") == F.col("keep_th")) & (F.col("no") == F.col("keep_no"))
+    found = placed.join(shared, "same").groupBy("dk", "th").agg(F.collect_set("no").alias("every"), F.collect_set(F.when(stay, F.col("no"))).alias("stay"))
+    gone = stored(found, "gone-lines")
+    forget(classed, stays, shared)
+    copy = F.row_number().over(Window.partitionBy("dk", "th").orderBy("dk"))
+    dropped = F.when(F.col("copy") > 1, F.col("every")).otherwise(F.array_except("every", "stay"))
+    told = rows.withColumn("copy", copy).join(gone, ["dk", "th"], "left").withColumn("gone", F.when(F.col("every").isNull(), F.array().cast("array<int>")).otherwise(dropped))
+    numbers = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone"))
+    # Lambdas bind their arguments once: a column would be put in place of its name, for every line anew.
+    clean = F.transform(F.array(F.split("text", "\n")), lambda lines: F.array_join(F.transform(numbers(lines), lambda i: F.get(lines, i)), "\n"))[0]
+    return told.select(
+        *[F.when(F.size("gone") == 0, F.col("text")).otherwise(clean).alias(c) if c.lower() == text_col.lower() else F.col("row").getField(c).alias(c) for c in kept],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_dropped"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import forget, stored
 
 #: Buckets up to this size are paired in full; a row has at most so many partners there.
 SMALL = 32
@@ -19,19 +19,21 @@ def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find: (nid, comp) for every end of an edge (a, b); comp is the smallest id it is linked to.
 
     Alternates hanging larger neighbours, then smaller ones, under the least neighbour until only
-    stars are left. Each step is a minimum per node (combined before its shuffle) and a join;
-    rounds are written, so a lost executor repeats one of them at most. No edges give no rows.
+    stars are left. Each step is a minimum per node (combined before its shuffle) and a join of
+    written tables, so that AQE can split the edges of a hub; a lost executor repeats one step at most. No edges give no rows.
     """
     forest = stored(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
     while True:
         both = forest.unionByName(forest.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = stored(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        down = stored(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        forest = stored(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "forest")
+        now = stored(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "forest")
+        forget(forest, least, large, down)
+        forest = now
         ends = forest.select(F.col("u").alias("nid"), F.lit(1).alias("child"), F.lit(0).alias("head")).unionByName(forest.select(F.col("v").alias("nid"), F.lit(0).alias("child"), F.lit(1).alias("head")))
         if ends.groupBy("nid").agg(F.sum("child").alias("child"), F.max("head").alias("head")).where("child > 1 or (child = 1 and head = 1)").isEmpty():
             break

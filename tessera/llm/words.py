@@ -104,3 +104,12 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n_eff):
         out = out * _BASE + words[k : len(words) - n_eff + 1 + k]
     return mix(out)
+
+
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets reaches ``least``; sizes that rule it out are seen first."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+        return False
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return both >= least * (len(x) + len(y) - both) - 1e-9

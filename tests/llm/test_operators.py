@@ -118,16 +118,25 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
-def test_line_bands_find_pairs_at_the_similarity(spark):
+def test_line_bands_find_pairs_at_the_similarity():
     """Pairs of lines of similarity 0.8: a tenth of the shingles in each line alone, eight tenths shared."""
-    rng, rows, n = np.random.default_rng(4), [], 5000
+    rng, lines, n = np.random.default_rng(4), [], 5000
     text = lambda k: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), k))
-    for i in range(n):
+    for _ in range(n):
         k = int(rng.integers(4, 11))
         shared = text(8 * k + 9)
-        rows += [(2 * i, shared + text(k)), (2 * i + 1, shared + text(k))]
-    keys = {r["same"]: set(r["keys"]) for r in line_dedup.band_keys(spark.createDataFrame(rows, "same long, line string")).collect()}
-    assert np.mean([bool(keys[2 * i] & keys[2 * i + 1]) for i in range(n)]) >= 0.99
+        lines += [shared + text(k), shared + text(k)]
+    keys = line_dedup.band_keys(lines)
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.99
+
+
+def test_long_lines_are_hashed_whole(monkeypatch):
+    lines = ["Äb" * 40 + words(1, 300), "x", words(2, 5), "é" * 9, words(3, 200)]
+    whole, sets = line_dedup.band_keys(lines), line_dedup.shingle_sets(lines)
+    monkeypatch.setattr(line_dedup, "STEP", 64)
+    assert (line_dedup.band_keys(lines) == whole).all()
+    assert all((x == y).all() for x, y in zip(line_dedup.shingle_sets(lines), sets, strict=True))
+    assert [len(x) for x in sets] == [len({t.lower()[k : k + 10] for k in range(max(1, len(t) - 9))}) for t in lines]
 
 
 def near_lines(n, seed):
@@ -151,20 +160,38 @@ def brute_lines(lines, keys):
     return comp
 
 
-@pytest.mark.parametrize("hubs, tile", [(1, 7), (1, 64)])
-def test_rest_of_large_line_buckets_against_brute_force(spark, monkeypatch, hubs, tile):
-    """One shared band is enough in buckets of any size."""
-    monkeypatch.setattr(linking, "SMALL", 2)
+def brute_dedup(rows):
+    """The text of each row (id, text) after line deduplication; ids are distinct."""
+    seen = sorted((i, no, line) for i, text in rows for no, line in enumerate((text or "").split("\n")) if line.strip())
+    lines = list(dict.fromkeys(line for _, _, line in seen))
+    comp = dict(zip(lines, brute_lines(lines, [set(k) for k in line_dedup.band_keys(lines).tolist()]), strict=True))
+    first = {}
+    for i, no, line in seen:
+        first.setdefault(comp[line], (i, no))
+    stays = set(first.values())
+    return {i: None if text is None else "\n".join(line for no, line in enumerate(text.split("\n")) if not line.strip() or (i, no) in stays) for i, text in rows}
+
+
+@pytest.mark.parametrize("small, hubs, tile", [(32, 3, 256), (2, 1, 7), (2, 1, 64)])
+def test_line_dedup_against_brute_force(spark, monkeypatch, small, hubs, tile):
+    """Buckets of any size: one shared band makes a candidate. Extra columns clash with every helper."""
+    monkeypatch.setattr(linking, "SMALL", small)
     monkeypatch.setattr(linking, "HUBS", hubs)
-    monkeypatch.setattr(line_dedup, "TILE", tile, raising=False)
-    lines = [t for seed in range(4) for t in near_lines(40, seed)]
-    table = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "same long, line string")
-    keys = {r["same"]: r["keys"] for r in line_dedup.band_keys(table).collect()}
-    expected = brute_lines(lines, [set(keys[i]) for i in range(len(lines))])
-    rows = table.select(F.col("same").alias("nid"), "line").join(spark.createDataFrame(list(keys.items()), "nid long, keys array<long>"), "nid")
-    bands = rows.select(F.explode("keys").alias("key"), "nid", F.lit(1).cast("long").alias("w"))
-    got = {r["nid"]: r["comp"] for r in linking.components(linking.link(bands, line_dedup._checker(rows))).collect()}
-    assert [got.get(i, i) for i in range(len(lines))] == expected and len(set(expected)) > 4
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    lines = [t for seed in range(4) for t in near_lines(60, seed)]
+    texts = ["\n".join([*lines[i::23], "same", " ", words(i, 12), "same"]) for i in range(23)] + [None, "", "\n\n", words(77, 20_000)]
+    table = documents(spark, texts)
+    clash = table.select("*", *[F.lit(1).alias(c) for c in ("row", "id", "dk", "th", "gone", "every", "stay", "copy", "n_lines", "N_dropped")])
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(clash).collect()}
+    assert {i: r["text"] for i, r in out.items()} == brute_dedup(list(enumerate(texts)))
+    assert {(r["row"], r["dk"], r["copy"]) for r in out.values()} == {(1, 1, 1)} and len(out) == len(texts)
+
+
+def test_line_dedup_of_repeated_rows(spark):
+    text = f"{words(1, 20)}\n{words(2, 20)}"
+    rows = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None), (2, "other"), (None, "alone")], "doc_id long, text string")
+    out = sorted(str((r["doc_id"], r["text"], r["n_dropped"])) for r in line_dedup.dedup_lines(rows).collect())
+    assert out == sorted(map(str, [(1, text, 0), (1, "", 2), (None, "", 2), (None, None, 0), (2, "other", 0), (None, "alone", 0)]))
 
 
 def test_toxicity_learns_marked_words(spark):
