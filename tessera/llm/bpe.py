@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import packed, quoted, without
-from .pieces import PieceIds, gather, spans
+from .pieces import UnitIds, gather, per_worker, spans
 
 #: Text bytes of a block of documents whose pieces are merged together.
 BLOCK_BYTES = 10 << 20
@@ -144,11 +144,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 
 def _encoder(path: str, pattern: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split = regex.compile(pattern).findall
-        cache = PieceIds(Replay(read_ranks(path)).pieces)
+        cache = per_worker(("bpe", path, pattern), lambda: UnitIds(regex.compile(pattern).findall, Replay(read_ranks(path)).pieces))
         for block in _blocks(batches, block_bytes):
             cache.start()
-            numbers = [cache.add(split(text.as_py() or "")) for text in block["text"]]
+            numbers = [cache.add(text.as_py() or "") for text in block["text"]]
             lots = [(i, min(i + ROWS_OUT, len(numbers))) for i in range(0, len(numbers), ROWS_OUT)]
             rows = block["row"].combine_chunks()
             rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows

@@ -82,9 +82,13 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     pieces, starts = _pieces(lines)
     found: list[np.ndarray] = []
     for _, h, at in _shingles(pieces):
-        found += np.split(h, at[1:-1])
-    edges = [*starts.tolist(), len(pieces)]
-    return [np.unique(found[a] if b == a + 1 else np.concatenate(found[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
+        found += (h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    edges, out = [*starts.tolist(), len(pieces)], []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        one = found[a] if b == a + 1 else np.concatenate(found[a:b])
+        one.sort()
+        out.append(one[np.concatenate([[True], one[1:] != one[:-1]])])
+    return out
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

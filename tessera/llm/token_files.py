@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import quoted, scratch, stored
-from .pieces import PieceIds, is_plain, spans
+from .pieces import UnitIds, is_plain, per_worker, spans
 
 # Ids in a word and bits for each, by selector; selector 0 says that the next word is one id as it is.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -134,20 +134,22 @@ def _tokenizer(path: str, pattern: str, end_id: int):
 
     tokenizer = Tokenizer.from_file(path)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    letters, split, tokenize = _alphabet(), regex.compile(pattern).findall, tokenizer.model.tokenize
+    letters, tokenize = {b: c for b, c in _alphabet().items() if b}, tokenizer.model.tokenize
 
     def pieces(new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [[t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))] for p in new]
+        # A plain text holds no null character: it parts the pieces while all are translated at once.
+        written = "\0".join(new).encode().decode("latin-1").translate(letters).split("\0")
+        found = [[t.id for t in tokenize(p)] for p in written]
         return np.array([i for ids in found for i in ids], np.int32), np.fromiter(map(len, found), np.int64, len(found))
 
-    cache = PieceIds(pieces)
+    cache = UnitIds(regex.compile(pattern).findall, pieces)
 
     def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cache.start()
         numbers, whole = [], {}
         for i, text in enumerate(texts):
             if is_plain(text) and not any(s in text for s in special):
-                numbers.append(cache.add(split(text)))
+                numbers.append(cache.add(text))
             else:
                 numbers.append(np.zeros(0, np.int32))
                 whole[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -163,7 +165,7 @@ def _tokenizer(path: str, pattern: str, end_id: int):
 
 def _writer(path: str, pattern: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _tokenizer(path, pattern, end_id)
+        encode = per_worker(("token files", path, pattern, end_id), lambda: _tokenizer(path, pattern, end_id))
         shard, segment = TaskContext.get().partitionId(), 0
         ids, lens, docs = [], [], []
 
