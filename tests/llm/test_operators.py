@@ -1,6 +1,7 @@
 """Small fixtures against brute force, round trips and library results; nulls, empty and repeated rows in each."""
 
 import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -95,6 +96,40 @@ def test_top_k_against_brute_force(spark):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def brute_top_k(rows, k, every):
+    """rows: (id, vector of floats); every row but the query's own is a candidate."""
+    q = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    out = []
+    for a, (i, x) in enumerate(q):
+        if i % every == 0:
+            scores = sorted((-sum(s * t for s, t in zip(x, y, strict=True)), j, b) for b, (j, y) in enumerate(q) if b != a and len(y) == len(x))
+            out += [(i, r + 1, j, -s) for r, (s, j, _) in enumerate(scores[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("scale, dim", [(1e3, 768), (2.0**19, 8), (1e12, 3)])
+def test_top_k_of_large_components(spark, monkeypatch, scale, dim):
+    """Sums of products beyond the exact range of a double, repeated ids, several blocks."""
+    monkeypatch.setattr(topk_search, "BLOCK", 40)
+    monkeypatch.setattr(topk_search, "TILE", 16)
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 1, (120, dim)) * scale
+    if scale == 1e12:
+        v = v / 1e9 + np.array([2e4, 0, 0])
+    v[60:] = v[:60] * (1 + 1e-9 * rng.integers(0, 3, (60, dim)))  # scores that nearly tie
+    rows = [(i % 90, [float(x) for x in r]) for i, r in enumerate(v)]
+    out = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7, every=30)
+    assert sorted(tuple(r) for r in out.collect()) == brute_top_k(rows, 7, 30)
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0, 1.0]), (1, [20000.0, 1.0]), (2, [0.5, 0.5]), (2, [0.9, 0.9]), (100, [1.0, 0.0]), (100, [1.0, 0.0])]
+    out = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert sorted(tuple(r) for r in out.collect()) == brute_top_k(rows, 10, 100)
+    with pytest.raises(Exception, match="exceeds a long"):
+        topk_search.top_k(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_mixing_reaches_its_weights(spark):
     rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("t" * 9).alias("text"), F.when(F.col("id") % 3 == 0, "src1").when(F.col("id") % 3 == 1, "a").alias("source"), F.lit(1).alias("position"))
     out = mixing.mix(rows, {"src1": 0.5, "a": 0.0})
