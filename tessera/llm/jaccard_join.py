@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import quoted, stored
+from .common import packed, quoted, stored
 from .linking import components, link
-from .words import grams, texts_to_words
+from .words import grams, similar, texts_to_words
 
 #: Words in a shingle, and the similarity from which two texts are linked.
 WORDS, SIMILAR = 5, 0.8
@@ -104,12 +104,6 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([left["a"], left["b"]], ["a", "b"])
 
 
-def _similar(x: np.ndarray, y: np.ndarray) -> bool:
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    both = int((x[at] == y).sum())
-    return both >= SIMILAR * (len(x) + len(y) - both) - 1e-9
-
-
 def _tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Links between two lots of a bucket's rows, as few as join what they join.
 
@@ -140,7 +134,7 @@ def _tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             matches = same.reshape(-1, HASHES // LOOK, LOOK).sum(axis=2).cumsum(axis=1)
             needs = np.array([fewest_matches(m) for m in range(LOOK, HASHES + 1, LOOK)])
             for j in alive[(first == band) & (matches >= needs).all(axis=1)].tolist():
-                if root(nx[i]) != root(ny[j]) and _similar(sx[i], sy[j]):
+                if root(nx[i]) != root(ny[j]) and similar(sx[i], sy[j], SIMILAR):
                     head[root(nx[i])] = root(ny[j])
                     found_a.append(min(nx[i], ny[j]))
                     found_b.append(max(nx[i], ny[j]))
@@ -166,7 +160,7 @@ def _tally(table: pa.Table) -> pa.Table:
         shared = same.reshape(-1, BANDS, ROWS).all(axis=2)
         matches = same.reshape(-1, HASHES // LOOK, LOOK).sum(axis=2).cumsum(axis=1)
         for j in near[(shared.argmax(axis=1) == band) & ~(shared & few[i]).any(axis=1) & (matches >= needs).all(axis=1)].tolist():
-            if _similar(sets[i], sets[j]):
+            if similar(sets[i], sets[j], SIMILAR):
                 others[i] += w[j]
                 others[j] += w[i]
     at = np.flatnonzero(others)
@@ -188,7 +182,7 @@ def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch["sa"].to_pylist(), batch["sb"].to_pylist(), strict=True)
-        linked = [i for i, (p, q) in enumerate(pairs) if _similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64))]
+        linked = [i for i, (p, q) in enumerate(pairs) if similar(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), SIMILAR)]
         left = batch.take(pa.array(linked, pa.int64()))
         yield pa.RecordBatch.from_arrays([left["a"], left["b"]], ["a", "b"])
 
@@ -216,15 +210,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     class_id is the smallest id of the class (null ids last); n_links counts the other
     documents that verified links and equal sets give a document. Links between texts that share a
     bucket of ``linking.SMALL`` texts or fewer are all rows; those of large buckets are counted
-    apart, in tasks that give sums and no pairs. ``kept`` marks the document of the smallest id; rows that repeat id and text share their marks.
+    apart, in tasks that give sums and no pairs. ``kept`` marks the document of the smallest id; of rows that repeat id and text, one of them.
     Columns: doc id (under ``id_col``), row_key (hash of id and text), class_id, n_links, kept.
     """
     row_key = F.xxhash64(quoted(id_col)[0], quoted(text_col)[0])
     rows = docs.select(quoted(id_col)[0].alias("id"), row_key.alias("rk"), quoted(text_col)[0].alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    all_rows = stored(rows.mapInArrow(_sketch, f"id {id_type}, rk long, hi long, lo long, size int, sig binary"), "sketches")
+    all_rows = stored(rows.mapInArrow(_sketch, f"id {id_type}, rk long, hi long, lo long, size int, sig binary").withColumn("rid", F.monotonically_increasing_id()), "sketches")
     some = all_rows.where("size > 0")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rk")).alias("first")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rk", "rid")).alias("first")
     nodes = stored(some.groupBy("hi", "lo").agg(first, F.count("*").alias("w"), F.first("size").alias("size"), F.first("sig").alias("sig")).withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
     buckets = sets = None
@@ -281,11 +275,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = stored(grouped.groupBy("comp").agg(F.min("first").alias("head")), "heads")
     classes = stored(grouped.join(heads, "comp").select("hi", "lo", "n_links", "head"), "classes")
     alone = all_rows.where("size = 0").select("id", "rk", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
-    told = some.join(classes, ["hi", "lo"]).select("id", "rk", F.col("head.id").alias("class_id"), "n_links", (F.col("rk") == F.col("head.rk")).alias("kept"))
+    told = some.join(classes, ["hi", "lo"]).select("id", "rk", F.col("head.id").alias("class_id"), "n_links", (F.col("rid") == F.col("head.rid")).alias("kept"))
     return told.unionByName(alone).select(F.col("id").alias(id_col), F.col("rk").alias("row_key"), "class_id", "n_links", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those whose class keeps another one."""
-    gone = stored(near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select("row_key").distinct(), "near-copies")
-    return docs.join(gone, F.xxhash64(quoted(id_col)[0], quoted(text_col)[0]) == F.col("row_key"), "left_anti")
+    """The documents without those whose class keeps another one; of rows that repeat id and text one stays at most.
+
+    A text without words is alone in its class and always stays, repeated or not.
+    """
+    marks = near_duplicates(docs, id_col, text_col).groupBy("row_key").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count("*").alias("n"))
+    gone = stored(marks.where("stay < n").select(F.col("row_key").alias("gone"), "stay"), "near-copies")
+    keyed = docs.select(packed(docs).alias("row"), F.xxhash64(quoted(id_col)[0], quoted(text_col)[0]).alias("key"))
+    stays = keyed.join(gone, F.col("key") == F.col("gone"), "left_anti")
+    one = keyed.join(gone.where("stay > 0"), F.col("key") == F.col("gone"), "left_semi").dropDuplicates(["key"])
+    return stays.unionByName(one).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
