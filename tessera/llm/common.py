@@ -60,6 +60,15 @@ def forget(*tables: DataFrame) -> None:
         t.sparkSession.range(0, 0, 1, 1).write.mode("overwrite").parquet(t.scratch_path)
 
 
+#: Rows of a table that may be broadcast; the tables that ``bounded`` gets hold two numbers a row.
+ROWS_SENT = 1 << 18
+
+
+def bounded(small: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its counted rows are few; else the join is left to shuffle."""
+    return F.broadcast(small) if small.count() <= ROWS_SENT else small
+
+
 def without(df: DataFrame, *names: str) -> list[str]:
     """Columns of ``df`` but those that an operator is about to add under these names."""
     gone = {n.lower() for n in names}

@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import unescape
+
 from .common import packed, quoted, without
 
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
-# Parts of a page that are not text, tags that end a line, and the entities that are decoded (the ampersand last).
+# Parts of a page that are not text, and tags that end a line.
 DROPPED = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>"
 BREAKS = r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 TAG = r"<[^>]*>"
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 BLANKS = r"[ \t\r\f\x0B]+"
 LINE_ENDS = r" ?\n[ \n]*"
 
 
 def plain_text(html: Column) -> Column:
+    """The text of a page: without scripts, comments and tags, a line per block, all character references decoded once."""
     text = F.regexp_replace(html, DROPPED, "")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, "")
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
+    # Named and numeric character references, on Arrow batches, where there are any.
+    text = F.when(text.contains("&"), unescape(text)).otherwise(text)
     text = F.regexp_replace(F.regexp_replace(text, BLANKS, " "), LINE_ENDS, "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, jaccard_join, line_dedup, linking, mixing, sharding, token_files, topk_search, toxicity, warc
+from tessera.llm import bpe, common, exact_dedup, jaccard_join, line_dedup, linking, mixing, sharding, token_files, topk_search, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = ["", " \n ", "Aa", "aA", "é" * 30, "x" * 3000, "<|endoftext|> y", "don't  stop\n\nnow 12 3", "中文 字", "a\x1cb\x85c"]
@@ -61,7 +61,10 @@ def test_sharding_splits_a_repeated_row(spark):
     assert [r["count"] for r in out.groupBy("shard").count().collect()] == [750] * 4
 
 
-def test_exact_dedup_against_brute_force(spark, docs):
+@pytest.mark.parametrize("sent", [1 << 18, 0])
+def test_exact_dedup_against_brute_force(spark, docs, monkeypatch, sent):
+    """Surviving groups are broadcast or, beyond the bound, joined by a shuffle."""
+    monkeypatch.setattr(common, "ROWS_SENT", sent)
     out = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs.withColumn("KEPT", F.lit(0))).collect()}
     groups = {}
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -283,6 +286,17 @@ def test_near_duplicates_against_brute_force(spark, docs):
     assert jaccard_join.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    a, b = words(1, 60), words(2, 60)
+    rows = spark.createDataFrame([(1, a), (1, a), (2, f"{a} more"), (3, b), (3, b), (None, b), (4, ""), (4, ""), (5, None)], "doc_id long, text string")
+    marks = jaccard_join.near_duplicates(rows).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"], r["n_links"]) for r in marks) == [(0, 3, 2), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 3, 2), (3, 3, 2), (4, 4, 0), (4, 4, 0), (5, 5, 0)]
+    assert sum(r["kept"] for r in marks) == 5
+    clash = rows.select("*", *[F.lit(7).alias(c) for c in ("row_key", "key", "row", "gone", "kept", "class_id", "stay")])
+    kept = jaccard_join.keep_one(clash)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 4, 5]
+
+
 @pytest.mark.parametrize("small, lot", [(32, 1024), (32, 16), (4, 16)])
 def test_links_of_large_classes_are_counted_whole(spark, monkeypatch, small, lot):
     monkeypatch.setattr(linking, "SMALL", small)
@@ -327,6 +341,18 @@ def test_warc_derivatives(spark, tmp_path):
     assert warc.derive(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_warc_keeps_source_headers_and_decodes_references(spark):
+    import html
+
+    page = "<p>caf&eacute; &#8217;&#x27;&mdash;&hellip; &amp;lt; &unknown; &nbsp;x</p>" + "<div>long</div>" * 50_000
+    head = "HTTP/1.1 203 Other\r\nX-A: b\r\nContent-Type: text/html\r\n\r\n"
+    source = spark.createDataFrame([("<urn:uuid:1>", "http://a", "2020-01-02T03:04:05Z", head, page, "sha256:x", ("r",))], "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string, row struct<a string>")
+    out = {r["record_type"]: r for r in warc.derive(source).collect()}
+    assert out["conversion"]["block"] == "\n".join([html.unescape("caf&eacute; &#8217;&#x27;&mdash;&hellip; &amp;lt; &unknown; &nbsp;x"), *["long"] * 50_000])
+    assert "source-http-headers: HTTP/1.1 203 Other | X-A: b | Content-Type: text/html\r\n" in out["metadata"]["block"]
+    assert all("WARC-Refers-To: <urn:uuid:1>\r\n" in r["headers"] and "WARC-Date: 2020-01-02T03:04:05Z\r\n" in r["headers"] for r in out.values())
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for ids in (rng.integers(0, 50_000, 10_000), np.zeros(9000), rng.integers(0, 2, 5000), [2**63, 5, 2**64 - 1, 0, 7], 2 ** rng.integers(0, 63, 20_000), [3], []):
