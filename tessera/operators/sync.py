@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.filters import needs_index
@@ -28,18 +28,31 @@ def diff(current: DataFrame, indexed: DataFrame, failed: DataFrame) -> DataFrame
     return both.select("file_path", op.alias("op"))
 
 
-def coalesced(changes: DataFrame) -> DataFrame:
+#: What may be held of a key after some of its changes; an empty string is nothing.
+HELD = ["", "create", "modify", "delete", "rename"]
+
+
+def _step(held: Column, op: Column) -> Column:
+    return F.when(held == "", op).when((held == "create") & (op == "delete"), "").when((held == "modify") & (op == "delete"), "delete").otherwise(held)
+
+
+def coalesced(changes: DataFrame, segment: Column | None = None) -> DataFrame:
     """The operation left of each key's changes (key, ts, seq, op), folded in time order.
 
     A create keeps being one when modified, and vanishes when deleted; a modify becomes a delete; any other
     pair keeps the earlier one. Keys whose changes cancel out have no row.
+
+    The changes of a key and a segment of time (an hour, or what ``segment`` makes of ``ts``) are folded to what they turn each
+    of the five held states into; the few segments of a key then follow one another. So no group holds the history of a key.
     """
-    folded = F.aggregate(
-        F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "op"))), lambda x: x["op"]),
-        F.lit(""),
-        lambda held, op: F.when(held == "", op).when((held == "create") & (op == "delete"), "").when((held == "modify") & (op == "delete"), "delete").otherwise(held),
-    )
-    return changes.groupBy("key").agg(folded.alias("op")).where("op <> ''")
+    cut = F.date_trunc("hour", F.col("ts").cast("timestamp")) if segment is None else segment
+    ops = F.transform(F.array_sort(F.collect_list(F.struct("ts", "seq", "op"))), lambda x: x["op"])
+    start = F.array(*map(F.lit, HELD))
+    turned = F.aggregate(ops, start, lambda held, op: F.transform(held, lambda h: _step(h, op)))
+    parts = changes.groupBy("key", cut.alias("segment")).agg(turned.alias("turned"))
+    known = lambda held: F.array_position(start, held).cast("int") - 1
+    folded = F.aggregate(F.array_sort(F.collect_list(F.struct("segment", "turned"))), F.lit(""), lambda held, p: F.get(p["turned"], known(held)))
+    return parts.groupBy("key").agg(folded.alias("op")).where("op <> ''")
 
 
 def renames(events: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -1,6 +1,10 @@
 """Kernels on small hand-made inputs with known answers."""
 
+import html
 import math
+import random
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +14,7 @@ from tessera.functions import chunker
 from tessera.functions import text as T
 from tessera.operators import bm25, evaluate, filters, prepare, ranking, sequences, sync, vector
 from tessera.sources import corpus
+from tessera.streaming.changes import fold
 
 
 def hits(spark, *rows):
@@ -128,6 +133,36 @@ def test_as_of_and_offsets(spark):
     points = spark.createDataFrame([("f", x) for x in (-1, 0, 99, 100, 300)] + [("g", 5)], "k string, at int")
     out = {(r["k"], r["at"]): r["page"] for r in sequences.as_of(points, starts, "k", "at", "start", "page").collect()}
     assert out == {("f", -1): None, ("f", 0): 1, ("f", 99): 1, ("f", 100): 2, ("f", 300): 3, ("g", 5): None}
+    clash = points.withColumnRenamed("at", "_at").withColumn("row", F.lit(1)).withColumn("kind", F.lit(2)).withColumn("page", F.lit(9))
+    out = sequences.as_of(clash, starts, "k", "_at", "start", "page", else_first=True)
+    assert out.columns == ["k", "_at", "row", "kind", "page"] and {(r["k"], r["_at"]): r["page"] for r in out.collect()} == {("f", -1): 1, ("f", 0): 1, ("f", 99): 1, ("f", 100): 2, ("f", 300): 3, ("g", 5): None}
+
+
+def test_coalesced_changes_of_a_hot_key(spark):
+    """Folding segments gives what folding all changes in order gives."""
+    draw = random.Random(3)
+    rows = [(0 if i % 3 else i % 20, draw.randrange(10**6), i, draw.choice(["create", "modify", "delete", "rename"])) for i in range(3000)]
+    held = {}
+    for key, _, _, op in sorted(rows, key=lambda r: r[1:3]):
+        held[key] = fold(held.get(key, ""), op)
+    changes = spark.createDataFrame(rows, "key long, ts long, seq long, op string")
+    for size in (1000, 100_000):
+        got = {r["key"]: r["op"] for r in sync.coalesced(changes, F.floor(F.col("ts") / size)).collect()}
+        assert got == {k: op for k, op in held.items() if op}
+
+
+def test_normalised_text_and_pages(spark):
+    texts = ["ＡＢＣ \t x\r\n\n\n\n  ﬁn  \n \x0bend ", "", "  ", "a\u00a0b\n\n\nc"]
+
+    def plain(t):
+        t = re.sub(r"\n{3,}", "\n\n", re.sub(" {2,}", " ", re.sub(r"[\t\r\f\v]+", " ", unicodedata.normalize("NFKC", t))))
+        return "\n".join(x.strip(" ") for x in t.split("\n")).strip(" \n")
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.normalised(F.col("t")).alias("x"))
+    assert {r["i"]: r["x"] for r in rows.collect()} == {i: plain(t) for i, t in enumerate(texts)}
+    page = "<p>caf&eacute; &#8217; &amp;lt;</p><!-- &amp; --><br>x"
+    got = spark.createDataFrame([(page,)], "t string").select(T.html_to_text(F.col("t")).alias("x")).first()["x"]
+    assert got == html.unescape("caf&eacute; &#8217; &amp;lt;\nx")
 
 
 def test_text_functions(spark):
@@ -174,7 +209,9 @@ def test_query_builders():
 
 def test_preparation(spark):
     pages = spark.createDataFrame([(5, "u?a"), (3, "u"), (4, " "), (9, "v#x"), (7, None)], "page_id long, url string")
-    assert sorted(tuple(r) for r in prepare.first_by_url(pages).collect()) == [("u", 3, 0), ("v", 9, 1)]
+    assert sorted(tuple(r) for r in prepare.first_by_url(pages).collect()) == [("u", 3, 0), ("u?a", 5, 1), ("v#x", 9, 2)]
+    bare = F.regexp_replace("url", r"[?#].*$", "")
+    assert sorted(tuple(r) for r in prepare.first_by_url(pages, bare).collect()) == [("u", 3, 0), ("v", 9, 1)]
     lines = spark.createDataFrame([('{"id": 1}',), ("",), ('{"id": \x01 2}',), ('{"id"',)], "value string")
     assert sorted(r["id"] for r in corpus.tolerant_json(lines, "id int").collect()) == [1, 2]
     run = spark.createDataFrame([("q Q0 d 1 0.5 r",), ("short line",)], "value string")
