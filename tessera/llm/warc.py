@@ -20,11 +20,10 @@ LINE_ENDS = r" ?\n[ \n]*"
 
 
 def plain_text(html: Column) -> Column:
-    """The text of a page: without scripts, comments and tags, a line per block, all character references decoded once."""
+    """The text of a page: without scripts, comments and tags, a line per block, all character references decoded once, on Arrow batches."""
     text = F.regexp_replace(html, DROPPED, "")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), TAG, "")
-    # Named and numeric character references, on Arrow batches, where there are any.
-    text = F.when(text.contains("&"), unescape(text)).otherwise(text)
+    text = unescape(text)
     text = F.regexp_replace(F.regexp_replace(text, BLANKS, " "), LINE_ENDS, "\n")
     return F.regexp_replace(text, r"^[ \n]+|[ \n]+$", "")
 
