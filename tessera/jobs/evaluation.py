@@ -24,11 +24,12 @@ def _qrels(spark, sf_dir):
 def _runs(spark, sf_dir):
     """Results of three methods, the method as a column: one job evaluates them all."""
     e, v, q = R._entries(spark, sf_dir), R._vectors(spark, sf_dir), R._queries(spark, sf_dir)
-    plans = {"bm25": (0.0, 1.0), "vector": (1.0, 0.0), "hybrid": (0.5, 0.5)}
+    o = SearchOptions(top_k=100, multiplier=1)
+    dense, lexical = (ranking.aggregate_files(x, "max_p").select("query_id", "file_path", "score") for x in (search.dense(v, q, o), search.lexical(e, q, o)))
+    plans = {"bm25": lexical, "vector": dense, "hybrid": ranking.reciprocal_ranks([(dense, 0.5), (lexical, 0.5)], "file_path")}
     out = None
-    for name, (dense, lexical) in plans.items():
-        o = SearchOptions(embedding_weight=dense, bm25_weight=lexical, top_k=100, multiplier=1, vector_method="max_p")
-        part = ranking.top_per_query(search.content(e, v, q, o).select("query_id", "file_path", "score"), 100, "file_path")
+    for name, found in plans.items():
+        part = ranking.top_per_query(found, 100, "file_path")
         part = part.select(F.lit(name).alias("method"), F.concat_ws(":", F.lit(name), "query_id").alias("query_id"), F.col("file_path").alias("doc_id"), "rank")
         out = part if out is None else out.unionByName(part)
     return out

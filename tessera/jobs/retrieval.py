@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.config import SearchOptions
 from tessera.functions import text as T
 from tessera.operators import bm25, filters, ranking, search, vector
-from tessera.sources import corpus
+from tessera.sources import corpus, store
 
 # ---- shared SQL of the oracles -------------------------------------------------
 
@@ -96,8 +96,9 @@ RESULT = "query_id, file_path, score, rank"
 # ---- inputs --------------------------------------------------------------------
 
 
-def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.index_entries(corpus.files(spark, sf_dir))
+def _entries(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The stored index of the notes; the first search of a session writes it."""
+    return store.lexical_index(spark, sf_dir)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,15 +129,15 @@ def fn9_token_windows(spark, sf_dir):
 
 
 def agg8_postings(spark, sf_dir):
-    return bm25.postings(_entries(spark, sf_dir))
+    return _entries(spark, sf_dir).postings.select("token", "chunk_id", "tf")
 
 
 def agg9_document_frequency(spark, sf_dir):
-    return bm25.document_frequency(bm25.postings(_entries(spark, sf_dir)))
+    return _entries(spark, sf_dir).terms
 
 
 def agg10_index_statistics(spark, sf_dir):
-    return bm25.statistics(_entries(spark, sf_dir)).select("n", F.round("avgdl", 6).alias("avgdl"))
+    return _entries(spark, sf_dir).stats.select("n", F.round("avgdl", 6).alias("avgdl"))
 
 
 def q1_bm25_content(spark, sf_dir):
@@ -233,7 +234,7 @@ def q9_file_rerank(spark, sf_dir):
     """The best chunk of each lexical result is scored again."""
     entries, q = _entries(spark, sf_dir), _queries(spark, sf_dir)
     found = ranking.top_per_query(ranking.aggregate_files(search.lexical(entries, q, SearchOptions()), "max_p"), 10, "file_path")
-    candidates = found.select("query_id", F.col("top_chunk").alias("chunk_id")).join(entries.select("chunk_id", "file_path", "tokens"), "chunk_id")
+    candidates = search.with_texts(entries, found.select("query_id", F.col("top_chunk").alias("chunk_id")), q.count() * 10)
     scored = search.overlap_score(q.select("query_id", T.tokens(F.col("text")).alias("tokens")), candidates)
     return ranking.top_per_query(ranking.min_max(scored), 10, "file_path").select("query_id", "file_path", "score", "rank")
 
@@ -248,10 +249,10 @@ def q13_vault_search(spark, sf_dir):
     """The first five chunks as context blocks, without one folder."""
     o = SearchOptions(exclude_folder="src3")
     entries = _entries(spark, sf_dir)
-    top = ranking.top_per_query(search.lexical(entries, corpus.queries(spark, sf_dir), o).select("query_id", "chunk_id", "file_path", "score"), 5, "chunk_id")
-    texts = entries.select("chunk_id", F.array_join("tokens", " ").alias("content"))
-    block = T.context_block(F.col("file_path"), F.array(), F.col("content"))
-    return top.join(texts, "chunk_id").select("query_id", "chunk_id", "rank", block.alias("block"))
+    q = corpus.queries(spark, sf_dir)
+    top = ranking.top_per_query(search.lexical(entries, q, o).select("query_id", "chunk_id", "score"), 5, "chunk_id")
+    block = T.context_block(F.col("file_path"), F.array(), F.array_join("tokens", " "))
+    return search.with_texts(entries, top, q.count() * 5).select("query_id", "chunk_id", "rank", block.alias("block"))
 
 
 def snk8_trec_lines(spark, sf_dir):

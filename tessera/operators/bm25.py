@@ -1,8 +1,10 @@
-"""Lexical search: an inverted index as relations, and BM25 over batches of queries."""
+"""Lexical search: an inverted index as tables, and BM25 over batches of queries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -10,6 +12,20 @@ from tessera.functions import text as T
 K1, B = 1.2, 0.75
 #: Scores are compared after rounding, so that the order of a sum cannot move a rank.
 DIGITS = 6
+#: Folders of stored postings; a search reads those that its tokens fall into.
+BUCKETS = 32
+#: Rows of a query side that may be broadcast, after they are counted; more are joined by a shuffle.
+ROWS_SENT = 1 << 18
+
+
+@dataclass(frozen=True)
+class Index:
+    """What a search reads: chunks (titles too), postings with what a score needs, document frequencies, one row of statistics."""
+
+    chunks: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
 
 
 def postings(entries: DataFrame) -> DataFrame:
@@ -26,27 +42,73 @@ def statistics(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
+
+
+def _full_postings(entries: DataFrame, spread: int = 1) -> DataFrame:
+    """(bucket, token, chunk_id, file_path, is_title, dl, tf), grouped where one shuffle by bucket and share of the chunks puts them."""
+    share = F.pmod(F.xxhash64("chunk_id"), F.lit(spread)).cast("int")
+    each = entries.select("chunk_id", "file_path", "is_title", "dl", F.explode("tokens").alias("token"))
+    each = each.withColumn("bucket", _bucket()).withColumn("share", share).repartition(BUCKETS * spread, "bucket", "share")
+    return each.groupBy("bucket", "share", "token", "chunk_id", "file_path", "is_title", "dl").agg(F.count("*").alias("tf")).drop("share")
+
+
+def from_entries(entries: DataFrame) -> Index:
+    """An index that is not stored: each search computes what it reads."""
+    held = _full_postings(entries)
+    return Index(entries, held, document_frequency(held), statistics(entries))
+
+
+def build(entries: DataFrame, path: str, spread: int = 1) -> None:
+    """Write the index of ``entries`` below ``path``: texts are tokenised once, all else comes from the stored chunks.
+
+    Postings lie in ``BUCKETS`` folders by a hash of their token, each in up to ``spread`` files of so many shares of the chunks
+    (more for a larger corpus), sorted by token; so a token that stands in every chunk is no task's alone.
+    Statistics come last: an index that lacks them was cut off and is not opened.
+    """
+    spark = entries.sparkSession
+    entries.write.parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    _full_postings(chunks, spread).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+    held = spark.read.schema("token string, bucket int").parquet(f"{path}/postings")
+    held.groupBy("token").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    statistics(chunks).coalesce(1).write.parquet(f"{path}/stats")
+
+
+def read(spark: SparkSession, path: str) -> Index:
+    """The index that ``build`` wrote."""
+    shape = "token string, chunk_id string, file_path string, is_title boolean, dl int, tf long, bucket int"
+    stats = spark.read.parquet(f"{path}/stats")
+    return Index(spark.read.parquet(f"{path}/chunks"), spark.read.schema(shape).parquet(f"{path}/postings"), spark.read.schema("token string, df long").parquet(f"{path}/terms"), stats)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, token, qtf): a repeated term counts as often as it is said."""
     return queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
 
 
-def score(entries: DataFrame, queries: DataFrame, keep=None) -> DataFrame:
-    """(query_id, chunk_id, score): BM25 of every entry that holds a query term.
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, to be broadcast if the counted ``n`` is small."""
+    return F.broadcast(rows) if n <= ROWS_SENT else rows
+
+
+def score(index: Index | DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
+    """(query_id, chunk_id, file_path, is_title, score): BM25 of every entry that holds a query term.
 
-    Tokens that no query asks for stop before the first shuffle. ``keep`` (a Column) filters the
-    scored entries only; counts and lengths are those of the whole index.
+    ``index`` may also be the entries themselves. The queries' terms are counted first, with the buckets that they fall into:
+    other buckets are not read, and up to ``ROWS_SENT`` terms travel to the postings instead of a shuffle of these.
+    ``keep`` (a Column) filters the scored entries only; counts and lengths are those of the whole index.
     """
+    index = index if isinstance(index, Index) else from_entries(index)
     terms = query_terms(queries)
-    asked = entries.select("chunk_id", "dl", *([keep.alias("keep")] if keep is not None else []), F.explode("tokens").alias("token"))
-    asked = asked.join(terms.select("token").distinct(), "token", "left_semi")
-    group = [c for c in asked.columns if c != "token"]
-    held = asked.groupBy("token", *group).agg(F.count("*").alias("tf"))
-    df = held.groupBy("token").agg(F.count("*").alias("df"))
+    met = terms.agg(F.count("*").alias("n"), F.collect_set(_bucket()).alias("buckets")).first()
+    held = index.postings.where(F.col("bucket").isin(met["buckets"]))
     if keep is not None:
-        held = held.where("keep")
-    stats = statistics(entries)
+        held = held.where(keep)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weighted = terms.join(df, "token").join(F.broadcast(stats)).select("query_id", "token", "qtf", idf.alias("idf"), "avgdl")
+    known = index.terms.join(few(terms, met["n"]), "token").join(F.broadcast(index.stats))
+    weighted = known.select("query_id", "token", "qtf", idf.alias("idf"), "avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return held.join(weighted, "token").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+    scored = held.join(few(weighted, met["n"]), "token").groupBy("query_id", "chunk_id")
+    return scored.agg(F.first("file_path").alias("file_path"), F.max("is_title").alias("is_title"), F.round(F.sum(part), DIGITS).alias("score"))

@@ -9,49 +9,56 @@ from tessera.config import SearchOptions
 from tessera.operators import bm25, filters, ranking, vector
 
 
-def lexical(entries: DataFrame, queries: DataFrame, o: SearchOptions, titles: bool = False) -> DataFrame:
-    """Scored chunks (query_id, chunk_id, file_path, score, rank); titles have no limit, contents ``o.limit``."""
-    path = F.col("file_path")
-    rows = entries.select("chunk_id", "file_path", "is_title", "tokens", "dl")
-    keep = (F.col("is_title") == titles) & filters.scope(path, o.folder, o.exclude_folder, o.exclude_file)
-    scored = bm25.score(rows, queries, keep).withColumn("file_path", F.regexp_extract("chunk_id", "^(.*)#[^#]*$", 1))
+def _scope(o: SearchOptions):
+    return filters.scope(F.col("file_path"), o.folder, o.exclude_folder, o.exclude_file)
+
+
+def lexical(entries: bm25.Index | DataFrame, queries: DataFrame, o: SearchOptions, titles: bool = False, hits: DataFrame | None = None) -> DataFrame:
+    """Scored chunks (query_id, chunk_id, file_path, score, rank); titles have no limit, contents ``o.limit``.
+
+    ``hits`` are the scores of both kinds where they are known already.
+    """
+    of_kind = F.col("is_title") == titles
+    scored = (bm25.score(entries, queries, of_kind & _scope(o)) if hits is None else hits.where(of_kind)).drop("is_title")
     return scored.withColumn("rank", ranking.rank_in_query("chunk_id")) if titles else ranking.top_per_query(scored, o.limit, "chunk_id")
 
 
 def dense(vectors: DataFrame, queries: DataFrame, o: SearchOptions) -> DataFrame:
     """Scored chunks of (chunk_id, file_path, embedding) for (query_id, embedding); the filter runs before scoring."""
-    rows = vectors.where(filters.scope(F.col("file_path"), o.folder, o.exclude_folder, o.exclude_file)).select(F.struct("chunk_id", "file_path").alias("k"), "embedding")
+    rows = vectors.where(_scope(o)).select(F.struct("chunk_id", "file_path").alias("k"), "embedding")
     found = vector.search(rows.select(F.concat_ws("\u0001", "k.chunk_id", "k.file_path").alias("id"), "embedding"), queries, o.limit)
     part = F.split("id", "\u0001")
     return found.select("query_id", part[0].alias("chunk_id"), part[1].alias("file_path"), "score", "rank")
 
 
-def content(entries: DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions) -> DataFrame:
+def content(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, hits: DataFrame | None = None) -> DataFrame:
     """(query_id, file_path, score): fused file ranks, or the raw scores of the only source with a weight."""
     lists = []
     if o.embedding_weight > 0:
         lists.append((ranking.aggregate_files(dense(vectors, queries, o), o.vector_method), o.embedding_weight))
     if o.bm25_weight > 0:
-        lists.append((ranking.aggregate_files(lexical(entries, queries, o), o.bm25_method), o.bm25_weight))
+        lists.append((ranking.aggregate_files(lexical(entries, queries, o, hits=hits), o.bm25_method), o.bm25_weight))
     return lists[0][0].select("query_id", "file_path", "score") if len(lists) == 1 else ranking.reciprocal_ranks(lists, "file_path")
 
 
-def title(entries: DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions) -> DataFrame:
+def title(entries: bm25.Index | DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions, hits: DataFrame | None = None) -> DataFrame:
     lists = []
     if o.embedding_weight > 0:
         lists.append((ranking.aggregate_files(dense(title_vectors, queries, o), "max_p"), o.embedding_weight))
     if o.bm25_weight > 0:
-        lists.append((ranking.aggregate_files(lexical(entries, queries, o, titles=True), "max_p"), o.bm25_weight))
+        lists.append((ranking.aggregate_files(lexical(entries, queries, o, titles=True, hits=hits), "max_p"), o.bm25_weight))
     return lists[0][0].select("query_id", "file_path", "score") if len(lists) == 1 else ranking.reciprocal_ranks(lists, "file_path")
 
 
-def search(entries: DataFrame, vectors: DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions) -> DataFrame:
+def search(entries: bm25.Index | DataFrame, vectors: DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions) -> DataFrame:
     """(query_id, file_path, score, rank): title and content branches combined by weight, the best ``o.top_k``.
 
     ``queries`` has (query_id, text, embedding); ``vectors`` and ``title_vectors`` (chunk_id, file_path, embedding).
     """
     if o.title_weight > 0 and o.content_weight > 0:
-        return ranking.combine(title(entries, title_vectors, queries, o), content(entries, vectors, queries, o), o.title_weight, o.content_weight, o.top_k)
+        # One pass over the postings serves both branches: their exchange is the same up to the scores.
+        hits = bm25.score(entries, queries, _scope(o)) if o.bm25_weight > 0 else None
+        return ranking.combine(title(entries, title_vectors, queries, o, hits), content(entries, vectors, queries, o, hits), o.title_weight, o.content_weight, o.top_k)
     only, weight = (title(entries, title_vectors, queries, o), o.title_weight) if o.title_weight > 0 else (content(entries, vectors, queries, o), o.content_weight)
     return ranking.top_per_query(only.withColumn("score", F.round(F.col("score") * weight, ranking.DIGITS)), o.top_k, "file_path")
 
@@ -66,7 +73,13 @@ def overlap_score(query: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(q, "query_id").select("query_id", "chunk_id", "file_path", F.round(share, 6).alias("score"))
 
 
-def rerank_chunks(entries: DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, limit: int, scorer=overlap_score) -> DataFrame:
+def with_texts(entries: bm25.Index | DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """Path and tokens of the named chunks; ``most`` bounds their number, and few of them are sent to the stored chunks."""
+    texts = (entries.chunks if isinstance(entries, bm25.Index) else entries).select("chunk_id", "file_path", "tokens")
+    return texts.join(bm25.few(chunks, most), "chunk_id")
+
+
+def rerank_chunks(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, limit: int, scorer=overlap_score) -> DataFrame:
     """Candidates of both sources, each with its share of the limit, merged, and scored again by ``scorer``."""
     dense_n, lexical_n = ranking.split_limit(limit, o.embedding_weight, o.bm25_weight)
     lists = []
@@ -75,5 +88,5 @@ def rerank_chunks(entries: DataFrame, vectors: DataFrame, queries: DataFrame, o:
     if lexical_n:
         lists.append(lexical(entries, queries, o).where(F.col("rank") <= lexical_n).select("query_id", "chunk_id", "file_path", "score"))
     merged = ranking.merge_first(*lists).select("query_id", "chunk_id")
-    texts = entries.select("chunk_id", "file_path", "tokens")
-    return scorer(queries.select("query_id", F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0)").alias("tokens")), merged.join(texts, "chunk_id"))
+    asked = queries.select("query_id", F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0)").alias("tokens"))
+    return scorer(asked, with_texts(entries, merged, queries.count() * limit))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.sources import store
+
 # What the kinds of events stand for, as in the batch form.
 OPS = {"signup": "create", "view": "modify", "click": "modify", "error": "delete", "purchase": "rename"}
 
@@ -39,15 +39,6 @@ def coalesce_stream(changes: DataFrame) -> DataFrame:
     return changes.groupBy("key").applyInPandasWithState(_step, "key long, seen long, op string", "op string, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
@@ -63,13 +54,13 @@ def replayed(spark: SparkSession, path: str) -> DataFrame:
 
     Each micro-batch appends its updates to a table (a retried batch overwrites its own folder); the last one of a key counts.
     """
-    out = _scratch(spark, "changes")
+    out = store.scratch(spark, "changes")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
 
     changes = _events(spark, path).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), _kind().alias("op"))
-    query = coalesce_stream(changes).writeStream.outputMode("update").option("checkpointLocation", _scratch(spark, "state")).trigger(availableNow=True).foreachBatch(sink).start()
+    query = coalesce_stream(changes).writeStream.outputMode("update").option("checkpointLocation", store.scratch(spark, "state")).trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
     last = spark.read.schema("key long, seen long, op string").parquet(out).groupBy("key").agg(F.max_by("op", "seen").alias("op"))
     return last.where("op <> ''")
@@ -80,7 +71,7 @@ def windowed(spark: SparkSession, path: str) -> DataFrame:
 
     An extension: the library's model has no event time of its own.
     """
-    out = _scratch(spark, "windows")
+    out = store.scratch(spark, "windows")
 
     def sink(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
@@ -88,7 +79,7 @@ def windowed(spark: SparkSession, path: str) -> DataFrame:
     rows = _events(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
     counts = rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     flat = counts.select(F.col("window.start").alias("start"), "event_type", "n", "total")
-    query = flat.writeStream.outputMode("update").option("checkpointLocation", _scratch(spark, "state")).trigger(availableNow=True).foreachBatch(sink).start()
+    query = flat.writeStream.outputMode("update").option("checkpointLocation", store.scratch(spark, "state")).trigger(availableNow=True).foreachBatch(sink).start()
     query.awaitTermination()
     updates = spark.read.schema("start timestamp, event_type string, n long, total double").parquet(out)
     last = updates.groupBy("start", "event_type").agg(F.max_by("total", "n").alias("total"), F.max("n").alias("n"))
