@@ -192,3 +192,12 @@ def ical_time(stamp: Column) -> Column:
     day = F.when(stamp.rlike(r"^\d{8}$"), F.concat(stamp, F.lit("T000000")))
     moment = F.when(stamp.rlike(r"^\d{8}T\d{6}Z?$"), F.substring(stamp, 1, 15))
     return F.to_timestamp(F.coalesce(day, moment), "yyyyMMdd'T'HHmmss")
+
+
+def ical_events(feed: Column) -> Column:
+    """The events of a calendar feed that have summary, start and end: folded lines are joined first, parameters of a field dropped."""
+    flat = F.regexp_replace(F.regexp_replace(feed, "\r\n", "\n"), "\n[ \t]", "")
+    blocks = F.regexp_extract_all(flat, F.lit(r"(?is)BEGIN:VEVENT\n(.*?)END:VEVENT"), F.lit(1))
+    field = lambda block, name: F.regexp_extract(block, rf"(?im)^{name}(?:;[^:\n]*)?:([^\n]*)$", 1)
+    rows = F.transform(blocks, lambda b: F.struct(ical_text(field(b, "SUMMARY")).alias("summary"), ical_time(field(b, "DTSTART")).alias("start"), ical_time(field(b, "DTEND")).alias("end")))
+    return F.filter(rows, lambda r: (r["summary"] != "") & r["start"].isNotNull() & r["end"].isNotNull())

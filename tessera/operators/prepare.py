@@ -59,3 +59,9 @@ def length_statistics(rows: DataFrame, *lengths: str) -> DataFrame:
     for c in lengths:
         out += [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"sum_{c}"), F.floor(F.coalesce(F.avg(c), F.lit(0.0)) + 0.5).cast("long").alias(f"avg_{c}")]
     return rows.agg(*out)
+
+
+def first_by_id(rows: DataFrame, id_col: str, order: str) -> DataFrame:
+    """One row per id, the least by ``order``; combined before the shuffle."""
+    rest = [c for c in rows.columns if c not in (id_col, order)]
+    return rows.groupBy(id_col).agg(F.min(F.struct(order, *rest)).alias("first")).select(id_col, *[F.col(f"first.{c}").alias(c) for c in rows.columns if c != id_col])

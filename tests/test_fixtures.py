@@ -216,3 +216,28 @@ def test_preparation(spark):
     assert sorted(r["id"] for r in corpus.tolerant_json(lines, "id int").collect()) == [1, 2]
     run = spark.createDataFrame([("q Q0 d 1 0.5 r",), ("short line",)], "value string")
     assert [tuple(r) for r in corpus.parse_run(run).collect()] == [("q", "d", 1, 0.5, "r")]
+
+
+def test_query_builders_for_selections():
+    from tessera.functions import chunker
+
+    assert chunker.selected_query("a b c", "", 10, None) == "a b c"
+    assert chunker.selected_query("one two three " * 10, "t", 5, None) == "t\n\n" + " ".join(["one two three"] * 3 + ["one"])
+    assert chunker.selected_query("x " * 30, "t", 12, 40) == "t\n\n" + " ".join("x" * 23)
+    assert chunker.selected_query("a.b.c.d.e.f.g.h.i.j.k.l", "", 10, None) == "a.b.c.d.e.f.g.h.i.j."
+    assert chunker.selection("a b\nc d\ne f", 1, 2, 2) == "c d"
+    assert len(chunker.fit("w " * 400, 100)) <= 200 and chunker.fit("short text", 1) == "short text"
+
+
+def test_stored_index_scores_like_entries(spark, tmp_path):
+    from tessera.operators import bm25
+    from tessera.sources import corpus
+
+    rows = [(i, f"f/{i}.md", f"title {i % 3}", " ".join(["red", "green", "blue"][: i % 4]) or None) for i in range(40)]
+    entries = corpus.index_entries(spark.createDataFrame(rows, "doc_id long, file_path string, title string, content string"))
+    q = spark.createDataFrame([(1, "red blue"), (2, "title 2"), (3, "nothing known"), (4, "")], "query_id long, text string")
+    bm25.build(entries, str(tmp_path / "index"), spread=2)
+    found = lambda index: sorted(map(tuple, bm25.score(index, q).collect()))
+    assert found(bm25.read(spark, str(tmp_path / "index"))) == found(entries) != []
+    bm25.build(entries.limit(0), str(tmp_path / "empty"))
+    assert found(bm25.read(spark, str(tmp_path / "empty"))) == []
