@@ -111,4 +111,6 @@ def score(index: Index | DataFrame, queries: DataFrame, keep: Column | None = No
     weighted = known.select("query_id", "token", "qtf", idf.alias("idf"), "avgdl")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = held.join(few(weighted, met["n"]), "token").groupBy("query_id", "chunk_id")
-    return scored.agg(F.first("file_path").alias("file_path"), F.max("is_title").alias("is_title"), F.round(F.sum(part), DIGITS).alias("score"))
+    # Strings stay out of the aggregates, which would sort instead of hash; the path is part of the chunk's id.
+    sums = scored.agg(F.max("is_title").alias("is_title"), F.round(F.sum(part), DIGITS).alias("score"))
+    return sums.select("query_id", "chunk_id", F.regexp_extract("chunk_id", "^(.*)#[^#]*$", 1).alias("file_path"), "is_title", "score")
