@@ -107,8 +107,9 @@ def strip_controls(text: Column) -> Column:
 
 
 def context_block(path: Column, headings: Column, content: Column) -> Column:
-    """A link to the note, with its last heading if it has one, then the content."""
-    link = F.when(F.size(headings) > 0, F.concat(path, F.lit("#"), F.element_at(headings, -1))).otherwise(path)
+    """A link to the note (without .md), with its last heading (without #) if it has one, then the content."""
+    note = F.regexp_replace(path, r"\.md$", "")
+    link = F.when(F.size(headings) > 0, F.concat(note, F.lit("#"), F.regexp_replace(F.element_at(headings, -1), r"^#+\s*", ""))).otherwise(note)
     return F.concat(F.lit("[["), link, F.lit("]]\n"), content)
 
 

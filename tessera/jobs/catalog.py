@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.jobs import evaluation, exchange, maintenance, preparation, retrieval, scalars
+from tessera.jobs import evaluation, exchange, indexing, maintenance, preparation, retrieval, scalars
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (retrieval, evaluation, maintenance, preparation, scalars, exchange):
+for _module in (retrieval, evaluation, maintenance, preparation, scalars, exchange, indexing):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
 

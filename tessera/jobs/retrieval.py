@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import SearchOptions
 from tessera.functions import text as T
-from tessera.operators import bm25, filters, ranking, search, vector
+from tessera.operators import bm25, filters, models, ranking, search, vector
 from tessera.sources import corpus, store
 
 # ---- shared SQL of the oracles -------------------------------------------------
@@ -76,8 +76,11 @@ def _files(source: str, method: str) -> str:
 
 def _rrf(lists: list[tuple[str, float]]) -> str:
     top = sum(w for _, w in lists) / 61
-    parts = " UNION ALL ".join(f"SELECT query_id, file_path, {float(w)!r}::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path)) AS part FROM {x}" for x, w in lists)
-    return f"(SELECT query_id, file_path, round(sum(part) / {top!r}::DOUBLE, 6) AS score FROM ({parts}) GROUP BY query_id, file_path)"
+    parts = " UNION ALL ".join(
+        f"SELECT query_id, file_path, {float(w)!r}::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, file_path)) AS part, top_chunk, chunk_count, {i} AS source_order FROM {x}"
+        for i, (x, w) in enumerate(lists)
+    )
+    return f"(SELECT query_id, file_path, round(sum(part) / {top!r}::DOUBLE, 6) AS score, arg_min(top_chunk, source_order) AS top_chunk, arg_min(chunk_count, source_order) AS chunk_count FROM ({parts}) GROUP BY query_id, file_path)"
 
 
 def _lexical(limit: int = 100, where: str = "NOT is_title") -> str:
@@ -226,8 +229,13 @@ def q10_search_and_rerank(spark, sf_dir):
 
 
 def q11_rag_chunks(spark, sf_dir):
-    scored = search.rerank_chunks(_entries(spark, sf_dir), _vectors(spark, sf_dir), _queries(spark, sf_dir), SearchOptions(), 50)
-    return ranking.top_per_query(scored, 5, "chunk_id").select("query_id", "chunk_id", "score", "rank")
+    return _rag(spark, sf_dir, SearchOptions()).select("query_id", "chunk_id", "score", "rank")
+
+
+def _rag(spark, sf_dir, o: SearchOptions, most: int = 5) -> DataFrame:
+    """The best chunks of both sources, whose shares of ten times as many are rounded up, after reranking."""
+    scored = search.rerank_chunks(_entries(spark, sf_dir), _vectors(spark, sf_dir), _queries(spark, sf_dir), o, most * 10, up=True)
+    return ranking.top_per_query(scored, most, "chunk_id")
 
 
 def q9_file_rerank(spark, sf_dir):
@@ -246,13 +254,39 @@ def q12_dense_documents(spark, sf_dir):
 
 
 def q13_vault_search(spark, sf_dir):
-    """The first five chunks as context blocks, without one folder."""
-    o = SearchOptions(exclude_folder="src3")
-    entries = _entries(spark, sf_dir)
-    q = corpus.queries(spark, sf_dir)
-    top = ranking.top_per_query(search.lexical(entries, q, o).select("query_id", "chunk_id", "score"), 5, "chunk_id")
+    """The first five reranked chunks as context blocks, without one folder."""
+    top = _rag(spark, sf_dir, SearchOptions(exclude_folder="src3")).select("query_id", "chunk_id", "rank")
     block = T.context_block(F.col("file_path"), F.array(), F.array_join("tokens", " "))
-    return search.with_texts(entries, top, q.count() * 5).select("query_id", "chunk_id", "rank", block.alias("block"))
+    return search.with_texts(_entries(spark, sf_dir), top, corpus.queries(spark, sf_dir).count() * 5).select("query_id", "chunk_id", "rank", block.alias("block"))
+
+
+def jon9_result_rows(spark, sf_dir):
+    """Results with what a list of them shows: the content branch's best chunk (the dense one first), its number of chunks, title and size."""
+    o = SearchOptions(title_weight=1.0, content_weight=3.0)
+    v, q = _vectors(spark, sf_dir), _queries(spark, sf_dir)
+    found = search.search(_entries(spark, sf_dir), v, v, q, o, base=search.BASE)
+    return search.detailed(found.select(*RESULT.split(", "), *search.BASE), corpus.files(spark, sf_dir), q.count() * o.top_k)
+
+
+def _embedded(rows: DataFrame) -> DataFrame:
+    return models.embed(rows, "text").where("not broken")
+
+
+def q4_embedded_titles(spark, sf_dir):
+    """Titles and queries embedded in batches; a title leads to its note's first chunk and counts as one. Broken vectors take no part."""
+    first = _entries(spark, sf_dir).chunks.where("chunk_index = 0").select("chunk_id", "file_path", F.col("title").alias("text"))
+    titles = _embedded(first.withColumn("text", F.lower("text"))).select("chunk_id", "file_path", "embedding")
+    asked = _embedded(corpus.queries(spark, sf_dir).withColumn("text", F.lower("text"))).select("query_id", "embedding")
+    found = search.dense(titles, asked, SearchOptions())
+    return found.select("query_id", "chunk_id", "file_path", "score", "rank", F.lit(1).cast("long").alias("chunk_count"))
+
+
+def udf2_reranked_chunks(spark, sf_dir):
+    """Each query's candidates in one call of a reranker, which gives scores and the best five."""
+    e, q = _entries(spark, sf_dir), _queries(spark, sf_dir)
+    wanted = search.candidates(e, _vectors(spark, sf_dir), q, SearchOptions(), 50, up=True)
+    texts = search.with_texts(e, wanted, q.count() * 51, titles=True).select("query_id", "chunk_id", F.array_join("tokens", " ").alias("content"))
+    return models.rerank(texts.join(q.select("query_id", F.array_join(T.tokens(F.col("text")), " ").alias("query")), "query_id"), 5)
 
 
 def snk8_trec_lines(spark, sf_dir):
@@ -282,7 +316,8 @@ QUERIES = {
         fn1_tokens, fn2_distinct_tokens, fn3_cosine, fn9_token_windows, agg8_postings, agg9_document_frequency, agg10_index_statistics,
         q1_bm25_content, q1_bm25_in_folder, q2_bm25_title, q3_vector_content, q3_vector_outside_folder, q4_vector_title, q5_hybrid_content,
         q6_hybrid_title, q7_hybrid_search, q8_single_source, q9_file_rerank, q10_search_and_rerank, q11_rag_chunks, q12_dense_documents,
-        q13_vault_search, win2_weighted_rrf, win5_merge_first, agg30_min_max, snk8_trec_lines, src15_trec_round_trip,
+        q13_vault_search, jon9_result_rows, q4_embedded_titles, udf2_reranked_chunks, win2_weighted_rrf, win5_merge_first, agg30_min_max, snk8_trec_lines,
+        src15_trec_round_trip,
     )
 } | {f"agg_{m}": aggregate(m) for m in _METHODS} | {"flt_path_predicates": tie_filters}
 
@@ -296,9 +331,22 @@ def _fill(sql: str, *parts: str) -> str:
 
 
 _MERGED = "(SELECT DISTINCT query_id, chunk_id FROM (SELECT query_id, chunk_id FROM {} UNION ALL SELECT query_id, chunk_id FROM {}))"
-_RERANK = """(SELECT m.query_id, m.chunk_id, e.file_path,
-        round(len(list_intersect(list_distinct(q.tokens), e.tokens)) / greatest(len(list_distinct(q.tokens)), 1)::DOUBLE, 6) AS score
-    FROM {} m JOIN entries e USING (chunk_id) JOIN (SELECT query_id, regexp_extract_all(lower(text), """ + WORDS + """) AS tokens FROM queries) q USING (query_id))"""
+#: Candidates against the query's words; ``{}`` stands for the candidates, ``TOKENS`` for what a candidate holds.
+_OVERLAP = """(SELECT m.query_id, m.chunk_id, e.file_path,
+        round(len(list_intersect(list_distinct(q.tokens), TOKENS)) / greatest(len(list_distinct(q.tokens)), 1)::DOUBLE, 6) AS score
+    FROM {} m JOIN entries e USING (chunk_id) JOIN files f ON f.file_path = e.file_path JOIN (SELECT query_id, regexp_extract_all(lower(text), """ + WORDS + """) AS tokens FROM queries) q USING (query_id))"""
+_RERANK = _OVERLAP.replace("TOKENS", "e.tokens")
+_TITLED = f"list_concat(regexp_extract_all(lower(f.title), {WORDS}), e.tokens)"
+_RERANK_TITLED = _OVERLAP.replace("TOKENS", _TITLED)
+
+
+def _rag_sql(where: str = "true") -> str:
+    merged = _fill(_MERGED, _dense(30, where), _lexical(20, f"NOT is_title AND {where}"))
+    return _top(_fill(_RERANK_TITLED, merged), 5, "chunk_id", "query_id, chunk_id, score, rank")
+
+
+#: Shares of letters, as the stand-in for an embedder gives them, of a column ``text`` in lower case; null where there are none.
+LETTERS = "list_transform(range(97, 123), lambda c: (length(text) - length(replace(text, chr(c::INTEGER), '')))::DOUBLE / nullif(length(regexp_replace(text, '[^a-z]', '', 'g')), 0))"
 _FILES100 = _files(_lexical(), "max_p")
 _MINMAX = "(SELECT * EXCLUDE (score), round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM {} WINDOW w AS (PARTITION BY query_id))"
 
@@ -326,10 +374,17 @@ ORACLES = {
     "q7_hybrid_search": f"""WITH {BM25} {VECTORS} {_top(f"(SELECT query_id, file_path, round(sum(part), 6) AS score FROM (SELECT query_id, file_path, score * 0.25::DOUBLE AS part FROM {TITLE} UNION ALL SELECT query_id, file_path, score * 0.75::DOUBLE FROM {CONTENT}) GROUP BY query_id, file_path)", 10, "file_path", RESULT)}""",
     "q8_single_source": f"WITH {BM25} {_top(_FILES100, 100, 'file_path', RESULT)}",
     "q9_file_rerank": f"WITH {BM25}, best AS (SELECT query_id, top_chunk AS chunk_id FROM ({_top(_FILES100, 10, 'file_path', 'query_id, top_chunk')})) {_top(_fill(_MINMAX, _fill(_RERANK, 'best')), 10, 'file_path', RESULT)}",
-    "q10_search_and_rerank": f"WITH {BM25} {VECTORS} {_top(_fill(_MINMAX, _files(_fill(_RERANK, _fill(_MERGED, _dense(60), _lexical(40))), 'max_p')), 10, 'file_path', RESULT)}",
-    "q11_rag_chunks": f"WITH {BM25} {VECTORS} {_top(_fill(_RERANK, _fill(_MERGED, _dense(30), _lexical(20))), 5, 'chunk_id', 'query_id, chunk_id, score, rank')}",
+    "q10_search_and_rerank": f"WITH {BM25} {VECTORS} {_top(_fill(_MINMAX, _files(_fill(_RERANK_TITLED, _fill(_MERGED, _dense(60), _lexical(40))), 'max_p')), 10, 'file_path', RESULT)}",
+    "q11_rag_chunks": f"WITH {BM25} {VECTORS} {_rag_sql()}",
     "q12_dense_documents": f"WITH {FILES} {VECTORS} {_top(_files(_dense(), 'max_p'), 5, 'file_path', RESULT)}",
-    "q13_vault_search": f"WITH {BM25} SELECT query_id, chunk_id, rank, '[[' || e.file_path || ']]' || chr(10) || array_to_string(e.tokens, ' ') AS block FROM {_lexical(5, "NOT is_title AND NOT starts_with(file_path, 'src3/')")} t JOIN entries e USING (chunk_id)",
+    "q13_vault_search": f"WITH {BM25} {VECTORS} SELECT query_id, chunk_id, rank, '[[' || regexp_replace(e.file_path, '\\.md$', '') || ']]' || chr(10) || array_to_string(e.tokens, ' ') AS block FROM ({_rag_sql("NOT starts_with(file_path, 'src3/')")}) t JOIN entries e USING (chunk_id)",
+    "jon9_result_rows": f"""WITH {BM25} {VECTORS} SELECT {RESULT}, top_chunk, chunk_count, title, size FROM ({_top(f"(SELECT query_id, file_path, round(sum(part), 6) AS score, arg_min(top_chunk, o) AS top_chunk, arg_min(chunk_count, o) AS chunk_count FROM (SELECT query_id, file_path, score * 0.25::DOUBLE AS part, top_chunk, chunk_count, 1 AS o FROM {TITLE} UNION ALL SELECT query_id, file_path, score * 0.75::DOUBLE, top_chunk, chunk_count, 0 FROM {CONTENT}) GROUP BY query_id, file_path)", 10, "file_path", RESULT + ", top_chunk, chunk_count")}) JOIN files USING (file_path)""",
+    "q4_embedded_titles": f"""WITH {ENTRIES},
+        titles AS (SELECT file_path || '#0' AS chunk_id, file_path, {LETTERS} AS v FROM (SELECT DISTINCT file_path, lower(title) AS text FROM chunks)),
+        asked AS (SELECT item_id AS query_id, {LETTERS} AS v FROM (SELECT item_id, lower(text) AS text FROM benchmark)),
+        cosines AS (SELECT query_id, chunk_id, file_path, round(list_cosine_similarity(asked.v, titles.v), 6) AS score FROM asked CROSS JOIN titles WHERE asked.v[1] IS NOT NULL AND titles.v[1] IS NOT NULL)
+        SELECT query_id, chunk_id, file_path, score, rank, 1::BIGINT AS chunk_count FROM {_dense()}""",
+    "udf2_reranked_chunks": f"WITH {BM25} {VECTORS} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM ({_rag_sql()})",
     "win2_weighted_rrf": f"WITH {BM25} {VECTORS} SELECT query_id, file_path, round(score, 6) AS score FROM {_rrf([(_files(_dense(), 'max_p'), 0.8), (_FILES100, 0.2)]).replace(f'/ {1 / 61!r}::DOUBLE', '')}",
     "win5_merge_first": f"""WITH {BM25} {VECTORS} SELECT query_id, chunk_id, score, source_order FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY source_order) AS r FROM (

@@ -170,7 +170,7 @@ ORACLES = {
     "fn25_transcript": r"""WITH s AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '^[\s\x0B]+', '')) AS said FROM conversations)
         SELECT conv_id, turn, round((turn * 75)::BIGINT + 0.25::DOUBLE, 3) AS start, round((turn * 75 + 70)::BIGINT + 0.25::DOUBLE, 3) AS "end", md5(said) AS text_md5,
                coalesce(sum(length(said) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM s WHERE said <> ''""",
-    "fn26_context": f"WITH {R.FILES} SELECT doc_id, '[[' || file_path || CASE WHEN doc_id % 2 = 0 THEN '#' || lang ELSE '' END || ']]' || chr(10) || title AS block FROM files",
+    "fn26_context": f"WITH {R.FILES} SELECT doc_id, '[[' || regexp_replace(file_path, '\\.md$', '') || CASE WHEN doc_id % 2 = 0 THEN '#' || lang ELSE '' END || ']]' || chr(10) || title AS block FROM files",
     "fn27_char_budget": f"""WITH c AS (SELECT doc_id, text, substr(text, 1, 400) AS cut, strpos(reverse(substr(text, 1, 400)), chr(10)) AS back FROM {_D})
         SELECT doc_id, md5(CASE WHEN length(text) <= 400 THEN text ELSE CASE WHEN back > 0 AND 400 - back > 320 THEN substr(cut, 1, 400 - back) ELSE cut END || chr(10) || '[truncated]' END) AS text_md5 FROM c""",
     "fn28_grade": f"""WITH {R.FILES}, s AS (SELECT *, trim(lower(CASE doc_id % 5 WHEN 0 THEN 'Sorry, I DON''T know ' || title WHEN 1 THEN '  ' || title WHEN 2 THEN lang ELSE 'x' END)) AS said FROM files)

@@ -46,7 +46,7 @@ def _bucket() -> Column:
     return F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
 
 
-def _full_postings(entries: DataFrame, spread: int = 1) -> DataFrame:
+def full_postings(entries: DataFrame, spread: int = 1) -> DataFrame:
     """(bucket, token, chunk_id, file_path, is_title, dl, tf), grouped where one shuffle by bucket and share of the chunks puts them."""
     share = F.pmod(F.xxhash64("chunk_id"), F.lit(spread)).cast("int")
     each = entries.select("chunk_id", "file_path", "is_title", "dl", F.explode("tokens").alias("token"))
@@ -56,7 +56,7 @@ def _full_postings(entries: DataFrame, spread: int = 1) -> DataFrame:
 
 def from_entries(entries: DataFrame) -> Index:
     """An index that is not stored: each search computes what it reads."""
-    held = _full_postings(entries)
+    held = full_postings(entries)
     return Index(entries, held, document_frequency(held), statistics(entries))
 
 
@@ -67,12 +67,20 @@ def build(entries: DataFrame, path: str, spread: int = 1) -> None:
     (more for a larger corpus), sorted by token; so a token that stands in every chunk is no task's alone.
     Statistics come last: an index that lacks them was cut off and is not opened.
     """
-    spark = entries.sparkSession
     entries.write.parquet(f"{path}/chunks")
-    chunks = spark.read.parquet(f"{path}/chunks")
-    _full_postings(chunks, spread).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
-    held = spark.read.schema("token string, bucket int").parquet(f"{path}/postings")
-    held.groupBy("token").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    chunks = entries.sparkSession.read.parquet(f"{path}/chunks")
+    write_postings(full_postings(chunks, spread), path)
+    finish(chunks, path)
+
+
+def write_postings(held: DataFrame, path: str) -> None:
+    held.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def finish(chunks: DataFrame, path: str) -> None:
+    """Document frequencies, then statistics, of the chunks and postings written below ``path``; now the index may be opened."""
+    held = chunks.sparkSession.read.schema("token string, bucket int").parquet(f"{path}/postings")
+    document_frequency(held).write.parquet(f"{path}/terms")
     statistics(chunks).coalesce(1).write.parquet(f"{path}/stats")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,25 +54,34 @@ def merge_first(*lists: DataFrame) -> DataFrame:
     return union.withColumn("r", place).where("r = 1").drop("r")
 
 
-def reciprocal_ranks(lists: list[tuple[DataFrame, float]], key: str, k: int = RRF_K, normalise: bool = True) -> DataFrame:
+def _fused(union: DataFrame, key: str, score: Column, base: tuple[str, ...]) -> DataFrame:
+    """Parts added up per query and key; the ``base`` columns are those of the first list that has the key."""
+    first = [F.min_by(F.struct(*base), "source_order").alias("base")] if base else []
+    return union.groupBy("query_id", key).agg(F.round(score, DIGITS).alias("score"), *first).select("query_id", key, "score", *[f"base.{c}" for c in base])
+
+
+def reciprocal_ranks(lists: list[tuple[DataFrame, float]], key: str, k: int = RRF_K, normalise: bool = True, base: tuple[str, ...] = ()) -> DataFrame:
     """Weighted reciprocal-rank fusion of (query_id, key, score) lists, by one union and one aggregation.
 
-    A list that lacks the key adds nothing. ``normalise`` divides by the best that could be reached.
+    A list that lacks the key adds nothing. ``normalise`` divides by the best that could be reached. The ``base`` columns
+    come from the first list that has the key.
     """
     if not lists or sum(w for _, w in lists) <= 0:
         raise ValueError("at least one list needs a positive weight")
-    parts = [x.select("query_id", key, (F.lit(float(w)) / (k + rank_in_query(key))).alias("part")) for x, w in lists if w > 0]
+    parts = [x.select("query_id", key, *base, (F.lit(float(w)) / (k + rank_in_query(key))).alias("part"), F.lit(i).alias("source_order")) for i, (x, w) in enumerate(lists) if w > 0]
     union = parts[0]
     for x in parts[1:]:
         union = union.unionByName(x)
     top = sum(w for _, w in lists) / (k + 1) if normalise else 1.0
-    return union.groupBy("query_id", key).agg(F.round(F.sum("part") / top, DIGITS).alias("score"))
+    return _fused(union, key, F.sum("part") / top, base)
 
 
-def combine(title: DataFrame, content: DataFrame, title_weight: float, content_weight: float, top_k: int) -> DataFrame:
-    """Weighted sum of title and content scores; a missing side counts as 0, the content row is preferred."""
-    union = title.select("query_id", "file_path", (F.col("score") * title_weight).alias("part")).unionByName(content.select("query_id", "file_path", (F.col("score") * content_weight).alias("part")))
-    return top_per_query(union.groupBy("query_id", "file_path").agg(F.round(F.sum("part"), DIGITS).alias("score")), top_k, "file_path")
+def combine(title: DataFrame, content: DataFrame, title_weight: float, content_weight: float, top_k: int, base: tuple[str, ...] = ()) -> DataFrame:
+    """Weighted mean of title and content scores; a missing side counts as 0, the ``base`` columns are the content row's if there is one."""
+    total = title_weight + content_weight
+    side = lambda x, w, order: x.select("query_id", "file_path", *base, (F.col("score") * (w / total)).alias("part"), F.lit(order).alias("source_order"))
+    union = side(content, content_weight, 0).unionByName(side(title, title_weight, 1))
+    return top_per_query(_fused(union, "file_path", F.sum("part"), base), top_k, "file_path")
 
 
 def min_max(scored: DataFrame) -> DataFrame:
@@ -80,9 +91,10 @@ def min_max(scored: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.round(F.when(span == 0, 1.0).otherwise((F.col("score") - low) / span), DIGITS))
 
 
-def split_limit(limit: int, embedding_weight: float, bm25_weight: float) -> tuple[int, int]:
-    """Share a retrieval limit between two sources by weight, rounding half up."""
+def split_limit(limit: int, embedding_weight: float, bm25_weight: float, up: bool = False) -> tuple[int, int]:
+    """Share a retrieval limit between two sources by weight, rounding half up, or both up."""
     total = embedding_weight + bm25_weight
     if total <= 0:
         raise ValueError("at least one weight must be positive")
-    return int(limit * embedding_weight / total + 0.5), int(limit * bm25_weight / total + 0.5)
+    # A tenth of a millionth off, so that a whole share stays whole.
+    return tuple(ceil(limit * w / total - 1e-7) if up else int(limit * w / total + 0.5) for w in (embedding_weight, bm25_weight))

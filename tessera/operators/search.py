@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import SearchOptions
+from tessera.functions import text as T
 from tessera.operators import bm25, filters, ranking, vector
 
 
@@ -31,36 +32,45 @@ def dense(vectors: DataFrame, queries: DataFrame, o: SearchOptions) -> DataFrame
     return found.select("query_id", part[0].alias("chunk_id"), part[1].alias("file_path"), "score", "rank")
 
 
-def content(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, hits: DataFrame | None = None) -> DataFrame:
-    """(query_id, file_path, score): fused file ranks, or the raw scores of the only source with a weight."""
+#: What a result tells beside its score: its best chunk and how many were found.
+BASE = ("top_chunk", "chunk_count")
+
+
+def content(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, hits: DataFrame | None = None, base: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, file_path, score): fused file ranks, or the raw scores of the only source with a weight; ``base`` columns of the dense row if there is one."""
     lists = []
     if o.embedding_weight > 0:
         lists.append((ranking.aggregate_files(dense(vectors, queries, o), o.vector_method), o.embedding_weight))
     if o.bm25_weight > 0:
         lists.append((ranking.aggregate_files(lexical(entries, queries, o, hits=hits), o.bm25_method), o.bm25_weight))
-    return lists[0][0].select("query_id", "file_path", "score") if len(lists) == 1 else ranking.reciprocal_ranks(lists, "file_path")
+    return lists[0][0].select("query_id", "file_path", "score", *base) if len(lists) == 1 else ranking.reciprocal_ranks(lists, "file_path", base=base)
 
 
-def title(entries: bm25.Index | DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions, hits: DataFrame | None = None) -> DataFrame:
+def title(entries: bm25.Index | DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions, hits: DataFrame | None = None, base: tuple[str, ...] = ()) -> DataFrame:
     lists = []
     if o.embedding_weight > 0:
         lists.append((ranking.aggregate_files(dense(title_vectors, queries, o), "max_p"), o.embedding_weight))
     if o.bm25_weight > 0:
         lists.append((ranking.aggregate_files(lexical(entries, queries, o, titles=True, hits=hits), "max_p"), o.bm25_weight))
-    return lists[0][0].select("query_id", "file_path", "score") if len(lists) == 1 else ranking.reciprocal_ranks(lists, "file_path")
+    return lists[0][0].select("query_id", "file_path", "score", *base) if len(lists) == 1 else ranking.reciprocal_ranks(lists, "file_path", base=base)
 
 
-def search(entries: bm25.Index | DataFrame, vectors: DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions) -> DataFrame:
-    """(query_id, file_path, score, rank): title and content branches combined by weight, the best ``o.top_k``.
+def search(entries: bm25.Index | DataFrame, vectors: DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions, base: tuple[str, ...] = ()) -> DataFrame:
+    """(query_id, file_path, score, rank): title and content branches combined by weight, the best ``o.top_k``; ``base`` columns (of ``BASE``) on request.
 
     ``queries`` has (query_id, text, embedding); ``vectors`` and ``title_vectors`` (chunk_id, file_path, embedding).
     """
     if o.title_weight > 0 and o.content_weight > 0:
         # One pass over the postings serves both branches: their exchange is the same up to the scores.
         hits = bm25.score(entries, queries, _scope(o)) if o.bm25_weight > 0 else None
-        return ranking.combine(title(entries, title_vectors, queries, o, hits), content(entries, vectors, queries, o, hits), o.title_weight, o.content_weight, o.top_k)
-    only, weight = (title(entries, title_vectors, queries, o), o.title_weight) if o.title_weight > 0 else (content(entries, vectors, queries, o), o.content_weight)
-    return ranking.top_per_query(only.withColumn("score", F.round(F.col("score") * weight, ranking.DIGITS)), o.top_k, "file_path")
+        return ranking.combine(title(entries, title_vectors, queries, o, hits, base), content(entries, vectors, queries, o, hits, base), o.title_weight, o.content_weight, o.top_k, base)
+    only = title(entries, title_vectors, queries, o, base=base) if o.title_weight > 0 else content(entries, vectors, queries, o, base=base)
+    return ranking.top_per_query(only.withColumn("score", F.round("score", ranking.DIGITS)), o.top_k, "file_path")
+
+
+def detailed(results: DataFrame, notes: DataFrame, most: int) -> DataFrame:
+    """Results with the title and size of their files; ``most`` bounds the number of results, few of which are sent to the notes."""
+    return notes.select("file_path", "title", "size").join(bm25.few(results, most), "file_path").select(*results.columns, "title", "size")
 
 
 def overlap_score(query: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -73,20 +83,25 @@ def overlap_score(query: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(q, "query_id").select("query_id", "chunk_id", "file_path", F.round(share, 6).alias("score"))
 
 
-def with_texts(entries: bm25.Index | DataFrame, chunks: DataFrame, most: int) -> DataFrame:
-    """Path and tokens of the named chunks; ``most`` bounds their number, and few of them are sent to the stored chunks."""
-    texts = (entries.chunks if isinstance(entries, bm25.Index) else entries).select("chunk_id", "file_path", "tokens")
-    return texts.join(bm25.few(chunks, most), "chunk_id")
+def with_texts(entries: bm25.Index | DataFrame, chunks: DataFrame, most: int, titles: bool = False) -> DataFrame:
+    """Path and tokens of the named chunks, after their titles' if asked; ``most`` bounds their number, and few of them are sent to the stored chunks."""
+    held = entries.chunks if isinstance(entries, bm25.Index) else entries
+    tokens = F.concat(T.tokens(F.coalesce("title", F.lit(""))), "tokens") if titles else F.col("tokens")
+    return held.select("chunk_id", "file_path", tokens.alias("tokens")).join(bm25.few(chunks, most), "chunk_id")
 
 
-def rerank_chunks(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, limit: int, scorer=overlap_score) -> DataFrame:
-    """Candidates of both sources, each with its share of the limit, merged, and scored again by ``scorer``."""
-    dense_n, lexical_n = ranking.split_limit(limit, o.embedding_weight, o.bm25_weight)
+def candidates(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, limit: int, up: bool = False) -> DataFrame:
+    """(query_id, chunk_id): chunks of both sources, each with its share of the limit, merged."""
+    dense_n, lexical_n = ranking.split_limit(limit, o.embedding_weight, o.bm25_weight, up)
     lists = []
     if dense_n:
-        lists.append(dense(vectors, queries, o).where(F.col("rank") <= dense_n).drop("rank"))
+        lists.append(dense(vectors, queries, o).where(F.col("rank") <= dense_n).select("query_id", "chunk_id", "file_path", "score"))
     if lexical_n:
         lists.append(lexical(entries, queries, o).where(F.col("rank") <= lexical_n).select("query_id", "chunk_id", "file_path", "score"))
-    merged = ranking.merge_first(*lists).select("query_id", "chunk_id")
-    asked = queries.select("query_id", F.expr("regexp_extract_all(lower(text), '[\\\\p{L}\\\\p{N}]+', 0)").alias("tokens"))
-    return scorer(asked, with_texts(entries, merged, queries.count() * limit))
+    return ranking.merge_first(*lists).select("query_id", "chunk_id")
+
+
+def rerank_chunks(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, limit: int, scorer=overlap_score, up: bool = False) -> DataFrame:
+    """The candidates scored again by ``scorer`` on their titles and texts."""
+    asked = queries.select("query_id", T.tokens(F.col("text")).alias("tokens"))
+    return scorer(asked, with_texts(entries, candidates(entries, vectors, queries, o, limit, up), queries.count() * (limit + 1), titles=True))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import SearchOptions
 from tessera.functions import chunker
 from tessera.functions import text as T
-from tessera.operators import bm25, evaluate, filters, prepare, ranking, sequences, sync, vector
+from tessera.operators import bm25, evaluate, filters, models, prepare, ranking, sequences, sync, vector
 from tessera.sources import corpus
 from tessera.streaming.changes import fold
 
@@ -241,3 +241,28 @@ def test_stored_index_scores_like_entries(spark, tmp_path):
     assert found(bm25.read(spark, str(tmp_path / "index"))) == found(entries) != []
     bm25.build(entries.limit(0), str(tmp_path / "empty"))
     assert found(bm25.read(spark, str(tmp_path / "empty"))) == []
+
+
+def test_combined_rows_prefer_dense_then_content(spark):
+    rows = lambda *r: spark.createDataFrame([(1, *x) for x in r], "query_id long, file_path string, score double, top_chunk string, chunk_count long")
+    dense, lexical = rows(("a", 2.0, "a#1", 4)), rows(("a", 9.0, "a#7", 1), ("b", 5.0, "b#2", 2))
+    base = ("top_chunk", "chunk_count")
+    fused = {r.file_path: (r.top_chunk, r.chunk_count) for r in ranking.reciprocal_ranks([(dense, 0.6), (lexical, 0.4)], "file_path", base=base).collect()}
+    assert fused == {"a": ("a#1", 4), "b": ("b#2", 2)}
+    both = ranking.combine(dense, lexical, 1.0, 3.0, 5, base).collect()
+    assert {r.file_path: (r.score, r.top_chunk) for r in both} == {"a": (7.25, "a#7"), "b": (3.75, "b#2")}
+    assert ranking.split_limit(51, 0.6, 0.4, up=True) == (31, 21) and ranking.split_limit(50, 0.6, 0.4, up=True) == (30, 20)
+
+
+def test_model_hooks(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", None, "", "123", "aab"])], "id long, text string")
+    got = {r.id: (r.embedding and r.embedding[:2], r.broken) for r in models.embed(rows, "text", batch=2).collect()}
+    assert got == {0: ([0.5, 0.5], False), 1: (None, True), 2: (None, True), 3: (None, True), 4: ([2 / 3, 1 / 3], False)}
+    assert models.embed(rows.limit(0), "text").columns == ["id", "text", "embedding", "broken"]
+    found = spark.createDataFrame([(1, "x y", "c", "x"), (1, "x y", "b", "y x"), (1, "x y", "a", "z x"), (2, None, "a", None)], "query_id long, query string, chunk_id string, content string")
+    assert [tuple(r) for r in models.rerank(found, 2).orderBy("query_id", "rank").collect()] == [(1, "b", 1.0, 1), (1, "a", 0.5, 2), (2, "a", 0.0, 1)]
+
+
+def test_context_links(spark):
+    df = spark.createDataFrame([("f/a.md", ["# Top", "## Sub #1"]), ("b.md", [])], "p string, h array<string>")
+    assert [r[0] for r in df.select(T.context_block(F.col("p"), F.col("h"), F.lit("c"))).collect()] == ["[[f/a#Sub #1]]\nc", "[[b]]\nc"]

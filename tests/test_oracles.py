@@ -14,6 +14,7 @@ NAMES = [
     "q11_rag_chunks", "win5_merge_first", "src15_trec_round_trip", "flt_path_predicates", "q16_multi_run_metrics", "agg22_grades", "jon10_sync_diff", "stm1_streamed_changes",
     "stm2_coalesced_changes", "stm9_windowed_events", "snk3_incremental_postings", "set6_pages_by_url", "top11_stratified_sample", "fn21_page_text", "jon11_page_of_chunk",
     "src10_jsonl_queries", "src12_jsonl_corpus", "src14_qrels", "src18_calendar_events", "agg29_batch_tokens", "top7_capped_rerank", "fn16_char_truncate",
+    "q18_index_sync", "q18_synced_terms", "snk6_failed_files", "jon9_result_rows", "q4_embedded_titles", "udf2_reranked_chunks", "q13_vault_search", "fn26_context",
     "win9_history", "win11_heading_scope", "src13_tolerant_json", "fn19_frontmatter", "fn27_char_budget", "fn28_grade", "fn33_tasks",
 ]
 
