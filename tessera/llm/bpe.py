@@ -147,13 +147,14 @@ def _encoder(path: str, pattern: str, block_bytes: int):
         cache = per_worker(("bpe", path, pattern), lambda: UnitIds(regex.compile(pattern).findall, Replay(read_ranks(path)).pieces))
         for block in _blocks(batches, block_bytes):
             cache.start()
-            numbers = [cache.add(text.as_py() or "") for text in block["text"]]
-            lots = [(i, min(i + ROWS_OUT, len(numbers))) for i in range(0, len(numbers), ROWS_OUT)]
+            numbers, units = cache.add([text or "" for text in block["text"].to_pylist()])
+            at = spans(units)
+            lots = [(i, min(i + ROWS_OUT, len(units))) for i in range(0, len(units), ROWS_OUT)]
             rows = block["row"].combine_chunks()
             rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
             for i, j in lots:
-                flat, lens = cache.ids(np.concatenate(numbers[i:j]))
-                ends = spans(lens)[spans(np.array([len(x) for x in numbers[i:j]]))]
+                flat, lens = cache.ids(numbers[at[i] : at[j]])
+                ends = spans(lens)[at[i : j + 1] - at[i]]
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), ids], ["row", "ids"])
 

@@ -8,6 +8,8 @@ from itertools import count, islice
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Texts of these characters only are split here: letters, digits and spaces among them mean the same to every
@@ -111,7 +113,7 @@ class UnitIds:
         """Numbers of units; the one that opens a text is a tuple, the others lack their space.
 
         ``edges`` says whether white space, or nothing, stands next to the space before and after a unit, and
-        whether it opens a text or may hold white space (what is printable holds none but spaces).
+        whether it opens a text or has white space at an end.
         """
         out = np.fromiter(map(self.units.__getitem__, keys), np.int32, len(keys))
         if len(self.units) > self.known:
@@ -119,38 +121,55 @@ class UnitIds:
                 self.edges = np.concatenate([self.edges, np.zeros((3, len(self.units)), bool)], axis=1)
             new = _after(self.units, self.known)
             self.held += sum(map(len, new))
-            for n, u in [(n, u) for n, u in enumerate(new, self.known) if type(u) is tuple or not u or not u.isprintable() or " " in u]:
+            for n, u in [(n, u) for n, u in enumerate(new, self.known) if type(u) is tuple or not u or len(u.strip()) != len(u)]:
                 first, last = (False, u[0][-1:].isspace()) if type(u) is tuple else (not u or u[0].isspace(), not u or u[-1].isspace())
                 self.edges[:, n] = first, last, True
             self.known = len(self.units)
         return out
 
-    def add(self, text: str) -> np.ndarray:
-        """The numbers of a text's units; what is new is encoded by the next ``ids``."""
-        words = text.split(" ")
-        keys = [(words[0],), *words[1:]]
-        numbers = self._number(keys)
-        joined = self.edges[0, numbers[1:]] | self.edges[1, numbers[:-1]]
-        if not joined.any():
-            return numbers
-        starts = np.concatenate([[0], np.flatnonzero(~joined) + 1, [len(words)]])
-        long = np.flatnonzero(np.diff(starts) > 1)
-        merged = [" ".join(words[a:b]) for a, b in zip(starts[long].tolist(), starts[long + 1].tolist(), strict=True)]
-        if long[0] == 0:
-            merged[0] = (merged[0],)
-        out = numbers[starts[:-1]]
-        out[long] = self._number(merged)
-        return out
+    def add(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the numbers of all texts' units end to end, units per text); what is new is encoded by the next ``ids``.
+
+        Words are made distinct by Arrow first, so that each is looked up once for all these texts.
+        """
+        if not texts:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        opens = np.zeros(len(at), bool)
+        opens[split.offsets.to_numpy()[:-1]] = True
+        used, of = np.zeros(len(words), bool), np.zeros(len(words), np.int32)
+        used[at[~opens]] = True
+        of[used] = self._number([w for w, u in zip(words, used.tolist(), strict=True) if u])
+        numbers = of[at]
+        numbers[opens] = self._number([(words[i],) for i in at[opens].tolist()])
+        joined = ~opens[1:] & (self.edges[0, numbers[1:]] | self.edges[1, numbers[:-1]])
+        if joined.any():
+            starts = np.concatenate([[0], np.flatnonzero(~joined) + 1])
+            ends = np.append(starts[1:], len(at))
+            long = np.flatnonzero(ends - starts > 1)
+            merged = [" ".join([words[k] for k in at[a:b].tolist()]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            opens, numbers = opens[starts], numbers[starts]
+            numbers[long] = self._number([(m,) if o else m for m, o in zip(merged, opens[long].tolist(), strict=True)])
+        return numbers, np.diff(np.append(np.flatnonzero(opens), len(numbers)))
 
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units end to end, ids per unit)."""
         new = _after(self.units, len(self.lens))
         if new:
-            # Units without white space are split as one text, where a space opens each.
-            odd = self.edges[2, len(self.lens) : len(self.units)]
-            easy = self.split(f" {' '.join([u for u, o in zip(new, odd.tolist(), strict=True) if not o])}") if not odd.all() else []
-            sizes = np.zeros(len(new), np.int64)
-            sizes[~odd] = np.diff(np.append(np.flatnonzero(np.fromiter((p[0] == " " for p in easy), bool, len(easy))), len(easy)))
+            # Units without white space at their ends are split as one text; pieces tell by their lengths where a unit starts.
+            odd = self.edges[2, len(self.lens) : len(self.units)].copy()
+            plain = [u for u, o in zip(new, odd.tolist(), strict=True) if not o]
+            text = f" {' '.join(plain)}" if plain else ""
+            easy, sizes = self.split(text), np.zeros(len(new), np.int64)
+            places = spans(np.fromiter(map(len, easy), np.int64, len(easy)))
+            cuts = spans(np.fromiter(map(len, plain), np.int64, len(plain)) + 1)
+            at = np.minimum(np.searchsorted(places, cuts), len(places) - 1)
+            if (places[at] == cuts).all():
+                sizes[~odd] = np.diff(at)
+            else:  # the pattern leaves something out
+                easy, odd[:] = [], True
             cut = [self.split(u[0] if type(u) is tuple else f" {u}") for u, o in zip(new, odd.tolist(), strict=True) if o]
             sizes[odd] = [len(c) for c in cut]
             order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])

@@ -87,7 +87,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bits(ids: np.ndarray, blocks: int) -> np.ndarray:
     """Bits that each id needs; 0 after the last."""
     out = np.zeros(blocks * BLOCK, np.int8)
-    out[: len(ids)] = np.frexp(ids.astype(np.float64))[1]  # rounding can add a bit over 2**53, which costs an escape at most
+    top = int(ids.max())
+    if top < 1 << 20:  # as vocabularies are
+        out[: len(ids)] = np.frexp(np.arange(top + 1))[1].astype(np.int8)[ids]
+    else:
+        out[: len(ids)] = np.frexp(ids.astype(np.float64))[1]  # rounding can add a bit over 2**53, which costs an escape at most
     return out.reshape(blocks, BLOCK)
 
 
@@ -146,15 +150,13 @@ def _tokenizer(path: str, pattern: str, end_id: int):
 
     def run(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cache.start()
-        numbers, whole = [], {}
-        for i, text in enumerate(texts):
-            if is_plain(text) and not any(s in text for s in special):
-                numbers.append(cache.add(text))
-            else:
-                numbers.append(np.zeros(0, np.int32))
-                whole[i] = np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-        flat, lens = cache.ids(np.concatenate(numbers))
-        ends = spans(lens)[spans(np.array([len(x) for x in numbers]))]
+        plain = [is_plain(t) and not any(x in t for x in special) for t in texts]
+        whole = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids, np.int32) for i, (t, p) in enumerate(zip(texts, plain, strict=True)) if not p}
+        numbers, units = cache.add([t for t, p in zip(texts, plain, strict=True) if p])
+        sizes = np.zeros(len(texts), np.int64)
+        sizes[plain] = units
+        flat, lens = cache.ids(numbers)
+        ends = spans(lens)[spans(sizes)]
         parts, close = [], np.array([end_id], np.int32)
         for i in range(len(texts)):
             parts += [whole[i] if i in whole else flat[ends[i] : ends[i + 1]], close]

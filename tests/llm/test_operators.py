@@ -442,3 +442,33 @@ def test_registry_names_each_operator():
 
     assert [n for k in range(1, 11) for n in registry.QUERIES if n.startswith(f"op{k}_")] == sorted(registry.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+@pytest.mark.parametrize("most", [3, 1000])
+def test_units_give_the_pieces_of_whole_texts(most):
+    import random
+
+    import regex
+
+    from tessera.llm import pieces
+
+    split = regex.compile(public_tokenizers.PATTERN).findall
+    seen: dict = {}
+
+    def encode(new):
+        ids = [[seen.setdefault(c, len(seen)) for c in p] for p in new]
+        return np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids], np.int64)
+
+    units, r = pieces.UnitIds(split, encode, most), random.Random(5)
+    for _ in range(60):
+        texts = ["".join(r.choice(["a", "b", "é", "1", ".", " ", " ", "  ", "\n", "\t", "don't"]) for _ in range(r.randrange(14))) for _ in range(r.randrange(6))]
+        units.start()
+        numbers, counts = units.add(texts)
+        flat, lens = units.ids(numbers)
+        ends = pieces.spans(lens)[pieces.spans(counts)]
+        for i, text in enumerate(texts):
+            own, _ = encode(split(text))
+            assert flat[ends[i] : ends[i + 1]].tolist() == own.tolist(), repr(text)
+    short = pieces.UnitIds(regex.compile(r"[a-z]+").findall, encode)
+    numbers, counts = short.add(["ab 1 cd", "", "x  y"])
+    assert len(short.ids(numbers)[0]) == 6 and counts.sum() == len(numbers)
