@@ -17,7 +17,10 @@ from .common import packed, quoted, without
 from .pieces import UnitIds, gather, per_worker, spans
 
 #: Text bytes of a block of documents whose pieces are merged together.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 4 << 20
+#: Units, and pieces, whose ids a Python worker carries on to its next block, their characters, and known merges of pairs:
+#: memory of a worker is that of these and one block.
+HELD, HELD_CHARS, PAIRS = 250_000, 1 << 23, 1 << 19
 #: Documents in an Arrow batch on the way back.
 ROWS_OUT = 256
 
@@ -72,6 +75,8 @@ class Replay:
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words end to end, ids per word)."""
+        if len(self.merged) > PAIRS:
+            self.merged.clear()
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = spans(np.fromiter(map(len, words), np.int64, len(words)))
         n = len(raw)
@@ -144,7 +149,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
 
 def _encoder(path: str, pattern: str, block_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = per_worker(("bpe", path, pattern), lambda: UnitIds(regex.compile(pattern).findall, Replay(read_ranks(path)).pieces))
+        cache = per_worker(("bpe", path, pattern), lambda: UnitIds(regex.compile(pattern).findall, Replay(read_ranks(path)).pieces, HELD, HELD_CHARS))
         for block in _blocks(batches, block_bytes):
             cache.start()
             numbers, units = cache.add([text or "" for text in block["text"].to_pylist()])
