@@ -1,29 +1,17 @@
-"""Tables that jobs write for later ones: scratch folders and the stored lexical index."""
+"""The stored lexical index."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import bm25
 from tessera.sources import corpus
+from tessera.sources.scratch import scratch
 
 _KNOWN: dict[tuple, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors see: under ``spark.checkpoint.dir``, or a local session's own."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def lexical_index(spark: SparkSession, sf_dir: str) -> bm25.Index:
     """The index of the notes in ``sf_dir``, written once a session for each state of their files (number, size, last change)."""
     file = corpus.table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
