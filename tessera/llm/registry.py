@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, line_dedup, mixing, sharding, token_files, topk_search, toxicity, warc
+from . import bpe, exact_dedup, jaccard_join, line_dedup, mixing, prefix_trie, sharding, token_files, topk_search, toxicity, warc
 from .common import lower_az, table
 
 
@@ -83,6 +83,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -94,6 +98,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -131,6 +136,10 @@ def _line(name: str, value: str) -> str:
     return f"coalesce('{name}: ' || {value} || {_CRLF}, '')"
 
 
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+    lambda c, d: list_reduce(list_concat([xor(c, d)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
 ORACLES = {
     "op2_exact_dedup": f"""
         WITH d AS (SELECT doc_id, {_NORM} AS t FROM documents)
@@ -193,4 +202,32 @@ ORACLES = {
                ])} AS headers,
                block, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS block_length
         FROM b""",
+    "op13_prefix_trie": f"""
+        WITH o AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+            FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT conv_id, {_CRC} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+        mixed AS (
+            SELECT c.conv_id, 0 AS part, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 20 AND o.pos <= h
+            UNION ALL
+            SELECT c.conv_id, 1, o.pos, o.role, o.text FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > h),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth FROM mixed),
+        paths AS (
+            SELECT conv_id, 0 AS depth, '' AS key, '' AS text FROM c
+            UNION ALL
+            SELECT conv_id, depth, sha256(string_agg(strlen(role)::VARCHAR || ':' || role || strlen(text)::VARCHAR || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth)), text FROM placed),
+        ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM paths),
+        nodes AS (
+            SELECT depth, key, min(conv_id) AS conv_id, count(*) AS n_convs, len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) AS words,
+                   string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last) AS ids FROM ended GROUP BY depth, key),
+        linked AS (
+            SELECT n.*, up.key AS up FROM nodes n LEFT JOIN paths up ON up.conv_id = n.conv_id AND up.depth = n.depth - 1),
+        children AS (SELECT depth - 1 AS depth, up AS key, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+        known AS (SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children USING (depth, key)),
+        sums AS (
+            SELECT a.depth, a.key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+            FROM known k JOIN paths a ON a.conv_id = k.conv_id AND a.depth <= k.depth GROUP BY ALL)
+        SELECT k.conv_id, k.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(k.ids, '')) AS ends_sha256
+        FROM known k JOIN sums USING (depth, key) LEFT JOIN nodes p ON p.depth = k.depth - 1 AND p.key = k.up""",
 }
