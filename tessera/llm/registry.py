@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, line_dedup, mixing, prefix_trie, sharding, token_files, topk_search, toxicity, warc
+from . import bpe, exact_dedup, jaccard_join, line_dedup, mixing, phrases, prefix_trie, sharding, token_files, topk_search, toxicity, warc
 from .common import lower_az, table
 
 
@@ -83,6 +83,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proposes = F.pmod(F.xxhash64("doc_id"), F.lit(phrases.RATE)) == 0
+    return phrases.collocations(table(spark, sf_dir, "documents"), sample=proposes)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
+    "op11_phrases": op11_phrases,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
@@ -202,6 +208,27 @@ ORACLES = {
                ])} AS headers,
                block, 'sha256:' || sha256(block) AS block_digest, strlen(block)::BIGINT AS block_length
         FROM b""",
+    "op11_phrases": f"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_NORM}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        ws AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces),
+        grams AS (
+            SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+            FROM ws, range(1, 5) t(m) WHERE len(w) >= m),
+        f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM ws GROUP BY lang),
+        cut AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+        scored AS (
+            SELECT c.*, l.a AS l, r.a AS r, (2000000::HUGEINT * c.a) // (l.a + r.a) AS score FROM cut c
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+        worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inner_ AS (
+            SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda j: list_transform(range(1, m - j + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:i + j - 1], ' '))))) AS phrase
+            FROM f WHERE m > 2),
+        longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL),
+        kept AS (SELECT w.* FROM worst w LEFT JOIN longer x ON x.lang = w.lang AND x.phrase = w.phrase WHERE x.longer IS NULL OR 100 * x.longer < 80 * w.a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000""",
     "op13_prefix_trie": f"""
         WITH o AS (
             SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
