@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard_join, line_dedup, mixing, phrases, prefix_trie, sharding, token_files, topk_search, toxicity, warc
+from . import bpe, exact_dedup, jaccard_join, line_dedup, mixing, phrases, prefix_trie, sharding, token_files, topk_search, toxicity, transducer, warc
 from .common import lower_az, table
 
 
@@ -88,6 +88,17 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), sample=proposes)
 
 
+def op12_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    encoded = transducer.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, carry=["doc_id"])
+    return transducer.decode(encoded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -104,6 +115,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_bpe": op10_bpe,
     "op11_phrases": op11_phrases,
+    "op12_transducer": op12_transducer,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
