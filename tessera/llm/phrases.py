@@ -29,7 +29,7 @@ SCALE, BEST = 2_000_000, 2000
 BITS = 1 << 26
 PROBES = 3
 #: Text bytes whose phrases are counted together, and rows of a batch that goes back.
-BLOCK_BYTES, ROWS_OUT = 8 << 20, 1 << 16
+BLOCK_BYTES, ROWS_OUT = 4 << 20, 1 << 15
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ROWS = "lang string, phrase string, n int, count long"
@@ -80,17 +80,17 @@ class Block:
         closed = pc.binary_join_element_wise(pc.fill_null(texts.cast(wide), ""), pa.scalar("", wide), pa.scalar("\n", wide))
         _, offsets, data = closed.buffers()
         ends = np.frombuffer(offsets, np.int64)[closed.offset : closed.offset + len(closed) + 1]
-        raw = _byte_classes()[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
+        raw = _byte_classes()[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if len(closed) else np.zeros(0, np.uint8)
         inside = np.zeros(len(raw) + 2, np.int8)
         inside[1:-1] = (raw != 10) & (raw != 32)
         edge = np.diff(inside)
         starts, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         # Words end to end, each with one space behind it; so a phrase is one slice, and equal words are equal slices.
-        lens = stops - starts + 1
-        self.at = spans(lens)
-        self.bytes = gather(np.append(raw, np.uint8(32)), starts, lens)
-        self.bytes[self.at[1:] - 1] = 32
-        piece = np.cumsum(raw == 10)[starts] if len(starts) else starts
+        piece = np.searchsorted(np.flatnonzero(raw == 10), starts)
+        self.at = spans(stops - starts + 1)
+        kept = inside[1:-1].astype(bool)
+        kept[stops], raw[stops] = True, 32
+        self.bytes = raw[kept]
         self.follows = np.append(piece[1:] == piece[:-1], False) if len(starts) else np.zeros(0, bool)
         own = pc.fill_null(langs.cast(pa.string()), "und").dictionary_encode()
         self.langs = own.dictionary.to_pylist()
@@ -109,14 +109,15 @@ class Block:
         lens = self.at[where + n] - 1 - starts
         return pa.Array.from_buffers(pa.large_string(), len(where), [None, pa.py_buffer(spans(lens)), pa.py_buffer(gather(self.bytes, starts, lens))])
 
-    def count_all(self, proposed: Filter, frequent: Filter | None, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def count_all(self, proposed: Filter, frequent: Filter | None, longest: int, proposing: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(words, language, first place, occurrences) of the phrases that this pass counts.
 
         A phrase is proposed or at its border if both phrases of one word less are proposed; single words always are. The full pass (``frequent`` is
-        None) counts these. A further pass counts the rest of what may be frequent: phrases with no part that is known to be rare.
+        None) counts these. A further pass counts the rest of what may be frequent: phrases with no part that is known to be rare. In the sample
+        (``proposing``) only phrases that these texts hold so often grow; what is overlooked there is left to the passes over all texts.
         """
         keys = _longer(self.seeds[self.lang], self.hash)
-        counted = proposed.has(keys)  # counted by the full pass, and proposed
+        counted = proposed.has(keys) if proposing is None else self.count >= proposing  # counted by the full pass, and proposed
         on = counted if frequent is None else frequent.has(keys)  # may grow in this pass
         if frequent is None:
             yield 1, self.lang, self.first, self.count
@@ -131,7 +132,7 @@ class Block:
             left, right, first = pairs >> 32, pairs & 0xFFFFFFFF, held[first]
             keys, lang = _longer(keys[left], self.hash[self.word[first + n - 1]]), lang[left]
             was = counted[left] & counted[right]
-            own = proposed.has(keys)
+            own = proposed.has(keys) if proposing is None else count >= proposing
             if frequent is None:
                 yield n, lang, first, count
                 on = own
@@ -144,12 +145,12 @@ class Block:
             fresh[held] = back
             unit = fresh
 
-    def rows(self, proposed: Filter, frequent: Filter | None, longest: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, proposed: Filter, frequent: Filter | None, longest: int, proposing: int | None) -> Iterator[pa.RecordBatch]:
         names = pa.array(self.langs, pa.string())
         if frequent is None and len(self.langs):
             total = np.bincount(self.lang, self.count, len(self.langs)).astype(np.int64)
             yield _batch(names, pa.nulls(len(names), pa.string()), 0, total)
-        for n, lang, first, count in self.count_all(proposed, frequent, longest):
+        for n, lang, first, count in self.count_all(proposed, frequent, longest, proposing):
             for i in range(0, len(first), ROWS_OUT):
                 j = slice(i, i + ROWS_OUT)
                 yield _batch(names.take(pa.array(lang[j])), self.phrases(first[j], n).cast(pa.string()), n, count[j])
@@ -159,8 +160,8 @@ def _batch(langs: pa.Array, phrases: pa.Array, n: int, count: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([langs, phrases, pa.array(np.full(len(phrases), n, np.int32)), pa.array(count.astype(np.int64))], ["lang", "phrase", "n", "count"])
 
 
-def _counter(proposed, frequent, longest: int, block_bytes: int):
-    """``proposed`` and ``frequent``: broadcast bits, or None; ``frequent`` marks a further pass."""
+def _counter(proposed, frequent, longest: int, block_bytes: int, proposing: int | None):
+    """``proposed`` and ``frequent``: broadcast bits, or None; ``frequent`` marks a further pass, ``proposing`` that over the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, more = Filter(proposed and proposed.value), None if frequent is None else Filter(frequent.value)
@@ -172,10 +173,10 @@ def _counter(proposed, frequent, longest: int, block_bytes: int):
                 held.append(batch.slice(a, b - a))
                 size += int(lens[a:b].sum())
                 if size >= block_bytes or b < batch.num_rows:
-                    yield from _block(held).rows(first, more, longest)
+                    yield from _block(held).rows(first, more, longest, proposing)
                     held, size = [], 0
         if held:
-            yield from _block(held).rows(first, more, longest)
+            yield from _block(held).rows(first, more, longest, proposing)
 
     return run
 
@@ -234,11 +235,11 @@ def count_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     picked = docs.where(F.pmod(F.xxhash64("lang", "text"), F.lit(RATE)) == 0 if sample is None else F.col("in_sample__")).select("lang", "text")
     docs = docs.select("lang", "text")
 
-    def counts(of: DataFrame, proposed, frequent) -> DataFrame:
-        return of.mapInArrow(_counter(proposed, frequent, longest, block_bytes), _ROWS).groupBy("lang", "phrase", "n").agg(F.sum("count").alias("count"))
+    def counts(of: DataFrame, proposed, frequent, proposing=None) -> DataFrame:
+        return of.mapInArrow(_counter(proposed, frequent, longest, block_bytes, proposing), _ROWS).groupBy("lang", "phrase", "n").agg(F.sum("count").alias("count"))
 
     real = F.col("phrase").isNotNull()
-    proposed = sc.broadcast(_bits(counts(picked, None, None).where(real & (F.col("count") >= proposed_at))))
+    proposed = sc.broadcast(_bits(counts(picked, None, None, proposed_at).where(real & (F.col("count") >= proposed_at))))
     found = stored(counts(docs, proposed, None).where(~real | (F.col("count") >= support)), "phrases")
     open_ = found.where(real & (F.col("n") < longest))
     if _missed(open_, proposed).isEmpty():
