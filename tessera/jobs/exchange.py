@@ -11,6 +11,7 @@ from tessera.jobs import evaluation, preparation
 from tessera.jobs import retrieval as R
 from tessera.operators import prepare, ranking, search
 from tessera.sources import corpus, store
+from tessera.sources.scratch import scratch
 
 #: Characters of a page's text, candidates that a reranker gets, texts of a batch.
 PAGE_CHARS, RERANKED, BATCH = 8000, 100, 32
@@ -18,7 +19,7 @@ PAGE_CHARS, RERANKED, BATCH = 8000, 100, 32
 
 def src10_jsonl_queries(spark, sf_dir):
     """The queries as JSON lines with blank ones among them, written and read back."""
-    path = store.scratch(spark, "queries")
+    path = scratch(spark, "queries")
     q = corpus.queries(spark, sf_dir)
     lines = q.select(F.explode(F.array(F.to_json(F.struct("query_id", "text")), F.lit("  "))).alias("value"))
     lines.write.text(path)
@@ -27,14 +28,14 @@ def src10_jsonl_queries(spark, sf_dir):
 
 def src12_jsonl_corpus(spark, sf_dir):
     """Every document as a JSON line, written and read back; a null text stays one."""
-    path = store.scratch(spark, "corpus")
+    path = scratch(spark, "corpus")
     corpus.table(spark, sf_dir, "documents").select("doc_id", "text").write.json(path)
     return corpus.read_jsonl(spark, path, "doc_id long, text string").select("doc_id", F.md5("text").alias("text_md5"))
 
 
 def src14_qrels(spark, sf_dir):
     """Labels as tab-separated judgements with a header; those of relevance 0 are left out on reading."""
-    path = store.scratch(spark, "qrels")
+    path = scratch(spark, "qrels")
     rows = corpus.table(spark, sf_dir, "labels").select(F.concat(F.lit("q"), F.col("doc_id") % 10).alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("quality").alias("score"))
     rows.write.option("sep", "\t").option("header", True).csv(path)
     return corpus.read_qrels(spark, path)
@@ -63,7 +64,7 @@ def src18_calendar_events(spark, sf_dir):
 def snk11_metrics_csv(spark, sf_dir):
     """Metrics as a table of comma-separated values, one row per run, read back."""
     rows = evaluation.q16_multi_run_metrics(spark, sf_dir)
-    path = store.scratch(spark, "metrics")
+    path = scratch(spark, "metrics")
     rows.coalesce(1).write.option("header", True).csv(path)
     return spark.read.schema(rows.schema).option("header", True).csv(path)
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.jobs import retrieval as R
-from tessera.operators import bm25, prepare, sync
-from tessera.sources import corpus
+from tessera.operators import prepare, sync
+from tessera.operators.segments import Store
+from tessera.sources import corpus, store
+from tessera.sources.scratch import scratch
 
 # What the kinds of events stand for.
 OPS = {"signup": "create", "view": "modify", "click": "modify", "error": "delete", "purchase": "rename"}
@@ -52,14 +54,17 @@ def _changed(spark, sf_dir):
     return notes, edited
 
 
+def _branch(spark, sf_dir, gone, notes, op: str) -> Store:
+    """The stored index of the notes with one more segment: ``gone`` (file_path) are taken out, ``notes`` put in."""
+    index = store.lexical_store(spark, sf_dir).branch(scratch(spark, "index"))
+    index.sync(gone.select("file_path", F.lit(op).alias("op")), notes.withColumns({"mtime": F.lit(0).cast("long"), "size": F.col("size").cast("long")}), None, corpus.index_entries)
+    return index
+
+
 def snk3_incremental_postings(spark, sf_dir):
-    """Postings after some notes changed: theirs are removed and made again, the others stay."""
-    notes, edited = _changed(spark, sf_dir)
-    old, new = corpus.index_entries(notes), corpus.index_entries(edited)
-    held = bm25.postings(old).withColumn("file_path", F.regexp_extract("chunk_id", "^(.*)#[^#]*$", 1))
-    fresh = bm25.postings(new).withColumn("file_path", F.regexp_extract("chunk_id", "^(.*)#[^#]*$", 1))
-    after = sync.remove(held, edited, "file_path").unionByName(fresh)
-    return after.groupBy("token").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    """Counts of tokens after some notes changed: a segment for these beside the stored ones, which stay as they are."""
+    _, edited = _changed(spark, sf_dir)
+    return _branch(spark, sf_dir, edited, edited, "modify").snapshot().terms.select("token", F.col("cf").alias("tf"), "df")
 
 
 def snk1_upserted_chunks(spark, sf_dir):
@@ -71,9 +76,8 @@ def snk1_upserted_chunks(spark, sf_dir):
 
 def snk4_deleted_postings(spark, sf_dir):
     """Document frequencies after some notes went; tokens without postings are gone too."""
-    gone = corpus.files(spark, sf_dir).where("doc_id % 5 = 0").select("file_path")
-    held = corpus.index_entries(corpus.files(spark, sf_dir)).select("chunk_id", "file_path", "tokens")
-    return bm25.document_frequency(bm25.postings(sync.remove(held, gone, "file_path")))
+    notes = corpus.files(spark, sf_dir)
+    return _branch(spark, sf_dir, notes.where("doc_id % 5 = 0"), notes.limit(0), "delete").snapshot().terms.select("token", "df")
 
 
 def snk2_upserted_vectors(spark, sf_dir):

@@ -136,7 +136,7 @@ def agg8_postings(spark, sf_dir):
 
 
 def agg9_document_frequency(spark, sf_dir):
-    return _entries(spark, sf_dir).terms
+    return _entries(spark, sf_dir).terms.select("token", "df")
 
 
 def agg10_index_statistics(spark, sf_dir):

@@ -1,10 +1,15 @@
-"""Lexical search: an inverted index as tables, and BM25 over batches of queries."""
+"""Lexical search: posting lists as tables, and BM25 over batches of queries with what cannot matter left out."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -12,20 +17,51 @@ from tessera.functions import text as T
 K1, B = 1.2, 0.75
 #: Scores are compared after rounding, so that the order of a sum cannot move a rank.
 DIGITS = 6
-#: Folders of stored postings; a search reads those that its tokens fall into.
-BUCKETS = 32
 #: Rows of a query side that may be broadcast, after they are counted; more are joined by a shuffle.
 ROWS_SENT = 1 << 18
+#: Entries of a share: a task scores one share, with one number for each of its entries.
+SHARE, LEAST_SHARE = 1 << 16, 1 << 11
+#: Queries that a task answers at once.
+QUERY_BLOCK = 4096
+#: Distinct tokens whose names go to the scan as a filter.
+PUSHED = 512
+
+LISTS = "seq long, is_title boolean, share int, token string, idx array<int>, tf array<int>, dl array<int>"
 
 
 @dataclass(frozen=True)
 class Index:
-    """What a search reads: chunks (titles too), postings with what a score needs, document frequencies, one row of statistics."""
+    """What a search reads.
+
+    ``chunks``: live entries (seq, is_title, share, idx, chunk_id, file_path, title, chunk_index, tokens, dl), titles too. ``lists`` gives posting lists
+    (``LISTS``): a row for a token and share, entries by their number; called with tokens it may leave out files without them. ``terms``:
+    (token, df, cf). ``holed`` are the segments (seq) whose lists name entries that are gone.
+    """
 
+    spark: SparkSession
     chunks: DataFrame
-    postings: DataFrame
+    lists: Callable[[list[str] | None], DataFrame]
     terms: DataFrame
-    stats: DataFrame
+    n: int
+    total: int
+    holed: tuple[int, ...] = ()
+
+    @property
+    def avgdl(self) -> float:
+        return self.total / self.n if self.n else 0.0
+
+    @property
+    def stats(self) -> DataFrame:
+        """One row: entries (titles too) and their mean length."""
+        return self.spark.createDataFrame([(self.n, self.avgdl)], "n long, avgdl double")
+
+    @property
+    def postings(self) -> DataFrame:
+        """(token, chunk_id, file_path, is_title, dl, tf): a row for each token of a live entry."""
+        each = self.lists(None).select("seq", "is_title", "share", "token", F.explode(F.arrays_zip("idx", "tf", "dl")).alias("p"))
+        at = ["seq", "is_title", "share", "idx"]
+        flat = each.select("seq", "is_title", "share", F.col("p.idx").alias("idx"), "token", F.col("p.tf").cast("long").alias("tf"), F.col("p.dl").alias("dl"))
+        return flat.join(self.chunks.select(*at, "chunk_id", "file_path"), at).select("token", "chunk_id", "file_path", "is_title", "dl", "tf")
 
 
 def postings(entries: DataFrame) -> DataFrame:
@@ -42,53 +78,56 @@ def statistics(entries: DataFrame) -> DataFrame:
     return entries.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("token"), F.lit(BUCKETS)).cast("int")
-
-
-def full_postings(entries: DataFrame, spread: int = 1) -> DataFrame:
-    """(bucket, token, chunk_id, file_path, is_title, dl, tf), grouped where one shuffle by bucket and share of the chunks puts them."""
-    share = F.pmod(F.xxhash64("chunk_id"), F.lit(spread)).cast("int")
-    each = entries.select("chunk_id", "file_path", "is_title", "dl", F.explode("tokens").alias("token"))
-    each = each.withColumn("bucket", _bucket()).withColumn("share", share).repartition(BUCKETS * spread, "bucket", "share")
-    return each.groupBy("bucket", "share", "token", "chunk_id", "file_path", "is_title", "dl").agg(F.count("*").alias("tf")).drop("share")
+def shares_of(n: int, tasks: int) -> int:
+    """Shares for so many entries: none larger than ``SHARE`` on average, and one for each task while they are not tiny."""
+    return max(1, -(-n // SHARE), min(tasks, n // LEAST_SHARE))
 
 
-def from_entries(entries: DataFrame) -> Index:
-    """An index that is not stored: each search computes what it reads."""
-    held = full_postings(entries)
-    return Index(entries, held, document_frequency(held), statistics(entries))
+def numbered(entries: DataFrame, shares: int, seq: int = 0) -> DataFrame:
+    """Entries with seq, share (by a hash of the id) and idx: their place by chunk_id among those of their share."""
+    share = F.pmod(F.xxhash64("chunk_id"), F.lit(shares)).cast("int")
+    place = F.row_number().over(Window.partitionBy("is_title", "share").orderBy("chunk_id")) - 1
+    return entries.withColumns({"seq": F.lit(seq).cast("long"), "share": share}).withColumn("idx", place)
 
 
-def build(entries: DataFrame, path: str, spread: int = 1) -> None:
-    """Write the index of ``entries`` below ``path``: texts are tokenised once, all else comes from the stored chunks.
-
-    Postings lie in ``BUCKETS`` folders by a hash of their token, each in up to ``spread`` files of so many shares of the chunks
-    (more for a larger corpus), sorted by token; so a token that stands in every chunk is no task's alone.
-    Statistics come last: an index that lacks them was cut off and is not opened.
-    """
-    entries.write.parquet(f"{path}/chunks")
-    chunks = entries.sparkSession.read.parquet(f"{path}/chunks")
-    write_postings(full_postings(chunks, spread), path)
-    finish(chunks, path)
+def _invert(table: pa.Table) -> pa.Table:
+    """Posting lists of one share's entries."""
+    tokens = table["tokens"].combine_chunks()
+    tokens = pa.concat_arrays(tokens.chunks) if isinstance(tokens, pa.ChunkedArray) else tokens
+    lens = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    idx, dl = table["idx"].to_numpy(), table["dl"].to_numpy()
+    owner = np.repeat(np.arange(table.num_rows), lens)
+    order = np.lexsort((idx[owner], coded.indices.to_numpy()))
+    code, own = coded.indices.to_numpy()[order], owner[order]
+    fresh = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (own[1:] != own[:-1])])) if len(code) else np.zeros(0, np.int64)
+    tf = np.diff(np.append(fresh, len(code)))
+    code, own = code[fresh], own[fresh]
+    cuts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])) if len(code) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(cuts, len(code)).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (idx[own], tf, dl[own])]
+    same = [pa.array([table[c][0].as_py()] * len(cuts), t) for c, t in (("seq", pa.int64()), ("is_title", pa.bool_()), ("share", pa.int32()))]
+    names = [f.split()[0] for f in LISTS.split(", ")]
+    return pa.Table.from_arrays([*same, coded.dictionary.take(pa.array(code[cuts])).cast(pa.string()), *lists], names)
 
 
-def write_postings(held: DataFrame, path: str) -> None:
-    held.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/postings")
+def posting_lists(held: DataFrame) -> DataFrame:
+    """``LISTS`` of numbered entries: one shuffle by share, inverted inside tasks."""
+    return held.select("seq", "is_title", "share", "idx", "dl", "tokens").groupBy("seq", "is_title", "share").applyInArrow(_invert, LISTS)
 
 
-def finish(chunks: DataFrame, path: str) -> None:
-    """Document frequencies, then statistics, of the chunks and postings written below ``path``; now the index may be opened."""
-    held = chunks.sparkSession.read.schema("token string, bucket int").parquet(f"{path}/postings")
-    document_frequency(held).write.parquet(f"{path}/terms")
-    statistics(chunks).coalesce(1).write.parquet(f"{path}/stats")
+def term_counts(lists: DataFrame) -> DataFrame:
+    """(token, df, cf): entries that hold a token and its occurrences."""
+    total = F.aggregate("tf", F.lit(0).cast("long"), lambda s, x: s + x)
+    return lists.groupBy("token").agg(F.sum(F.size("idx").cast("long")).alias("df"), F.sum(total).alias("cf"))
 
 
-def read(spark: SparkSession, path: str) -> Index:
-    """The index that ``build`` wrote."""
-    shape = "token string, chunk_id string, file_path string, is_title boolean, dl int, tf long, bucket int"
-    stats = spark.read.parquet(f"{path}/stats")
-    return Index(spark.read.parquet(f"{path}/chunks"), spark.read.schema(shape).parquet(f"{path}/postings"), spark.read.schema("token string, df long").parquet(f"{path}/terms"), stats)
+def from_entries(entries: DataFrame) -> Index:
+    """An index that is not stored: each search computes what it reads."""
+    n, total = entries.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+    held = numbered(entries, shares_of(n, 1))
+    lists = posting_lists(held)
+    return Index(entries.sparkSession, held, lambda tokens: lists, term_counts(lists), n, total)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -101,24 +140,145 @@ def few(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= ROWS_SENT else rows
 
 
-def score(index: Index | DataFrame, queries: DataFrame, keep: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, file_path, is_title, score): BM25 of every entry that holds a query term.
-
-    ``index`` may also be the entries themselves. The queries' terms are counted first, with the buckets that they fall into:
-    other buckets are not read, and up to ``ROWS_SENT`` terms travel to the postings instead of a shuffle of these.
-    ``keep`` (a Column) filters the scored entries only; counts and lengths are those of the whole index.
+def one_of(column: str, values: list[str]) -> Column:
+    """Any of the values, as a chain that reaches the scan whatever its length."""
+    parts = [F.col(column) == v for v in values]
+    while len(parts) > 1:
+        parts = [reduce(lambda x, y: x | y, parts[i : i + 2]) for i in range(0, len(parts), 2)]
+    return parts[0] if parts else F.lit(False)
+
+
+class _Share:
+    """The posting lists of one share that a block of queries meets, and their best entries."""
+
+    def __init__(self, table: pa.Table, holed: set | None, avgdl: float) -> None:
+        self.seq = table["seq"][0].as_py()
+        named = table.filter(pc.is_valid(table["token"]))
+        flat = lambda c: (lambda a: pa.concat_arrays(a.chunks) if isinstance(a, pa.ChunkedArray) else a)(named[c].combine_chunks())
+        idx, tf, dl = flat("idx"), flat("tf"), flat("dl")
+        at = np.append(0, np.cumsum(idx.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)))
+        i, t, d = idx.flatten().to_numpy(), tf.flatten().to_numpy().astype(np.float64), dl.flatten().to_numpy()
+        part = t * (K1 + 1) / (t + K1 * (1 - B + B * d / avgdl)) if len(t) else t
+        self.size = int(i.max()) + 1 if len(i) else 0
+        live = None
+        if holed is None or self.seq in holed:  # only what is named may be found
+            may = table.filter(pc.is_null(table["token"]))["idx"].combine_chunks()
+            may = may.flatten().to_numpy() if may.null_count == 0 and len(may) else np.zeros(0, np.int32)
+            live = np.zeros(self.size, bool)
+            live[may[may < self.size]] = True
+        self.lists = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            own = (i[a:b], part[a:b])
+            self.lists.append(own if live is None else tuple(x[live[own[0]]] for x in own))
+        self.most = np.array([p.max() if len(p) else 0.0 for _, p in self.lists])
+        asked = flat("qs")
+        self.row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy(zero_copy_only=False))
+        coded = asked.flatten().field("query_id").dictionary_encode()
+        self.queries, self.query, self.weight = coded.dictionary, coded.indices.to_numpy(), asked.flatten().field("w").to_numpy()
+        self.scored = self.met = 0
+
+    def answers(self, limit: int | None):
+        """(query, entries, scores) of each query."""
+        order = np.argsort(self.query, kind="stable")
+        acc = np.zeros(self.size)
+        for own in np.split(order, np.flatnonzero(np.diff(self.query[order])) + 1) if len(order) else []:
+            self.met += sum(len(self.lists[r][0]) for r in self.row[own].tolist())
+            hit, score = self._best(self.row[own], self.weight[own], limit, acc)
+            if len(hit):
+                yield self.query[own[0]], hit, score
+
+    def _best(self, rows: np.ndarray, weights: np.ndarray, limit: int | None, acc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms go by the most that each can add. When what is left can lift nothing over the ``limit``-th best sum so far, which is a proven floor, the rest
+        of the terms is added only to entries that may still reach the floor."""
+        most = weights * self.most[rows]
+        order = np.argsort(-most, kind="stable")
+        left = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)
+        acc[:] = 0.0
+        slack = 10.0**-DIGITS * 2  # scores that round alike are ties
+        may: np.ndarray | None = None
+        for k, j in enumerate(order.tolist()):
+            idx, part = self.lists[rows[j]]
+            if may is None:
+                acc[idx] += weights[j] * part
+                self.scored += len(idx)
+            else:
+                at = np.minimum(np.searchsorted(idx, may), max(len(idx) - 1, 0))
+                here = idx[at] == may if len(idx) else np.zeros(len(may), bool)
+                acc[may[here]] += weights[j] * part[at[here]]
+                self.scored += int(here.sum())
+            if limit is None or left[k + 1] <= 0:
+                continue
+            held = acc if may is None else acc[may]
+            if len(held) <= limit or left[k + 1] >= held.max():
+                continue
+            floor = np.partition(held, len(held) - limit)[len(held) - limit]
+            if floor > left[k + 1] + slack:
+                keep = np.flatnonzero(held + left[k + 1] >= floor - slack)
+                may = keep if may is None else may[keep]
+        hit = np.flatnonzero(acc > 0) if may is None else may[acc[may] > 0]
+        score = np.round(acc[hit], DIGITS)
+        if limit is not None and len(hit) > limit:
+            best = np.lexsort((hit, -score))[:limit]
+            hit, score = hit[best], score[best]
+        return hit, score
+
+
+def _answer(limit: int | None, holed: set | None, avgdl: float, q_type: pa.DataType, work):
+    def run(table: pa.Table) -> pa.Table:
+        share = _Share(table, holed, avgdl)
+        found = list(share.answers(limit))
+        if work is not None:
+            work[0].add(share.scored)
+            work[1].add(share.met)
+        join = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+        code = np.repeat(np.array([q for q, _, _ in found], np.int64), [len(h) for _, h, _ in found]) if found else np.zeros(0, np.int64)
+        n = len(code)
+        return pa.table({
+            "query_id": share.queries.take(pa.array(code)).cast(q_type),
+            "seq": pa.array(np.full(n, share.seq)), "is_title": pa.array(np.full(n, table["is_title"][0].as_py())), "share": pa.array(np.full(n, table["share"][0].as_py(), np.int32)),
+            "idx": pa.array(join([h for _, h, _ in found], np.int32)), "score": pa.array(join([s for _, _, s in found], np.float64)),
+        })
+
+    return run
+
+
+def score(index: Index | DataFrame, queries: DataFrame, keep: Column | None = None, limit: int | None = None, titles: bool | None = None, work=None) -> DataFrame:
+    """(query_id, chunk_id, file_path, is_title, score): BM25 of entries that hold a query term: all, or the ``limit`` best of each query, ties to the smaller chunk_id.
+
+    ``index`` may also be the entries themselves. Posting lists of the queries' tokens meet in a task per share and block of queries, where
+    entries that cannot be among a query's best are passed over (``_Share``); what leaves a task is at most ``limit`` rows a query. ``keep``, over the columns
+    of ``chunks``, filters the scored entries only; counts and lengths are those of the whole index. ``titles`` picks one kind of entries (default: both, of which
+    each has a limit of its own). ``work``: two accumulators, for (query, posting) pairs that were scored and that a full search would score.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     index = index if isinstance(index, Index) else from_entries(index)
+    of_kind = (lambda df: df) if titles is None else (lambda df: df.where(F.col("is_title") == titles))
     terms = query_terms(queries)
-    met = terms.agg(F.count("*").alias("n"), F.collect_set(_bucket()).alias("buckets")).first()
-    held = index.postings.where(F.col("bucket").isin(met["buckets"]))
-    if keep is not None:
-        held = held.where(keep)
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    known = index.terms.join(few(terms, met["n"]), "token").join(F.broadcast(index.stats))
-    weighted = known.select("query_id", "token", "qtf", idf.alias("idf"), "avgdl")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = held.join(few(weighted, met["n"]), "token").groupBy("query_id", "chunk_id")
-    # Strings stay out of the aggregates, which would sort instead of hash; the path is part of the chunk's id.
-    sums = scored.agg(F.max("is_title").alias("is_title"), F.round(F.sum(part), DIGITS).alias("score"))
-    return sums.select("query_id", "chunk_id", F.regexp_extract("chunk_id", "^(.*)#[^#]*$", 1).alias("file_path"), "is_title", "score")
+    asked = terms.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("queries"), F.count_distinct("token").alias("tokens")).first()
+    tokens = [r["token"] for r in terms.select("token").distinct().collect()] if asked["tokens"] <= PUSHED else None
+    idf = F.log((F.lit(float(index.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    known = index.terms if tokens is None else index.terms.where(one_of("token", tokens))
+    weighted = known.join(few(terms, asked["n"]), "token").select("query_id", "token", (F.col("qtf") * idf).alias("w"))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(-(-max(1, asked["queries"]) // QUERY_BLOCK))).cast("int")
+    sides = weighted.groupBy("token", block.alias("qb")).agg(F.collect_list(F.struct("query_id", "w")).alias("qs"))
+    rows = of_kind(index.lists(tokens)).join(few(sides, asked["n"]), "token")
+    holed = set(index.holed) if keep is None else None
+    if holed is None or holed:
+        may = index.chunks.where(keep) if keep is not None else index.chunks.where(F.col("seq").isin(list(index.holed)))
+        may = of_kind(may).groupBy("seq", "is_title", "share").agg(F.collect_list("idx").alias("idx"))
+        rows = rows.unionByName(may.join(F.broadcast(sides.select("qb").distinct())), allowMissingColumns=True)
+    q_type = queries.schema["query_id"].dataType
+    found = rows.groupBy("seq", "is_title", "share", "qb").applyInArrow(
+        _answer(limit, holed, index.avgdl, to_arrow_type(q_type), work), f"query_id {q_type.simpleString()}, seq long, is_title boolean, share int, idx int, score double"
+    )
+    most = None
+    if limit is not None:
+        place = F.rank().over(Window.partitionBy("query_id", "is_title").orderBy(F.desc("score")))
+        found = found.withColumn("place", place).where(F.col("place") <= limit)
+        most = asked["queries"] * limit * (2 if titles is None else 1) * 2
+    ids = of_kind(index.chunks).select("seq", "is_title", "share", "idx", "chunk_id", "file_path")
+    named = ids.join(found if most is None else few(found, most), ["seq", "is_title", "share", "idx"])
+    if limit is not None:
+        named = named.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "is_title").orderBy(F.desc("score"), "chunk_id"))).where(F.col("place") <= limit)
+    return named.select("query_id", "chunk_id", "file_path", "is_title", "score")

@@ -14,14 +14,11 @@ def _scope(o: SearchOptions):
     return filters.scope(F.col("file_path"), o.folder, o.exclude_folder, o.exclude_file)
 
 
-def lexical(entries: bm25.Index | DataFrame, queries: DataFrame, o: SearchOptions, titles: bool = False, hits: DataFrame | None = None) -> DataFrame:
-    """Scored chunks (query_id, chunk_id, file_path, score, rank); titles have no limit, contents ``o.limit``.
-
-    ``hits`` are the scores of both kinds where they are known already.
-    """
-    of_kind = F.col("is_title") == titles
-    scored = (bm25.score(entries, queries, of_kind & _scope(o)) if hits is None else hits.where(of_kind)).drop("is_title")
-    return scored.withColumn("rank", ranking.rank_in_query("chunk_id")) if titles else ranking.top_per_query(scored, o.limit, "chunk_id")
+def lexical(entries: bm25.Index | DataFrame, queries: DataFrame, o: SearchOptions, titles: bool = False) -> DataFrame:
+    """Scored chunks (query_id, chunk_id, file_path, score, rank); titles have no limit, contents ``o.limit``."""
+    scoped = _scope(o) if o.folder or o.exclude_folder or o.exclude_file else None
+    scored = bm25.score(entries, queries, scoped, None if titles else o.limit, titles).drop("is_title")
+    return scored.withColumn("rank", ranking.rank_in_query("chunk_id"))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, o: SearchOptions) -> DataFrame:
@@ -36,22 +33,22 @@ def dense(vectors: DataFrame, queries: DataFrame, o: SearchOptions) -> DataFrame
 BASE = ("top_chunk", "chunk_count")
 
 
-def content(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, hits: DataFrame | None = None, base: tuple[str, ...] = ()) -> DataFrame:
+def content(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, base: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, file_path, score): fused file ranks, or the raw scores of the only source with a weight; ``base`` columns of the dense row if there is one."""
     lists = []
     if o.embedding_weight > 0:
         lists.append((ranking.aggregate_files(dense(vectors, queries, o), o.vector_method), o.embedding_weight))
     if o.bm25_weight > 0:
-        lists.append((ranking.aggregate_files(lexical(entries, queries, o, hits=hits), o.bm25_method), o.bm25_weight))
+        lists.append((ranking.aggregate_files(lexical(entries, queries, o), o.bm25_method), o.bm25_weight))
     return lists[0][0].select("query_id", "file_path", "score", *base) if len(lists) == 1 else ranking.reciprocal_ranks(lists, "file_path", base=base)
 
 
-def title(entries: bm25.Index | DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions, hits: DataFrame | None = None, base: tuple[str, ...] = ()) -> DataFrame:
+def title(entries: bm25.Index | DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions, base: tuple[str, ...] = ()) -> DataFrame:
     lists = []
     if o.embedding_weight > 0:
         lists.append((ranking.aggregate_files(dense(title_vectors, queries, o), "max_p"), o.embedding_weight))
     if o.bm25_weight > 0:
-        lists.append((ranking.aggregate_files(lexical(entries, queries, o, titles=True, hits=hits), "max_p"), o.bm25_weight))
+        lists.append((ranking.aggregate_files(lexical(entries, queries, o, titles=True), "max_p"), o.bm25_weight))
     return lists[0][0].select("query_id", "file_path", "score", *base) if len(lists) == 1 else ranking.reciprocal_ranks(lists, "file_path", base=base)
 
 
@@ -61,9 +58,7 @@ def search(entries: bm25.Index | DataFrame, vectors: DataFrame, title_vectors: D
     ``queries`` has (query_id, text, embedding); ``vectors`` and ``title_vectors`` (chunk_id, file_path, embedding).
     """
     if o.title_weight > 0 and o.content_weight > 0:
-        # One pass over the postings serves both branches: their exchange is the same up to the scores.
-        hits = bm25.score(entries, queries, _scope(o)) if o.bm25_weight > 0 else None
-        return ranking.combine(title(entries, title_vectors, queries, o, hits, base), content(entries, vectors, queries, o, hits, base), o.title_weight, o.content_weight, o.top_k, base)
+        return ranking.combine(title(entries, title_vectors, queries, o, base), content(entries, vectors, queries, o, base), o.title_weight, o.content_weight, o.top_k, base)
     only = title(entries, title_vectors, queries, o, base=base) if o.title_weight > 0 else content(entries, vectors, queries, o, base=base)
     return ranking.top_per_query(only.withColumn("score", F.round("score", ranking.DIGITS)), o.top_k, "file_path")
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25
 from tessera.operators.filters import needs_index
 
 
@@ -86,35 +83,3 @@ def quarantine(vectors: DataFrame) -> DataFrame:
     """(file_path, bad_chunks, failed): a file with any NaN in a vector is rejected as a whole."""
     bad = F.exists("embedding", F.isnan)
     return vectors.groupBy("file_path").agg(F.count(F.when(bad, 1)).alias("bad_chunks"), F.bool_or(bad).alias("failed"))
-
-
-def apply(ops: DataFrame, notes: DataFrame, failed: DataFrame, entries: Callable[[DataFrame], DataFrame], embed: Callable[[DataFrame], DataFrame], path: str, held: str | None = None, spread: int = 1) -> None:
-    """Carry out what ``diff`` found: write below ``path`` the index that ``held`` (the one before, if any) becomes.
-
-    ``ops`` is (file_path, op), ``notes`` the files now with file_path, mtime and size, ``failed`` those that failed before. ``entries`` cuts notes into
-    chunk and title rows; ``embed`` adds embedding and broken to rows (chunk_id, file_path, is_title, text).
-    Rows of deleted and modified files are left out, rows of created and modified ones come new; nothing else is
-    tokenised or embedded again, and the model's answers are written before they are read twice. A file with a broken vector
-    has no rows and stands in ``failed``, where only those that ``diff`` left alone stay of the ones before.
-
-    Tables are staged: statistics are written last, so ``bm25.read`` never opens a cut-off run, and the old index stays whole until its readers leave it.
-    """
-    spark = ops.sparkSession
-    ops.write.parquet(f"{path}/ops")
-    ops = spark.read.parquet(f"{path}/ops")
-    gone, fresh = ops.where("op in ('delete', 'modify')"), ops.where("op in ('create', 'modify')")
-    entries(notes.join(fresh.select("file_path"), "file_path", "left_semi")).write.parquet(f"{path}/fresh")
-    rows = spark.read.parquet(f"{path}/fresh")
-    texts = rows.select("chunk_id", "file_path", "is_title", F.array_join("tokens", " ").alias("text"))
-    embed(texts).select("chunk_id", "file_path", "is_title", "embedding", "broken").write.parquet(f"{path}/embedded")
-    vectors = spark.read.parquet(f"{path}/embedded")
-    bad = vectors.where("broken").select("file_path").distinct()
-    good = lambda t: t.join(bad, "file_path", "left_anti")
-    before = (lambda name, new: remove(spark.read.schema(new.schema).parquet(f"{held}/{name}"), gone, "file_path").unionByName(new)) if held else (lambda name, new: new)
-
-    before("chunks", good(rows)).write.parquet(f"{path}/chunks")
-    before("vectors", good(vectors.drop("broken"))).write.parquet(f"{path}/vectors")
-    bm25.write_postings(before("postings", bm25.full_postings(good(rows), spread)), path)
-    stay = failed.select("file_path", "mtime", "size").join(ops.where("op = 'failed'").select("file_path"), "file_path", "left_semi")
-    stay.unionByName(notes.join(bad, "file_path", "left_semi").select("file_path", "mtime", "size")).write.parquet(f"{path}/failed")
-    bm25.finish(spark.read.parquet(f"{path}/chunks"), path)
