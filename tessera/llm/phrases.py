@@ -30,8 +30,11 @@ BITS = 1 << 26
 PROBES = 3
 #: Text bytes whose phrases are counted together, and rows of a batch that goes back.
 BLOCK_BYTES, ROWS_OUT = 4 << 20, 1 << 15
+#: Rows that a task gathers before it adds them up.
+MERGED = 1 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_PACKED = "bucket long, lang string, phrases string, counts binary"
 _ROWS = "lang string, phrase string, n int, count long"
 
 
@@ -72,6 +75,18 @@ def _places(keys: np.ndarray) -> list[np.ndarray]:
     return [(mix(keys + np.uint64(i * int(_STEP) % (1 << 64))) & np.uint64(BITS - 1)).astype(np.int64) for i in range(PROBES)]
 
 
+def _grouped(code: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes below ``top``, where each stands first, its number at each place, its occurrences."""
+    if top > 8 * len(code) + 1024:
+        return np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    count = np.bincount(code, minlength=top)
+    distinct = np.flatnonzero(count)
+    first, number = np.zeros(top, np.int64), np.zeros(top, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    number[distinct] = np.arange(len(distinct))
+    return distinct, first[distinct], number[code], count[distinct]
+
+
 class Block:
     """The words of some texts: where they stand, which are equal, where a piece ends."""
 
@@ -98,19 +113,13 @@ class Block:
         coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(self.at), pa.py_buffer(self.bytes)]).dictionary_encode()
         known = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
         code = coded.indices.to_numpy().astype(np.int64) + lang * max(len(known), 1)
-        distinct, self.first, self.word, self.count = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+        distinct, self.first, self.word, self.count = _grouped(code, len(self.langs) * len(known))
         self.lang = distinct // max(len(known), 1)
         self.hash = known[distinct % max(len(known), 1)] if len(known) else np.zeros(0, np.uint64)
         self.seeds = np.array([_seed(x) for x in self.langs], np.uint64)
 
-    def phrases(self, where: np.ndarray, n: int) -> pa.Array:
-        """The n-word phrases that start at these words."""
-        starts = self.at[where]
-        lens = self.at[where + n] - 1 - starts
-        return pa.Array.from_buffers(pa.large_string(), len(where), [None, pa.py_buffer(spans(lens)), pa.py_buffer(gather(self.bytes, starts, lens))])
-
-    def count_all(self, proposed: Filter, frequent: Filter | None, longest: int, proposing: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(words, language, first place, occurrences) of the phrases that this pass counts.
+    def count_all(self, proposed: Filter, frequent: Filter | None, longest: int, proposing: int | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words, language, first place, occurrences, key) of the phrases that this pass counts.
 
         A phrase is proposed or at its border if both phrases of one word less are proposed; single words always are. The full pass (``frequent`` is
         None) counts these. A further pass counts the rest of what may be frequent: phrases with no part that is known to be rare. In the sample
@@ -120,7 +129,7 @@ class Block:
         counted = proposed.has(keys) if proposing is None else self.count >= proposing  # counted by the full pass, and proposed
         on = counted if frequent is None else frequent.has(keys)  # may grow in this pass
         if frequent is None:
-            yield 1, self.lang, self.first, self.count
+            yield 1, self.lang, self.first, self.count, keys
         unit, lang = self.word, self.lang  # number of the phrase that starts at each word; none is the last, which never goes on
         for n in range(2, longest + 1):
             on, counted = np.append(on, False), np.append(counted, False)
@@ -134,33 +143,75 @@ class Block:
             was = counted[left] & counted[right]
             own = proposed.has(keys) if proposing is None else count >= proposing
             if frequent is None:
-                yield n, lang, first, count
+                yield n, lang, first, count, keys
                 on = own
             else:
                 if not was.all():
-                    yield n, lang[~was], first[~was], count[~was]
+                    yield n, lang[~was], first[~was], count[~was], keys[~was]
                 on = np.where(was, frequent.has(keys), True)
             counted = was & own
             fresh = np.full(len(unit), len(pairs))
             fresh[held] = back
             unit = fresh
 
-    def rows(self, proposed: Filter, frequent: Filter | None, longest: int, proposing: int | None) -> Iterator[pa.RecordBatch]:
-        names = pa.array(self.langs, pa.string())
+    def rows(self, proposed: Filter, frequent: Filter | None, longest: int, proposing: int | None, buckets: int) -> Iterator[pa.RecordBatch]:
+        """The counted phrases, packed by bucket and language (``_PACKED``); the words of a language count as those of an empty phrase."""
         if frequent is None and len(self.langs):
             total = np.bincount(self.lang, self.count, len(self.langs)).astype(np.int64)
-            yield _batch(names, pa.nulls(len(names), pa.string()), 0, total)
-        for n, lang, first, count in self.count_all(proposed, frequent, longest, proposing):
-            for i in range(0, len(first), ROWS_OUT):
-                j = slice(i, i + ROWS_OUT)
-                yield _batch(names.take(pa.array(lang[j])), self.phrases(first[j], n).cast(pa.string()), n, count[j])
+            yield _packed(np.zeros(len(total), np.int64), np.arange(len(total)), np.full(len(total), 10, np.uint8), np.arange(len(total) + 1), total, self.langs)
+        for n, lang, first, count, key in self.count_all(proposed, frequent, longest, proposing):
+            bucket = (key % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((lang, bucket))
+            for i in range(0, len(order), MERGED):
+                own = order[i : i + MERGED]
+                starts = self.at[first[own]]
+                lens = self.at[first[own] + n] - starts
+                ends = spans(lens)
+                flat = gather(self.bytes, starts, lens)
+                flat[ends[1:] - 1] = 10  # for the space behind the last word
+                yield _packed(bucket[own], lang[own], flat, ends, count[own].astype(np.int64), self.langs)
+
+
+def _packed(bucket: np.ndarray, lang: np.ndarray, flat: np.ndarray, ends: np.ndarray, count: np.ndarray, langs: list[str]) -> pa.RecordBatch:
+    """A row for each run of one bucket and language: its phrases, each closed by a line feed, and their counts."""
+    cuts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (lang[1:] != lang[:-1])]))
+    at = np.append(cuts, len(bucket))
+    text = pa.Array.from_buffers(pa.string(), len(cuts), [None, pa.py_buffer(ends[at].astype(np.int32)), pa.py_buffer(flat)])
+    held = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer((at * 8).astype(np.int32)), pa.py_buffer(count)])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cuts]), pa.array(langs, pa.string()).take(pa.array(lang[cuts])), text, held], ["bucket", "lang", "phrases", "counts"])
+
+
+def _merger(least: int):
+    """Sums of packed counts, of which those of ``least`` and more are given out; what a task holds are the distinct phrases of its buckets."""
+
+    def merged(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("count", "sum")]).rename_columns(["lang", "phrase", "count"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, room = [], 0, MERGED
+        for batch in batches:
+            for i in range(batch.num_rows):
+                count = np.frombuffer(batch["counts"][i].as_py(), np.int64)
+                phrase = pc.split_pattern(batch["phrases"].slice(i, 1), "\n").flatten().slice(0, len(count))
+                held.append(pa.table({"lang": pa.repeat(batch["lang"][i], len(count)), "phrase": phrase.cast(pa.large_string()), "count": pa.array(count)}))
+                size += len(count)
+                if size > room:
+                    held = [merged(held)]
+                    size = held[0].num_rows
+                    room = MERGED + 2 * size
+        if held:
+            table = merged(held)
+            table = table.filter(pc.or_(pc.greater_equal(table["count"], least), pc.equal(table["phrase"], "")))
+            for batch in table.to_batches(max_chunksize=ROWS_OUT):
+                phrase = batch["phrase"].cast(pa.string())
+                none = pc.equal(phrase, "")
+                n = pc.if_else(none, 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+                yield pa.RecordBatch.from_arrays([batch["lang"], pc.if_else(none, pa.scalar(None, pa.string()), phrase), n, batch["count"]], ["lang", "phrase", "n", "count"])
 
-def _batch(langs: pa.Array, phrases: pa.Array, n: int, count: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([langs, phrases, pa.array(np.full(len(phrases), n, np.int32)), pa.array(count.astype(np.int64))], ["lang", "phrase", "n", "count"])
+    return run
 
 
-def _counter(proposed, frequent, longest: int, block_bytes: int, proposing: int | None):
+def _counter(proposed, frequent, longest: int, block_bytes: int, proposing: int | None, buckets: int):
     """``proposed`` and ``frequent``: broadcast bits, or None; ``frequent`` marks a further pass, ``proposing`` that over the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,10 +224,10 @@ def _counter(proposed, frequent, longest: int, block_bytes: int, proposing: int
                 held.append(batch.slice(a, b - a))
                 size += int(lens[a:b].sum())
                 if size >= block_bytes or b < batch.num_rows:
-                    yield from _block(held).rows(first, more, longest, proposing)
+                    yield from _block(held).rows(first, more, longest, proposing, buckets)
                     held, size = [], 0
         if held:
-            yield from _block(held).rows(first, more, longest, proposing)
+            yield from _block(held).rows(first, more, longest, proposing, buckets)
 
     return run
 
@@ -235,16 +286,20 @@ def count_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     picked = docs.where(F.pmod(F.xxhash64("lang", "text"), F.lit(RATE)) == 0 if sample is None else F.col("in_sample__")).select("lang", "text")
     docs = docs.select("lang", "text")
 
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def counts(of: DataFrame, proposed, frequent, proposing=None) -> DataFrame:
-        return of.mapInArrow(_counter(proposed, frequent, longest, block_bytes, proposing), _ROWS).groupBy("lang", "phrase", "n").agg(F.sum("count").alias("count"))
+        """What a pass counts ``support`` times, or as often as is proposed; phrases travel packed, as there are about as many as words."""
+        packed = of.mapInArrow(_counter(proposed, frequent, longest, block_bytes, proposing, buckets), _PACKED)
+        return packed.repartition("bucket").drop("bucket").mapInArrow(_merger(proposing or support), _ROWS)
 
     real = F.col("phrase").isNotNull()
-    proposed = sc.broadcast(_bits(counts(picked, None, None, proposed_at).where(real & (F.col("count") >= proposed_at))))
-    found = stored(counts(docs, proposed, None).where(~real | (F.col("count") >= support)), "phrases")
+    proposed = sc.broadcast(_bits(counts(picked, None, None, proposed_at).where(real)))
+    found = stored(counts(docs, proposed, None), "phrases")
     open_ = found.where(real & (F.col("n") < longest))
     if _missed(open_, proposed).isEmpty():
         return found
-    more = counts(docs, proposed, sc.broadcast(_bits(found.where(real)))).where(F.col("count") >= support)
+    more = counts(docs, proposed, sc.broadcast(_bits(found.where(real))))
     return stored(found.unionByName(more), "phrases")
 
 
