@@ -29,22 +29,20 @@ SCALE, BEST = 2_000_000, 2000
 BITS = 1 << 26
 PROBES = 3
 #: Text bytes whose phrases are counted together, and rows of a batch that goes back.
-BLOCK_BYTES, ROWS_OUT = 4 << 20, 1 << 15
+BLOCK_BYTES, ROWS_OUT = 2 << 20, 1 << 15
+#: Partitions of packed counts for each one that the session uses: a task gets all of one in a few batches.
+SPREAD = 4
 #: Rows that a task gathers before it adds them up.
-MERGED = 1 << 20
+MERGED = 1 << 18
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PACKED = "bucket long, lang string, phrases string, counts binary"
 _ROWS = "lang string, phrase string, n int, count long"
 
 
-def _byte_classes() -> np.ndarray:
+def _byte_classes() -> bytes:
     """Bytes of a text, as they count: A-Z lower-cased, ends of pieces as line feeds, tabs as spaces."""
-    out = np.arange(256, dtype=np.uint8)
-    out[ord("A") : ord("Z") + 1] += 32
-    out[list(b".,;:!?\n\x0b\x0c\r")] = 10
-    out[9] = 32
-    return out
+    return bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _seed(lang: str) -> int:
@@ -95,7 +93,7 @@ class Block:
         closed = pc.binary_join_element_wise(pc.fill_null(texts.cast(wide), ""), pa.scalar("", wide), pa.scalar("\n", wide))
         _, offsets, data = closed.buffers()
         ends = np.frombuffer(offsets, np.int64)[closed.offset : closed.offset + len(closed) + 1]
-        raw = _byte_classes()[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]] if len(closed) else np.zeros(0, np.uint8)
+        raw = np.frombuffer(bytearray(memoryview(data)[ends[0] : ends[-1]]).translate(_byte_classes()) if len(closed) else b"", np.uint8)
         inside = np.zeros(len(raw) + 2, np.int8)
         inside[1:-1] = (raw != 10) & (raw != 32)
         edge = np.diff(inside)
@@ -185,20 +183,28 @@ def _merger(least: int):
     """Sums of packed counts, of which those of ``least`` and more are given out; what a task holds are the distinct phrases of its buckets."""
 
     def merged(held: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(held).group_by(["lang", "phrase"]).aggregate([("count", "sum")]).rename_columns(["lang", "phrase", "count"])
+        return pa.concat_tables(held).combine_chunks().group_by(["lang", "phrase"]).aggregate([("count", "sum")]).rename_columns(["lang", "phrase", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, room = [], 0, MERGED
         for batch in batches:
-            for i in range(batch.num_rows):
-                count = np.frombuffer(batch["counts"][i].as_py(), np.int64)
-                phrase = pc.split_pattern(batch["phrases"].slice(i, 1), "\n").flatten().slice(0, len(count))
-                held.append(pa.table({"lang": pa.repeat(batch["lang"][i], len(count)), "phrase": phrase.cast(pa.large_string()), "count": pa.array(count)}))
-                size += len(count)
-                if size > room:
-                    held = [merged(held)]
-                    size = held[0].num_rows
-                    room = MERGED + 2 * size
+            each = pc.binary_length(batch["counts"]).to_numpy().astype(np.int64) // 8
+            _, offsets, data = batch["counts"].buffers()
+            first = int(np.frombuffer(offsets, np.int32)[batch["counts"].offset]) if batch.num_rows else 0
+            count = np.frombuffer(data, np.int64, int(each.sum()), first) if each.any() else np.zeros(0, np.int64)
+            # What follows the last line feed of a row is no phrase.
+            split = pc.split_pattern(batch["phrases"].cast(pa.large_string()), "\n").flatten()
+            real = np.ones(len(split), bool)
+            real[np.cumsum(each + 1) - 1] = False
+            own = batch["lang"].dictionary_encode()
+            lang = own.dictionary.take(pa.array(np.repeat(own.indices.to_numpy(), each)))
+            held.append(pa.table({"lang": lang, "phrase": split.filter(pa.array(real)), "count": pa.array(count)}))
+            size += len(count)
+            if size > room:
+                held = [merged(held)]
+                size = held[0].num_rows
+                room = MERGED + 2 * size
+                pa.default_memory_pool().release_unused()
         if held:
             table = merged(held)
             table = table.filter(pc.or_(pc.greater_equal(table["count"], least), pc.equal(table["phrase"], "")))
@@ -206,7 +212,7 @@ def _merger(least: int):
                 phrase = batch["phrase"].cast(pa.string())
                 none = pc.equal(phrase, "")
                 n = pc.if_else(none, 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
-                yield pa.RecordBatch.from_arrays([batch["lang"], pc.if_else(none, pa.scalar(None, pa.string()), phrase), n, batch["count"]], ["lang", "phrase", "n", "count"])
+                yield pa.RecordBatch.from_arrays([batch["lang"].cast(pa.string()), pc.if_else(none, pa.scalar(None, pa.string()), phrase), n, batch["count"]], ["lang", "phrase", "n", "count"])
 
     return run
 
@@ -226,6 +232,7 @@ def _counter(proposed, frequent, longest: int, block_bytes: int, proposing: int
                 if size >= block_bytes or b < batch.num_rows:
                     yield from _block(held).rows(first, more, longest, proposing, buckets)
                     held, size = [], 0
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from _block(held).rows(first, more, longest, proposing, buckets)
 
@@ -286,12 +293,12 @@ def count_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     picked = docs.where(F.pmod(F.xxhash64("lang", "text"), F.lit(RATE)) == 0 if sample is None else F.col("in_sample__")).select("lang", "text")
     docs = docs.select("lang", "text")
 
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def counts(of: DataFrame, proposed, frequent, proposing=None) -> DataFrame:
         """What a pass counts ``support`` times, or as often as is proposed; phrases travel packed, as there are about as many as words."""
         packed = of.mapInArrow(_counter(proposed, frequent, longest, block_bytes, proposing, buckets), _PACKED)
-        return packed.repartition("bucket").drop("bucket").mapInArrow(_merger(proposing or support), _ROWS)
+        return packed.repartition(buckets, "bucket").drop("bucket").mapInArrow(_merger(proposing or support), _ROWS)
 
     real = F.col("phrase").isNotNull()
     proposed = sc.broadcast(_bits(counts(picked, None, None, proposed_at).where(real)))
