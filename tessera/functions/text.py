@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,7 +14,6 @@ from pyspark.sql.types import StringType
 WORD = r"[\p{L}\p{N}]+"
 # Phrases that mark an answer as missing.
 REFUSALS = ["i don't know", "i do not know", "cannot answer", "unable to answer", "no information", "not enough information", "context doesn't contain", "context does not contain"]
-BLOCK_TAGS = r"(?i)</?(p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|title)\b[^>]*>"
 
 
 def tokens(text: Column) -> Column:
@@ -86,20 +86,66 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else html.unescape(t))
 
 
+# Fixed value: what Python's patterns take for white space.
+SPACE = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
 def html_to_text(page: Column) -> Column:
-    """Drop scripts, styles and comments, break lines at block tags, strip tags, decode character references, collapse blanks."""
-    out = F.regexp_replace(page, r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->", "")
-    out = unescape(F.regexp_replace(F.regexp_replace(out, BLOCK_TAGS, "\n"), r"<[^>]*>", ""))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r\f\x0B]+", " "), r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+$", "")
+    """Drop scripts, styles and comments, break lines at opening block tags, strip tags, decode character references, collapse blanks; paragraphs stay apart."""
+    out = F.coalesce(page, F.lit(""))
+    for gone in (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->"):
+        out = F.regexp_replace(out, gone, "")
+    out = unescape(F.regexp_replace(F.regexp_replace(out, r"(?i)<(?:p|div|br|h[1-6]|li|tr)[^>]*>", "\n"), r"<[^>]+>", ""))
+    out = F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), rf"\n{SPACE}*\n", "\n\n")
+    return F.regexp_replace(out, rf"^{SPACE}+|{SPACE}+$", "")
+
+
+class _Body(HTMLParser):
+    """Text of a page's body without what is not its content."""
+
+    # Elements that go with all they hold; the last two stand outside of the body.
+    GONE = ("script", "style", "nav", "header", "footer", "aside", "noscript", "head", "title")
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[str] = []
+        self.parts: list[str] = []
+
+    def handle_starttag(self, tag, attrs) -> None:
+        if tag == "body":
+            self.open = [t for t in self.open if t not in ("head", "title")]
+        elif tag in self.GONE:
+            self.open.append(tag)
+
+    def handle_endtag(self, tag) -> None:
+        if tag in self.open:
+            del self.open[len(self.open) - 1 - self.open[::-1].index(tag) :]
+
+    def handle_data(self, data) -> None:
+        if not self.open:
+            self.parts.append(data)
+
+
+@F.pandas_udf(StringType())
+def _body_text(page: pd.Series) -> pd.Series:
+    def read(html_: str | None) -> str:
+        parser = _Body()
+        parser.feed(html_ or "")
+        parser.close()
+        return "".join(parser.parts)
+
+    return page.map(read)
 
 
 def main_text(page: Column) -> Column:
-    """Text content without script, style and page furniture, on one line."""
-    out = page
-    for tag in ("script", "style", "nav", "header", "footer", "aside", "noscript"):
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"<[^>]*>", " "), r"\s+", " "))
+    """What a browser takes for the body's text, without scripts, styles and page furniture, on one line; elements may be nested, references are decoded."""
+    blank = r"[\t-\r\x20\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+    return F.regexp_replace(F.regexp_replace(_body_text(page), rf"^{blank}+|{blank}+$", ""), rf"{blank}+", " ")
+
+
+def capped(text: Column, most: int, notice: str = "\n[truncated]") -> Column:
+    """The first characters and a notice, where there are more."""
+    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(notice))).otherwise(text)
 
 
 def strip_controls(text: Column) -> Column:
@@ -113,14 +159,23 @@ def context_block(path: Column, headings: Column, content: Column) -> Column:
     return F.concat(F.lit("[["), link, F.lit("]]\n"), content)
 
 
-def truncate_chars(text: Column, token_budget: int, notice: str = "\n[truncated]") -> Column:
-    """Four characters count as a token; the cut moves back to a line end in the last fifth."""
-    most = token_budget * 4
-    cut = F.substring(text, 1, most)
-    back = F.instr(F.reverse(cut), "\n")
-    line = most - back
-    kept = F.when((back > 0) & (line > most * 0.8), F.substring(cut, F.lit(1), line)).otherwise(cut)
-    return F.when(F.char_length(text) <= most, text).otherwise(F.concat(kept, F.lit(notice)))
+# What is said of a text that was cut, and of one that has no room.
+CUT_NOTICE = "\n\n[Content truncated due to context limit. Use this partial information or respond based on what you have. Retrying the same tool will not retrieve more content.]"
+NO_ROOM = "[Content too large for context window]"
+
+
+def truncate_chars(text: Column, token_budget: int) -> Column:
+    """A text within a budget of tokens, of four characters each, which the notice of a cut is part of; the cut moves back to a line end in the last fifth."""
+    room = token_budget * 4 - len(CUT_NOTICE)
+    if token_budget <= 0:
+        return F.when(text.isNotNull(), NO_ROOM)
+    fits = F.char_length(text) <= token_budget * 4
+    if room <= 0:
+        return F.when(fits, text).when(text.isNotNull(), NO_ROOM)
+    cut = F.left(text, F.lit(room))
+    line = room - F.instr(F.reverse(cut), "\n")  # characters before the last line end
+    kept = F.when((line < room) & (line > room * 0.8), F.left(cut, line)).otherwise(cut)
+    return F.when(fits, text).otherwise(F.concat(kept, F.lit(CUT_NOTICE)))
 
 
 def grade(answer: Column, expected: Column, alternatives: Column) -> Column:
@@ -152,32 +207,45 @@ def store_name(name: Column) -> Column:
 
 
 def query_label(text: Column, most: int = 30) -> Column:
-    cut = F.when(F.char_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
-    return F.concat(F.lit('"'), cut, F.lit('"'))
+    """The text on one line in quotes, cut after ``most`` characters."""
+    flat = F.regexp_replace(F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", ""), rf"{SPACE}+", " ")
+    return F.concat(F.lit('"'), capped(flat, most, "..."), F.lit('"'))
 
 
 def duration(ms: Column) -> Column:
-    """1.23s, 2m 3s or 1h 2m."""
+    """1.23s, 2m 3s or 1h 2m; a part that is 0 after the first is left out."""
     s = F.floor(ms / 1000)
+    two = lambda big, unit, small, small_unit: F.concat(big.cast("string"), F.lit(unit), F.when(small > 0, F.concat(F.lit(" "), small.cast("string"), F.lit(small_unit))).otherwise(""))
     return (
         F.when(ms.isNull(), F.lit(None).cast("string"))
         .when(s < 60, F.format_string("%.2fs", F.floor(ms / 10.0 + 0.5) / 100.0))
-        .when(s < 3600, F.format_string("%dm %ds", F.floor(s / 60), s % 60))
-        .otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor(s / 60) % 60))
+        .when(s < 3600, two(F.floor(s / 60), "m", s % 60, "s"))
+        .otherwise(two(F.floor(s / 3600), "h", F.floor(s / 60) % 60, "m"))
     )
 
 
+def byte_size(size: Column) -> Column:
+    """0 Bytes, 1.5 KB, 20 MB: up to two decimals, without zeros at their end."""
+    units = ["Bytes", "KB", "MB", "GB"]
+    label = F.lit("0 Bytes")
+    for i, unit in enumerate(units):
+        value = F.floor(size / float(1024**i) * 100 + 0.5) / 100
+        number = F.regexp_replace(F.format_string("%.2f", value), r"\.?0+$", "")
+        label = F.when(size >= 1024**i, F.concat(number, F.lit(f" {unit}"))).otherwise(label)
+    return F.when(size.isNotNull(), label)
+
+
 def task_text(text: Column) -> Column:
-    """A task line without its tags and [key:: value] fields."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\[[^\]]*::[^\]]*\]", ""), r"#[\w/-]+", ""), r"\s+", " "))
+    """A task line without its tags and [key:: value] fields; what stood around them stays."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"#\w+", ""), r"\[[\w\s-]+::\s*[^\]]*\]", ""))
 
 
-def day_label(day: Column, today: Column) -> Column:
-    d = F.datediff(day, today)
-    return (
-        F.when(d == 0, "Today").when(d == 1, "Tomorrow").when(d == -1, "Yesterday")
-        .when(d < 0, F.concat((-d).cast("string"), F.lit(" days ago"))).otherwise(F.concat(F.lit("in "), d.cast("string"), F.lit(" days")))
-    )
+def day_label(start: Column, today: Column, all_day: Column | bool = True) -> Column:
+    """Today, Tomorrow, Yesterday, so many days ago, or the short date of a later day; with the time where an event has one."""
+    d = F.datediff(start, today)
+    day = F.when(d == 0, "Today").when(d == 1, "Tomorrow").when(d == -1, "Yesterday").when(d < -1, F.concat((-d).cast("string"), F.lit(" days ago"))).otherwise(F.date_format(start, "MMM d"))
+    timed = F.concat(day, F.lit(" "), F.date_format(start, "hh:mm a"))
+    return F.when(F.lit(all_day) if isinstance(all_day, bool) else all_day, day).otherwise(timed)
 
 
 def ical_text(text: Column) -> Column:
@@ -189,10 +257,11 @@ def ical_text(text: Column) -> Column:
 
 
 def ical_time(stamp: Column) -> Column:
-    """20240131, 20240131T090000 and 20240131T090000Z as timestamps; null for other shapes."""
+    """20240131 and 20240131T090000 in the session's zone and 20240131T090000Z in UTC, as timestamps; null for other shapes."""
     day = F.when(stamp.rlike(r"^\d{8}$"), F.concat(stamp, F.lit("T000000")))
-    moment = F.when(stamp.rlike(r"^\d{8}T\d{6}Z?$"), F.substring(stamp, 1, 15))
-    return F.to_timestamp(F.coalesce(day, moment), "yyyyMMdd'T'HHmmss")
+    here = F.when(stamp.rlike(r"^\d{8}T\d{6}$"), stamp)
+    utc = F.when(stamp.rlike(r"^\d{8}T\d{6}Z$"), stamp)
+    return F.coalesce(F.to_timestamp(utc, "yyyyMMdd'T'HHmmssX"), F.to_timestamp(F.coalesce(day, here), "yyyyMMdd'T'HHmmss"))
 
 
 def ical_events(feed: Column) -> Column:

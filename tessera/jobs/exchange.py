@@ -47,7 +47,7 @@ def src16_first_by_id(spark, sf_dir):
 
 
 def src17_capped_page_text(spark, sf_dir):
-    return corpus.table(spark, sf_dir, "pages").select("page_id", F.left(T.html_to_text(F.col("html")), F.lit(PAGE_CHARS)).alias("text"))
+    return corpus.table(spark, sf_dir, "pages").select("page_id", T.capped(T.main_text(F.col("html")), PAGE_CHARS).alias("text"))
 
 
 def src18_calendar_events(spark, sf_dir):
@@ -125,7 +125,7 @@ ORACLES = {
     "src12_jsonl_corpus": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "src14_qrels": "SELECT 'q' || (doc_id % 10)::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id, quality::INTEGER AS relevance FROM labels WHERE quality > 0",
     "src16_first_by_id": "SELECT user_id, min(event_id) AS event_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id",
-    "src17_capped_page_text": f"SELECT page_id, substr({preparation._HTML}, 1, {PAGE_CHARS}) AS text FROM pages",
+    "src17_capped_page_text": f"SELECT page_id, CASE WHEN length(t) > {PAGE_CHARS} THEN substr(t, 1, {PAGE_CHARS}) || chr(10) || '[truncated]' ELSE t END AS text FROM (SELECT page_id, {preparation._MAIN} AS t FROM pages)",
     "src18_calendar_events": f"SELECT doc_id, 'Note ' || lang AS summary, {_DAY} || ' 08:00:00' AS start, {_DAY} || ' 09:30:00' AS \"end\" FROM documents",
     "snk11_metrics_csv": evaluation.ORACLES["q16_multi_run_metrics"],
     "prj2_article_ids": "SELECT doc_id, source || '/' || doc_id::VARCHAR AS article FROM documents",
@@ -133,5 +133,20 @@ ORACLES = {
     "agg29_batch_tokens": f"""SELECT doc_id // {BATCH} AS batch, sum(n)::BIGINT AS total, max(n) AS most
         FROM (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), {R.WORDS}))::BIGINT AS n FROM documents) GROUP BY 1""",
     "top7_capped_rerank": f"WITH {R.BM25} {R._top(R._fill(R._RERANK, R._lexical(100)), 3, 'chunk_id', 'query_id, chunk_id, score, rank')}",
+    # Lines two to six while their words stay within 40; then, if more than ten are left or nothing is taken, the words of the next line up to the first too many.
+    "fn12_selected_lines": rf"""WITH {R.FILES}, l AS (SELECT file_path, unnest(list_slice(string_split(coalesce(content, ''), chr(10)), 2, 6)) AS line, unnest(range(5))::INTEGER AS no FROM files),
+        c AS (SELECT *, sum(n) OVER (PARTITION BY file_path ORDER BY no) AS upto FROM (SELECT file_path, no, line, len(regexp_extract_all(line, {R.WORDS})) AS n FROM l WHERE line IS NOT NULL)),
+        kept AS (SELECT file_path, string_agg(line, chr(10) ORDER BY no) AS taken, max(upto) AS used, max(no) AS last FROM c WHERE upto <= 40 GROUP BY file_path),
+        next AS (SELECT c.file_path, c.line, coalesce(40 - used, 40) AS room FROM c LEFT JOIN kept USING (file_path) WHERE c.no = coalesce(last, -1) + 1),
+        words AS (SELECT file_path, room, unnest(w) AS word, unnest(range(len(w))) AS i FROM (SELECT *, regexp_split_to_array(line, '\s+') AS w FROM next WHERE room > 10)),
+        begun AS (SELECT file_path, string_agg(word, ' ' ORDER BY i) AS part FROM (SELECT *, sum(len(regexp_extract_all(word, {R.WORDS}))) OVER (PARTITION BY file_path ORDER BY i) AS upto FROM words) WHERE upto <= room GROUP BY file_path)
+        SELECT file_path, CASE WHEN taken IS NULL THEN coalesce(part, '') WHEN next.file_path IS NULL OR room <= 10 THEN taken ELSE taken || chr(10) || coalesce(part, '') END AS text
+        FROM files LEFT JOIN kept USING (file_path) LEFT JOIN next USING (file_path) LEFT JOIN begun USING (file_path)""",
+    # A fifth goes until at most 64 words or 100 characters are left.
+    "fn18_shrunk": rf"""WITH RECURSIVE {R.FILES}, cut AS (
+            SELECT file_path, coalesce(content, '') AS text FROM files
+            UNION ALL
+            SELECT file_path, left(text, floor(length(text) * 0.8::DOUBLE)::BIGINT) FROM cut WHERE length(text) > 100 AND len(regexp_extract_all(text, {R.WORDS})) > 64)
+        SELECT file_path, arg_min(text, length(text)) AS text FROM cut GROUP BY file_path""",
     "fn16_char_truncate": rf"WITH {R.FILES} SELECT file_path, regexp_extract(coalesce(content, ''), '^(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]+){{0,20}}[^\p{{L}}\p{{N}}]*') AS text FROM files",
 }

@@ -87,7 +87,7 @@ def fn22_main_text(spark, sf_dir):
 def fn23_page_fallback(spark, sf_dir):
     """Page text, or its address where it is empty; pages with neither are dropped."""
     p = corpus.table(spark, sf_dir, "pages")
-    body = F.when(F.col("page_id") % 5 != 0, T.main_text(F.col("html"))).otherwise("")
+    body = F.when(F.col("page_id") % 5 != 0, T.html_to_text(F.col("html"))).otherwise("")
     text = F.coalesce(F.nullif(body, F.lit("")), F.when(F.col("page_id") % 10 != 0, F.col("url")))
     title = F.coalesce(F.nullif(F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1), F.lit("")), F.concat(F.lit("Page "), F.col("page_id").cast("string")))
     return p.select("page_id", title.alias("title"), text.alias("text")).where("text is not null")
@@ -163,16 +163,26 @@ QUERIES = {
     )
 }
 
-_MAIN = "html"
-for _tag in ("script", "style", "nav", "header", "footer", "aside", "noscript"):
-    _MAIN = rf"regexp_replace({_MAIN}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}\s*>', ' ', 'g')"
-_MAIN = rf"trim(regexp_replace(regexp_replace(regexp_replace({_MAIN}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
-_HTML = r"regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', '', 'g')"
-_HTML = rf"regexp_replace(regexp_replace({_HTML}, '{T.BLOCK_TAGS}', chr(10), 'g'), '<[^>]*>', '', 'g')"
-# The character references that the pages of the test tables hold; the function decodes all that HTML has.
-for _entity, _char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-    _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
-_HTML = rf"regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t\r\f\x0B]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+# The character references that the pages of the test tables hold; the functions decode all that HTML has.
+def _decoded(sql: str) -> str:
+    for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        sql = f"replace({sql}, '{entity}', '{char}')"
+    return sql
+
+
+def _gone(sql: str, *tags: str) -> str:
+    for tag in tags:
+        sql = rf"regexp_replace({sql}, '(?is)<{tag}\b[^>]*>.*?</{tag}\s*>', '', 'g')"
+    return sql
+
+
+# The body's text content: elements that are no content go, then tags and comments, and nothing takes their place; references after that, blanks last.
+_MAIN = _gone(r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')", "style", "head", "nav", "header", "footer", "aside", "noscript")
+_MAIN = rf"regexp_replace(trim({_decoded(f"regexp_replace({_MAIN}, '<[^>]*>', '', 'g')")}, ' ' || chr(9) || chr(10) || chr(13)), '\s+', ' ', 'g')"
+# Scripts, styles, comments; a line end for six kinds of opening tags; other tags; references; runs of blanks; one blank line between paragraphs.
+_HTML = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+_HTML = _decoded(rf"regexp_replace(regexp_replace({_HTML}, '(?i)<(p|div|br|h[1-6]|li|tr)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')")
+_HTML = rf"trim(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), '\n\s*\n', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
 _LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS no FROM documents WHERE text IS NOT NULL)"
 _NOTE = f"WITH {R.CHUNKS} SELECT file_path, md5(string_agg(array_to_string(tokens, ' '), chr(10) || chr(10) ORDER BY chunk_index)) AS text_md5 FROM chunks"
 
@@ -194,7 +204,7 @@ ORACLES = {
     "fn21_page_text": f"SELECT page_id, {_HTML} AS text FROM pages",
     "fn22_main_text": f"SELECT page_id, {_MAIN} AS text FROM pages",
     "fn23_page_fallback": f"""SELECT * FROM (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), ''), 'Page ' || page_id::VARCHAR) AS title,
-        coalesce(nullif(CASE WHEN page_id % 5 <> 0 THEN {_MAIN} ELSE '' END, ''), CASE WHEN page_id % 10 <> 0 THEN url END) AS text FROM pages) WHERE text IS NOT NULL""",
+        coalesce(nullif(CASE WHEN page_id % 5 <> 0 THEN {_HTML} ELSE '' END, ''), CASE WHEN page_id % 10 <> 0 THEN url END) AS text FROM pages) WHERE text IS NOT NULL""",
     "jon11_page_of_chunk": f"""WITH {R.FILES}, f AS (SELECT file_path, size FROM files WHERE size > 0),
         pages AS (SELECT file_path, unnest(range(0, size + 1, 1000)) AS start FROM f), points AS (SELECT file_path, unnest(range(-1, size + 1, 700)) AS "offset" FROM f)
         SELECT p.file_path, p."offset", (s.start / 1000)::BIGINT::INTEGER + 1 AS page FROM points p ASOF LEFT JOIN pages s ON p.file_path = s.file_path AND p."offset" >= s.start""",

@@ -73,7 +73,8 @@ def fn26_context(spark, sf_dir):
 
 
 def fn27_char_budget(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.truncate_chars(F.col("text"), 100)).alias("text_md5"))
+    """Each text in a budget of 100 tokens, and in one that the notice alone fills."""
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.truncate_chars(F.col("text"), 100)).alias("text_md5"), T.truncate_chars(F.col("text"), 20).alias("small"))
 
 
 def fn28_grade(spark, sf_dir):
@@ -94,7 +95,7 @@ def fn30_names(spark, sf_dir):
 
 def fn31_labels(spark, sf_dir):
     ms = F.col("doc_id") * 7919 + 1234
-    return corpus.files(spark, sf_dir).select("doc_id", T.query_label(F.col("title")).alias("label"), T.duration(ms).alias("duration"))
+    return corpus.files(spark, sf_dir).select("doc_id", T.query_label(F.concat(F.lit(" "), F.regexp_replace("title", " ", " \n"))).alias("label"), T.duration(ms).alias("duration"), T.byte_size(F.col("size") * F.col("size") * F.col("size")).alias("bytes"))
 
 
 def fn32_calendar(spark, sf_dir):
@@ -107,7 +108,7 @@ def fn33_tasks(spark, sf_dir):
     f = corpus.files(spark, sf_dir)
     today = F.to_date(F.lit("2024-03-01"))
     day = F.expr("date_add(date'2024-02-25', cast(doc_id % 11 as int))")
-    return f.select("doc_id", T.task_text(F.concat(F.lit("#todo "), F.col("title"), F.lit(" [due:: x] #home/a"))).alias("text"), T.day_label(day, today).alias("day"))
+    return f.select("doc_id", T.task_text(F.concat(F.lit("#todo "), F.col("title"), F.lit(" [due:: x] #home/a"))).alias("text"), T.day_label(F.to_timestamp(F.concat(day.cast("string"), F.lit(" 14:05:00"))), today, F.col("doc_id") % 2 == 0).alias("day"))
 
 
 def flt12_tasks(spark, sf_dir):
@@ -160,7 +161,28 @@ _D = "(SELECT * REPLACE (coalesce(text, '') AS text) FROM documents)"
 _REFUSED = " OR ".join("contains(said, '{}')".format(p.replace("'", "''")) for p in T.REFUSALS)
 _DAY = "(DATE '2024-02-25' + (doc_id % 11)::INTEGER)"
 
+_WHOLE = "coalesce(title, '') || chr(10) || chr(10) || coalesce(content, '')"
+
+
+def _stop(mark: str) -> str:
+    """Where a two-character mark stands last in the last 200 characters before ``start + 7500``, counted from 0 there; -1 if nowhere."""
+    region, turned = "substr(whole, start + 7301, 200)", mark.split(" || ")[::-1]
+    found = f"strpos(reverse({region}), {' || '.join(turned)})"
+    return f"CASE WHEN {found} > 0 THEN 199 - {found} ELSE -1 END"
+
+
+_PARAGRAPH, _FULL_STOP = _stop("chr(10) || chr(10)"), f"greatest({_stop("'.' || ' '")}, {_stop("'.' || chr(10)")})"
+_END = f"start + CASE WHEN start + 7500 >= length(whole) THEN 7500 WHEN {_PARAGRAPH} > 0 THEN 7302 + {_PARAGRAPH} WHEN {_FULL_STOP} > 0 THEN 7302 + {_FULL_STOP} ELSE 7500 END"
+
 ORACLES = {
+    "fn10_char_windows": rf"""WITH RECURSIVE {R.FILES}, t AS (SELECT file_path, {_WHOLE} AS whole FROM files),
+        w AS (
+            SELECT file_path, whole, 0::BIGINT AS start FROM t WHERE length(whole) > 7500
+            UNION ALL
+            SELECT file_path, whole, ({_END}) - 500 FROM w WHERE ({_END}) - 500 < length(whole)),
+        cut AS (SELECT file_path, start, regexp_replace(substr(whole, start + 1, ({_END}) - start), '^\s+|\s+$', '', 'g') AS content FROM w)
+        SELECT file_path, 0::INTEGER AS chunk_index, whole AS content FROM t WHERE length(whole) <= 7500
+        UNION ALL SELECT file_path, (row_number() OVER (PARTITION BY file_path ORDER BY start) - 1)::INTEGER, content FROM cut WHERE content <> ''""",
     "fn15_word_truncate": rf"SELECT doc_id, array_to_string(list_slice(regexp_extract_all(text, '\S+'), 1, 20), ' ') AS head FROM {_D}",
     "fn19_frontmatter": f"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || chr(10) || chr(10) || text ELSE '.' || text END) AS text_md5 FROM {_D}",
     "fn20_tidy": rf"""WITH a AS (SELECT doc_id, replace(text, '. ', '.' || chr(9) || ' ' || chr(10) || chr(10) || chr(10) || chr(10) || ' ') AS t FROM {_D}),
@@ -171,19 +193,28 @@ ORACLES = {
         SELECT conv_id, turn, round((turn * 75)::BIGINT + 0.25::DOUBLE, 3) AS start, round((turn * 75 + 70)::BIGINT + 0.25::DOUBLE, 3) AS "end", md5(said) AS text_md5,
                coalesce(sum(length(said) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM s WHERE said <> ''""",
     "fn26_context": f"WITH {R.FILES} SELECT doc_id, '[[' || regexp_replace(file_path, '\\.md$', '') || CASE WHEN doc_id % 2 = 0 THEN '#' || lang ELSE '' END || ']]' || chr(10) || title AS block FROM files",
-    "fn27_char_budget": f"""WITH c AS (SELECT doc_id, text, substr(text, 1, 400) AS cut, strpos(reverse(substr(text, 1, 400)), chr(10)) AS back FROM {_D})
-        SELECT doc_id, md5(CASE WHEN length(text) <= 400 THEN text ELSE CASE WHEN back > 0 AND 400 - back > 320 THEN substr(cut, 1, 400 - back) ELSE cut END || chr(10) || '[truncated]' END) AS text_md5 FROM c""",
+    # 400 characters, of which the notice takes its own; back to the last line end (at a place counted from 0) if that lies beyond four fifths.
+    "fn27_char_budget": f"""WITH n AS (SELECT '{T.CUT_NOTICE}' AS notice), c AS (SELECT doc_id, text, notice, 400 - length(notice) AS room FROM {_D}, n),
+        e AS (SELECT *, substr(text, 1, room) AS cut, length(substr(text, 1, room)) - strpos(reverse(substr(text, 1, room)), chr(10)) AS line_end FROM c)
+        SELECT doc_id, md5(CASE WHEN length(text) <= 400 THEN text WHEN strpos(cut, chr(10)) > 0 AND line_end > room * 0.8::DOUBLE THEN substr(cut, 1, line_end) || notice ELSE cut || notice END) AS text_md5,
+               CASE WHEN length(text) <= 80 THEN text ELSE '{T.NO_ROOM}' END AS small FROM e""",
     "fn28_grade": f"""WITH {R.FILES}, s AS (SELECT *, trim(lower(CASE doc_id % 5 WHEN 0 THEN 'Sorry, I DON''T know ' || title WHEN 1 THEN '  ' || title WHEN 2 THEN lang ELSE 'x' END)) AS said FROM files)
         SELECT doc_id, CASE WHEN {_REFUSED} THEN 'missing' WHEN said = trim(lower(title)) OR said = lang THEN 'correct' END AS grade FROM s""",
     "fn29_chunk_ids": f"WITH {R.ENTRIES} SELECT chunk_id, file_path, TRY_CAST(split_part(chunk_id, '#', 2) AS INTEGER) AS chunk_index FROM entries",
     "fn30_names": rf"WITH {R.FILES} SELECT doc_id, regexp_replace(file_path || '\x', '[/\\]', '_', 'g') AS file, lower(regexp_replace('My Vault ' || file_path, '[^A-Za-z0-9_-]', '_', 'g')) AS store FROM files",
-    "fn31_labels": f"""WITH {R.FILES}, t AS (SELECT *, doc_id * 7919 + 1234 AS ms, floor((doc_id * 7919 + 1234) / 1000::DOUBLE)::BIGINT AS s FROM files)
+    "fn31_labels": f"""WITH {R.FILES}, t AS (SELECT *, doc_id * 7919 + 1234 AS ms, floor((doc_id * 7919 + 1234) / 1000::DOUBLE)::BIGINT AS s, size::BIGINT * size * size AS b FROM files),
+        k AS (SELECT *, CASE WHEN b = 0 THEN 0 ELSE least(3, floor(log(b) / log(1024::DOUBLE)))::INTEGER END AS k FROM t)
         SELECT doc_id, '"' || CASE WHEN length(title) > 30 THEN substr(title, 1, 30) || '...' ELSE title END || '"' AS label,
-               CASE WHEN s < 60 THEN printf('%.2fs', floor(ms / 10.0::DOUBLE + 0.5) / 100.0::DOUBLE) WHEN s < 3600 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%dh %dm', s // 3600, (s // 60) % 60) END AS duration FROM t""",
+               CASE WHEN s < 60 THEN printf('%.2fs', floor(ms / 10.0::DOUBLE + 0.5) / 100.0::DOUBLE)
+                    WHEN s < 3600 THEN CASE WHEN s % 60 > 0 THEN printf('%dm %ds', s // 60, s % 60) ELSE printf('%dm', s // 60) END
+                    WHEN (s // 60) % 60 > 0 THEN printf('%dh %dm', s // 3600, (s // 60) % 60) ELSE printf('%dh', s // 3600) END AS duration,
+               CASE WHEN b IS NULL THEN NULL WHEN b = 0 THEN '0 Bytes' ELSE regexp_replace(printf('%.2f', floor(b / pow(1024::DOUBLE, k) * 100 + 0.5) / 100), '\\.?0+$', '') || ' ' || ['Bytes', 'KB', 'MB', 'GB'][k + 1] END AS bytes FROM k""",
     "fn32_calendar": f"""WITH {R.FILES} SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN strftime(DATE '2024-01-01' + (doc_id % 300)::INTEGER, '%Y-%m-%d') || ' 00:00:00' WHEN 1 THEN strftime(DATE '2024-01-01' + (doc_id % 300)::INTEGER, '%Y-%m-%d') || ' 09:30:00' END AS "at",
         title || ', a; b' || chr(10) AS text FROM files""",
-    "fn33_tasks": f"""WITH {R.FILES} SELECT doc_id, trim(title) AS text, CASE datediff('day', DATE '2024-03-01', {_DAY}) WHEN 0 THEN 'Today' WHEN 1 THEN 'Tomorrow' WHEN -1 THEN 'Yesterday'
-        ELSE CASE WHEN {_DAY} < DATE '2024-03-01' THEN abs(datediff('day', DATE '2024-03-01', {_DAY}))::VARCHAR || ' days ago' ELSE 'in ' || datediff('day', DATE '2024-03-01', {_DAY})::VARCHAR || ' days' END END AS day FROM files""",
+    # Tags leave what follows the hash's word; later days are short dates, and events with a time show it.
+    "fn33_tasks": f"""WITH {R.FILES}, d AS (SELECT doc_id, title, {_DAY} AS day, datediff('day', DATE '2024-03-01', {_DAY}) AS n FROM files)
+        SELECT doc_id, trim(' ' || regexp_replace(title, '#[A-Za-z0-9_]+', '', 'g') || '  /a') AS text,
+               CASE WHEN n = 0 THEN 'Today' WHEN n = 1 THEN 'Tomorrow' WHEN n = -1 THEN 'Yesterday' WHEN n < 0 THEN (-n)::VARCHAR || ' days ago' ELSE strftime(day, '%b %-d') END || CASE WHEN doc_id % 2 = 0 THEN '' ELSE ' 02:05 PM' END AS day FROM d""",
     "flt12_tasks": f"WITH {R.FILES} SELECT doc_id, {_DAY}::VARCHAR AS day FROM files WHERE doc_id % 4 <> 0 AND (lang = 'en' OR source = 'src3') AND {_DAY} BETWEEN DATE '2024-02-27' AND DATE '2024-03-02'",
     "fn34_scores": "SELECT vec_id, pos, round(2 * x::DOUBLE - 1, 6) AS cosine, round(1 - x::DOUBLE, 6) AS similarity FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding)))::INTEGER AS pos FROM embeddings)",
     "fn35_graph": f"""WITH {R.BM25}, t AS ({R._top(R._files(R._lexical(), "max_p"), 10, "file_path", "query_id, file_path, score")})

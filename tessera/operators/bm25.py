@@ -23,6 +23,10 @@ ROWS_SENT = 1 << 18
 SHARE, LEAST_SHARE = 1 << 16, 1 << 11
 #: Queries that a task answers at once.
 QUERY_BLOCK = 4096
+#: Entries of a block, for which each list has its greatest impact.
+IMPACT_BLOCK = 16
+#: A floor is sought once the best entries so far have a share of what is left, and again when that has shrunk so far.
+WORTH, AGAIN = 2.0, 0.6
 #: Distinct tokens whose names go to the scan as a filter.
 PUSHED = 512
 
@@ -175,6 +179,8 @@ class _Share:
         self.row = np.repeat(np.arange(len(asked)), asked.value_lengths().to_numpy(zero_copy_only=False))
         coded = asked.flatten().field("query_id").dictionary_encode()
         self.queries, self.query, self.weight = coded.dictionary, coded.indices.to_numpy(), asked.flatten().field("w").to_numpy()
+        self.blocks: list[np.ndarray | None] = [None] * len(self.lists)
+        self.block = np.arange(self.size) // IMPACT_BLOCK
         self.scored = self.met = 0
 
     def answers(self, limit: int | None):
@@ -187,37 +193,71 @@ class _Share:
             if len(hit):
                 yield self.query[own[0]], hit, score
 
+    def _bounds(self, r: int) -> np.ndarray:
+        """The most that a list adds in each block of ``IMPACT_BLOCK`` entries."""
+        if self.blocks[r] is None:
+            idx, part = self.lists[r]
+            out = np.zeros(-(-self.size // IMPACT_BLOCK))
+            if len(idx):
+                block = idx // IMPACT_BLOCK
+                first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                out[block[first]] = np.maximum.reduceat(part, first)
+            self.blocks[r] = out
+        return self.blocks[r]
+
     def _best(self, rows: np.ndarray, weights: np.ndarray, limit: int | None, acc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms go by the most that each can add. When what is left can lift nothing over the ``limit``-th best sum so far, which is a proven floor, the rest
-        of the terms is added only to entries that may still reach the floor."""
+        """Terms go by the most that each can add.
+
+        From time to time the ``limit`` best entries so far are scored in full; the least of these scores is a proven floor. An entry that cannot reach it with all that
+        the terms to come add at most in its block is passed over from then on, met before or not.
+        """
         most = weights * self.most[rows]
         order = np.argsort(-most, kind="stable")
         left = np.append(np.cumsum(most[order][::-1])[::-1], 0.0)
         acc[:] = 0.0
+        if limit is None or self.size <= limit:
+            for r, w in zip(rows.tolist(), weights.tolist(), strict=True):
+                idx, part = self.lists[r]
+                acc[idx] += w * part
+                self.scored += len(idx)
+            hit = np.flatnonzero(acc > 0)
+            return hit, np.round(acc[hit], DIGITS)
         slack = 10.0**-DIGITS * 2  # scores that round alike are ties
-        may: np.ndarray | None = None
+        rest = sum(w * self._bounds(r) for r, w in zip(rows.tolist(), weights.tolist(), strict=True))
+        live, done, block = None, np.zeros(self.size, bool), self.block
+        tried = np.inf
         for k, j in enumerate(order.tolist()):
             idx, part = self.lists[rows[j]]
-            if may is None:
-                acc[idx] += weights[j] * part
-                self.scored += len(idx)
-            else:
-                at = np.minimum(np.searchsorted(idx, may), max(len(idx) - 1, 0))
-                here = idx[at] == may if len(idx) else np.zeros(len(may), bool)
-                acc[may[here]] += weights[j] * part[at[here]]
-                self.scored += int(here.sum())
-            if limit is None or left[k + 1] <= 0:
+            if live is not None:
+                here = live[idx]
+                idx, part = idx[here], part[here]
+            acc[idx] += weights[j] * part
+            self.scored += len(idx)
+            rest = rest - weights[j] * self._bounds(rows[j])
+            if left[k + 1] <= 0 or left[k + 1] > tried:
                 continue
-            held = acc if may is None else acc[may]
-            if len(held) <= limit or left[k + 1] >= held.max():
+            least = np.partition(acc, self.size - limit)[self.size - limit]
+            if least < left[k + 1] / WORTH:
                 continue
-            floor = np.partition(held, len(held) - limit)[len(held) - limit]
-            if floor > left[k + 1] + slack:
-                keep = np.flatnonzero(held + left[k + 1] >= floor - slack)
-                may = keep if may is None else may[keep]
-        hit = np.flatnonzero(acc > 0) if may is None else may[acc[may] > 0]
+            tried = left[k + 1] * AGAIN
+            best = np.argpartition(-acc, limit - 1)[:limit]
+            fresh = np.sort(best[~done[best]])
+            for i in order[k + 1 :].tolist():
+                idx, part = self.lists[rows[i]]
+                at = np.minimum(np.searchsorted(idx, fresh), max(len(idx) - 1, 0))
+                here = idx[at] == fresh if len(idx) else np.zeros(len(fresh), bool)
+                acc[fresh[here]] += weights[i] * part[at[here]]
+                self.scored += int(here.sum())
+            done[fresh] = True
+            floor = np.partition(acc[done], int(done.sum()) - limit)[int(done.sum()) - limit]
+            live = acc + rest[block] >= floor - slack
+            live &= ~done
+            if not live.any():
+                break
+        may = acc > 0 if live is None else (live | done) & (acc > 0)
+        hit = np.flatnonzero(may)
         score = np.round(acc[hit], DIGITS)
-        if limit is not None and len(hit) > limit:
+        if len(hit) > limit:
             best = np.lexsort((hit, -score))[:limit]
             hit, score = hit[best], score[best]
         return hit, score

@@ -163,6 +163,24 @@ def test_normalised_text_and_pages(spark):
     page = "<p>caf&eacute; &#8217; &amp;lt;</p><!-- &amp; --><br>x"
     got = spark.createDataFrame([(page,)], "t string").select(T.html_to_text(F.col("t")).alias("x")).first()["x"]
     assert got == html.unescape("caf&eacute; &#8217; &amp;lt;\nx")
+    one = lambda col, *row: spark.createDataFrame([row], "t string").select(col(F.col("t")).alias("x")).first()["x"]
+    assert one(T.html_to_text, "<div>a</div><p>b</p> \n \n<td>c</td><SCRIPT>x</SCRIPT>") == "a\nb \n\nc" and one(T.html_to_text, None) == ""
+    nested = "<html><head><title>T</title></head><body>a<b>b</b> &amp;lt; <nav>x<nav>y</nav>z</nav><aside><header>q</header>r</aside>\n c<!-- d --><script>'</nav>'</script></body></html>"
+    assert one(T.main_text, nested) == "ab &lt; c" and one(T.main_text, None) == "" and one(T.main_text, "plain &eacute;") == "plain é"
+    assert one(lambda t: T.truncate_chars(t, 0), "ab") == T.NO_ROOM and one(lambda t: T.truncate_chars(t, 10), "x" * 41) == T.NO_ROOM and one(lambda t: T.truncate_chars(t, 10), "x" * 40) == "x" * 40
+    room = 400 - len(T.CUT_NOTICE)
+    assert one(lambda t: T.truncate_chars(t, 100), "x" * (room - 5) + "\n" + "y" * 500) == "x" * (room - 5) + T.CUT_NOTICE
+    assert one(lambda t: T.truncate_chars(t, 100), "x\n" + "y" * 900) == "x\n" + "y" * (room - 2) + T.CUT_NOTICE
+    assert [one(lambda t: T.duration(t.cast("long")), str(ms)) for ms in (0, 59_990, 120_000, 123_000, 3_600_000, 3_720_000)] == ["0.00s", "59.99s", "2m", "2m 3s", "1h", "1h 2m"]
+    assert [one(lambda t: T.byte_size(t.cast("long")), str(b)) for b in (0, 100, 1024, 1536, 1234567, 20 << 20, 5 << 40)] == ["0 Bytes", "100 Bytes", "1 KB", "1.5 KB", "1.18 MB", "20 MB", "5120 GB"]
+    assert one(T.query_label, "  a \n\t b  ") == '"a b"' and one(T.query_label, "y" * 31) == '"' + "y" * 30 + '..."'
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        shown = lambda c: F.date_format(T.ical_time(c), "yyyy-MM-dd HH:mm")
+        assert [one(shown, t) for t in ("20240131T090000Z", "20240131T090000", "20240131")] == ["2024-01-31 18:00", "2024-01-31 09:00", "2024-01-31 00:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_text_functions(spark):
@@ -184,7 +202,7 @@ def test_chunker_invariants():
     assert all(text.startswith(c, at) for c, _, at in out)
     assert next(h for c, h, _ in out if "last" in c) == ["A", "D"]
     long = chunker.chunk("a" * 300, 5, 0, count=len)
-    assert "".join(c for c, _, _ in long) == "a" * 300 and all(len(c) <= 5 for c, _, _ in long)
+    assert "".join(c for c, _, _ in long).replace("\n", "") == "a" * 300 and all(len(c) <= 5 for c, _, _ in long)
     lines = "\n".join(f"line {i} has words" for i in range(40))
     plain = chunker.chunk(lines, 20, 0)
     assert sorted(x for c, _, _ in plain for x in c.split("\n")) == sorted(lines.split("\n"))
@@ -195,16 +213,59 @@ def test_chunker_invariants():
         chunker.chunk("a", 0, 0)
 
 
+def test_chunks_carry_whole_lines_within_the_overlap():
+    words = lambda t: len(t.split())
+    out = chunker.chunk("a b\nc d\ne f\ng h i j k l m n", 10, 4, words)
+    assert [c for c, _, _ in out] == ["a b\nc d\ne f", "e f\ng h i j k l m n"]
+    assert [c for c, _, _ in chunker.chunk("a b\nc d\ne f\ng h", 6, 2, words)] == ["a b\nc d", "c d\ne f", "e f\ng h"]
+    assert [c for c, _, _ in chunker.chunk("a b\n" + "x " * 19 + "x\nc d\ne f g h i j k", 25, 5, words)][1].startswith("c d\n")  # the long line is not skipped over
+    # Ten lines are counted as one text: line ends cost nothing there.
+    assert len(chunker.chunk("\n".join("a b" for _ in range(10)), 20, 0, words)) == 1
+    assert len(chunker.chunk("\n".join("a b" for _ in range(11)), 20, 0, words)) == 2
+
+
+def test_headings_are_those_at_the_end_of_a_chunk():
+    words = lambda t: len(t.split())
+    assert chunker.chunk("# H1\n## H2\n### H3\n#### H4\ncontent under H4", 50, 10, words)[0][1] == ["H1", "H2", "H3"]
+    text = "# H1\n## H2\n### H3\ncontent under H3\n## Another H2\ncontent under Another H2"
+    assert next(h for c, h, _ in chunker.chunk(text, 14, 5, words) if "under Another H2" in c) == ["H1", "Another H2"]
+    out = chunker.chunk("# Title\n## Subtitle\nparagraph one with some text here\n## Another Subtitle\nparagraph two with more text", 12, 0, words)
+    assert len(out) > 1 and all(h == ["Title", "Another Subtitle"] if "Another" in c else "Title" in h for c, h, _ in out)
+    assert out[0][1] == ["Title", "Subtitle"]
+
+
+@pytest.mark.parametrize("text, most, overlap", [("   Hello world", 50, 10), ("line one\nline two\nline three\nline four\nline five\nline six", 10, 0), ("alpha beta gamma\ndelta epsilon zeta\neta theta iota\nkappa lambda mu", 12, 5), ("First sentence here. Second sentence follows. Third sentence continues. Fourth sentence ends.", 5, 0), (f"before {'x' * 200} after", 10, 0), ("a \n  b. c d e f g.  h i j k l \n\n" * 5, 4, 0)])
+def test_chunks_tell_where_they_start(text, most, overlap):
+    out = chunker.chunk(text, most, overlap, lambda t: max(len(t.split()), len(t) // 20))
+    assert out and all(text.startswith(c.split("\n")[0], at) for c, _, at in out)
+
+
+def test_long_lines_are_cut_at_sentences_then_at_spaces():
+    words = lambda t: len(t.split())
+    assert chunker.split_line("one two. three four! five", 7, 2, words) == [("one two.", 7), ("three four!", 16), ("five", 28)]
+    assert chunker.split_line("a b c d e", 0, 2, words) == [("a b", 0), ("c d", 4), ("e", 8)]
+    assert "".join(t for t, _ in chunker.split_line("x" * 90, 0, 7, len)) == "x" * 90
+
+
+def test_character_windows():
+    text = "x" * 14_300
+    assert [len(w) for w in chunker.char_windows(text, "T")] == [7500, 7303, 303]
+    assert chunker.char_windows("short", "T") == ["T\n\nshort"]
+    broken = chunker.char_windows("s" * 7400 + ". " + "t" * 3000, "T")
+    assert broken[0].endswith(".") and len(broken[0]) == 7404 and broken[1].startswith("s" * 498 + ". ")
+
+
 def test_query_builders():
     text = "\n".join(f"l{i} w w" for i in range(9))
     assert chunker.centre_window(text, 4, 9) == "l3 w w\nl4 w w\nl5 w w"
     assert chunker.centre_window(text, 99, 3) == "l8 w w"
     assert chunker.selection(text, 1, 3, 6) == "l1 w w\nl2 w w"
     assert chunker.note_query("body", "Title", 0, 64) == "Title\n\nbody"
+    assert chunker.centre_window("one  two three\n\n\nlast", 0, 2) == "one two" and chunker.centre_window("a\n\nb c\n\nd", 2, 2) == "b c"
+    assert chunker.centre_window("a\n\nb c\nd", 2, 3) == "\nb c\nd" and chunker.leading_words(" a  b c", 2, chunker.count_words) == " a b"
+    assert chunker.selection("a b\n" + "w  " * 20, 0, 1, 14) == "a b\n" + " ".join("w" * 12) and chunker.selection(text, 3, 3, 2) == "l3 w"
     assert chunker.rerank_query("a b c d", 10, 44) == "a b " and chunker.rerank_query("a b", 10, 20) == "a b"
     assert len(chunker.fit("word " * 100, 10)) <= 100
-    windows = chunker.char_windows("s. " * 5000, "T")
-    assert all(w.startswith("T\n\n") and len(w) <= 7504 for w in windows)
 
 
 def test_preparation(spark):
@@ -229,20 +290,6 @@ def test_query_builders_for_selections():
     assert len(chunker.fit("w " * 400, 100)) <= 200 and chunker.fit("short text", 1) == "short text"
 
 
-def test_stored_index_scores_like_entries(spark, tmp_path):
-    from tessera.operators import bm25
-    from tessera.sources import corpus
-
-    rows = [(i, f"f/{i}.md", f"title {i % 3}", " ".join(["red", "green", "blue"][: i % 4]) or None) for i in range(40)]
-    entries = corpus.index_entries(spark.createDataFrame(rows, "doc_id long, file_path string, title string, content string"))
-    q = spark.createDataFrame([(1, "red blue"), (2, "title 2"), (3, "nothing known"), (4, "")], "query_id long, text string")
-    bm25.build(entries, str(tmp_path / "index"), spread=2)
-    found = lambda index: sorted(map(tuple, bm25.score(index, q).collect()))
-    assert found(bm25.read(spark, str(tmp_path / "index"))) == found(entries) != []
-    bm25.build(entries.limit(0), str(tmp_path / "empty"))
-    assert found(bm25.read(spark, str(tmp_path / "empty"))) == []
-
-
 def test_combined_rows_prefer_dense_then_content(spark):
     rows = lambda *r: spark.createDataFrame([(1, *x) for x in r], "query_id long, file_path string, score double, top_chunk string, chunk_count long")
     dense, lexical = rows(("a", 2.0, "a#1", 4)), rows(("a", 9.0, "a#7", 1), ("b", 5.0, "b#2", 2))
