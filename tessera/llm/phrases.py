@@ -29,11 +29,11 @@ SCALE, BEST = 2_000_000, 2000
 BITS = 1 << 26
 PROBES = 3
 #: Text bytes whose phrases are counted together, and rows of a batch that goes back.
-BLOCK_BYTES, ROWS_OUT = 2 << 20, 1 << 15
+BLOCK_BYTES, ROWS_OUT = 1 << 20, 1 << 14
 #: Partitions of packed counts for each one that the session uses: a task gets all of one in a few batches.
 SPREAD = 4
 #: Rows that a task gathers before it adds them up.
-MERGED = 1 << 18
+MERGED = 1 << 17
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PACKED = "bucket long, lang string, phrases string, counts binary"
@@ -213,6 +213,8 @@ def _merger(least: int):
                 none = pc.equal(phrase, "")
                 n = pc.if_else(none, 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
                 yield pa.RecordBatch.from_arrays([batch["lang"].cast(pa.string()), pc.if_else(none, pa.scalar(None, pa.string()), phrase), n, batch["count"]], ["lang", "phrase", "n", "count"])
+            del table, held
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -235,6 +237,7 @@ def _counter(proposed, frequent, longest: int, block_bytes: int, proposing: int
                     pa.default_memory_pool().release_unused()
         if held:
             yield from _block(held).rows(first, more, longest, proposing, buckets)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return run
 
