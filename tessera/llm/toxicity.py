@@ -86,14 +86,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     """(index, weight) of the model that ``labels`` teach; rows of the held-out fold are not used.
 
     At most ``sample`` labelled ids are drawn by hash (a broadcast of that bounded size); an id with
-    several labels counts as its highest, and of several documents with one id one is read.
+    several labels counts as its highest, and of several documents with one id the one whose text has the least hash is read.
     Labels other than 0 and 1, and null ids, are left out. Without labels there are no weights.
     """
     usable = labels.select(quoted(id_col)[0].alias("id"), quoted(label_col)[0].cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     taught = usable.where(F.crc32(F.col("id").cast("string")) % FOLDS != 0).groupBy("id").agg(F.max("label").alias("label")).withColumn("h", F.xxhash64("id"))
     drawn = stored(taught.orderBy("h", "id").limit(sample), "label-sample")
-    rows = docs.select(quoted(id_col)[0].alias("id"), quoted(text_col)[0].alias("text")).join(F.broadcast(drawn), "id").dropDuplicates(["id"])
-    return stored(rows.select("text", "label", "h").coalesce(1).mapInArrow(_fit, "index long, weight double"), "weights")
+    rows = docs.select(quoted(id_col)[0].alias("id"), quoted(text_col)[0].alias("text")).join(F.broadcast(drawn), "id")
+    rows = rows.groupBy("id", "label", "h").agg(F.min(F.struct(F.xxhash64("text").alias("order"), "text")).alias("one"))
+    return stored(rows.select("one.text", "label", "h").coalesce(1).mapInArrow(_fit, "index long, weight double"), "weights")
 
 
 def _scorer(index: list[int], weight: list[float]):

@@ -12,7 +12,7 @@ from .common import packed, quoted, without
 DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
 # Parts of a page that are not text, and tags that end a line.
-DROPPED = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</(script|style|noscript|template)\s*>"
+DROPPED = "(?is)<!--.*?-->|" + "|".join(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("script", "style", "noscript", "template"))
 BREAKS = r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h1|h2|h3|h4|h5|h6|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 TAG = r"<[^>]*>"
 BLANKS = r"[ \t\r\f\x0B]+"

@@ -472,3 +472,15 @@ def test_units_give_the_pieces_of_whole_texts(most):
     short = pieces.UnitIds(regex.compile(r"[a-z]+").findall, encode)
     numbers, counts = short.add(["ab 1 cd", "", "x  y"])
     assert len(short.ids(numbers)[0]) == 6 and counts.sum() == len(numbers)
+
+
+def test_a_script_ends_at_its_own_tag(spark):
+    page = '<p>a</p><script>var s="</style>"; alert(1)</script><p>b</p><style>x</script></style>c<noscript>d</noscript><template>e</template>'
+    assert spark.createDataFrame([(page,)], "t string").select(warc.plain_text(F.col("t"))).first()[0] == "a\nb\nc"
+
+
+def test_toxicity_learns_the_same_of_repeated_ids(spark):
+    rows = [(i, f"bad words {i}" if i % 2 else f"good words {i}") for i in range(40)] + [(i, f"other text {i} {k}") for i in range(40) for k in range(5)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic long")
+    weights = [sorted(map(tuple, toxicity.fit(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n), labels).collect())) for step, n in ((1, 1), (-1, 4))]
+    assert weights[0] == weights[1] != []
