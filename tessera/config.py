@@ -20,6 +20,7 @@ class SearchOptions:
     folder: str | None = None
     exclude_folder: str | None = None
     exclude_file: str | None = None
+    rerank_context: int = 512
 
     def __post_init__(self) -> None:
         for name, pair in (("title and content", (self.title_weight, self.content_weight)), ("embedding and bm25", (self.embedding_weight, self.bm25_weight))):

@@ -92,7 +92,14 @@ def _dense(limit: int = 100, where: str = "true") -> str:
 
 
 CONTENT = _rrf([(_files(_dense(), "weighted_top_l_sum"), 0.6), (_files(_lexical(), "max_p"), 0.4)])
-TITLE = _rrf([(_files(_dense(), "max_p"), 0.6), (_files("(SELECT * FROM scored WHERE is_title)", "max_p"), 0.4)])
+#: Shares of letters, as the stand-in for an embedder gives them, of a column ``text`` in lower case; null where there are none.
+LETTERS = "list_transform(range(97, 123), lambda c: (length(text) - length(replace(text, chr(c::INTEGER), '')))::DOUBLE / nullif(length(regexp_replace(text, '[^a-z]', '', 'g')), 0))"
+#: Titles against queries in the model that embeds titles.
+TITLES = f""",
+    titles AS (SELECT file_path || '#0' AS chunk_id, file_path, {LETTERS} AS v FROM (SELECT DISTINCT file_path, lower(title) AS text FROM chunks)),
+    asked AS (SELECT item_id AS query_id, {LETTERS} AS v FROM (SELECT item_id, lower(text) AS text FROM benchmark)),
+    title_cosines AS (SELECT query_id, chunk_id, file_path, round(list_cosine_similarity(asked.v, titles.v), 6) AS score FROM asked CROSS JOIN titles WHERE asked.v[1] IS NOT NULL AND titles.v[1] IS NOT NULL)"""
+TITLE = _rrf([(_files(_dense().replace("FROM cosines", "FROM title_cosines"), "max_p"), 0.6), (_files("(SELECT * FROM scored WHERE is_title)", "max_p"), 0.4)])
 RESULT = "query_id, file_path, score, rank"
 
 
@@ -115,6 +122,24 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.queries(spark, sf_dir).join(v, "query_id", "left")
 
 
+def _embedded(rows: DataFrame) -> DataFrame:
+    return models.embed(rows, "text").where("not broken")
+
+
+def _title_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as their model embeds them; a title leads to its note's first chunk. Broken vectors take no part."""
+    first = _entries(spark, sf_dir).chunks.where("chunk_index = 0").select("chunk_id", "file_path", F.lower("title").alias("text"))
+    return _embedded(first).select("chunk_id", "file_path", "embedding")
+
+
+def _asked_of_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embedded(corpus.queries(spark, sf_dir).withColumn("text", F.lower("text"))).select("query_id", "embedding")
+
+
+def _two_model_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queries(spark, sf_dir).join(_asked_of_titles(spark, sf_dir).withColumnRenamed("embedding", "title_embedding"), "query_id", "left")
+
+
 # ---- queries -------------------------------------------------------------------
 
 
@@ -192,13 +217,13 @@ def q5_hybrid_content(spark, sf_dir):
 
 
 def q6_hybrid_title(spark, sf_dir):
-    return search.title(_entries(spark, sf_dir), _vectors(spark, sf_dir), _queries(spark, sf_dir), SearchOptions())
+    return search.title(_entries(spark, sf_dir), _title_vectors(spark, sf_dir), _two_model_queries(spark, sf_dir), SearchOptions())
 
 
 def q7_hybrid_search(spark, sf_dir):
     o = SearchOptions(title_weight=0.25, content_weight=0.75)
-    v = _vectors(spark, sf_dir)
-    return search.search(_entries(spark, sf_dir), v, v, _queries(spark, sf_dir), o).select("query_id", "file_path", "score", "rank")
+    found = search.search(_entries(spark, sf_dir), _vectors(spark, sf_dir), _title_vectors(spark, sf_dir), _two_model_queries(spark, sf_dir), o)
+    return found.select("query_id", "file_path", "score", "rank")
 
 
 def q8_single_source(spark, sf_dir):
@@ -243,7 +268,8 @@ def q9_file_rerank(spark, sf_dir):
     entries, q = _entries(spark, sf_dir), _queries(spark, sf_dir)
     found = ranking.top_per_query(ranking.aggregate_files(search.lexical(entries, q, SearchOptions()), "max_p"), 10, "file_path")
     candidates = search.with_texts(entries, found.select("query_id", F.col("top_chunk").alias("chunk_id")), q.count() * 10)
-    scored = search.overlap_score(q.select("query_id", T.tokens(F.col("text")).alias("tokens")), candidates)
+    asked = search.fitted(q.select("query_id", T.tokens(F.col("text")).alias("tokens")), candidates, SearchOptions().rerank_context)
+    scored = search.overlap_score(asked, candidates)
     return ranking.top_per_query(ranking.min_max(scored), 10, "file_path").select("query_id", "file_path", "score", "rank")
 
 
@@ -263,21 +289,14 @@ def q13_vault_search(spark, sf_dir):
 def jon9_result_rows(spark, sf_dir):
     """Results with what a list of them shows: the content branch's best chunk (the dense one first), its number of chunks, title and size."""
     o = SearchOptions(title_weight=1.0, content_weight=3.0)
-    v, q = _vectors(spark, sf_dir), _queries(spark, sf_dir)
-    found = search.search(_entries(spark, sf_dir), v, v, q, o, base=search.BASE)
+    q = _two_model_queries(spark, sf_dir)
+    found = search.search(_entries(spark, sf_dir), _vectors(spark, sf_dir), _title_vectors(spark, sf_dir), q, o, base=search.BASE)
     return search.detailed(found.select(*RESULT.split(", "), *search.BASE), corpus.files(spark, sf_dir), q.count() * o.top_k)
 
 
-def _embedded(rows: DataFrame) -> DataFrame:
-    return models.embed(rows, "text").where("not broken")
-
-
 def q4_embedded_titles(spark, sf_dir):
-    """Titles and queries embedded in batches; a title leads to its note's first chunk and counts as one. Broken vectors take no part."""
-    first = _entries(spark, sf_dir).chunks.where("chunk_index = 0").select("chunk_id", "file_path", F.col("title").alias("text"))
-    titles = _embedded(first.withColumn("text", F.lower("text"))).select("chunk_id", "file_path", "embedding")
-    asked = _embedded(corpus.queries(spark, sf_dir).withColumn("text", F.lower("text"))).select("query_id", "embedding")
-    found = search.dense(titles, asked, SearchOptions())
+    """Titles and queries embedded in batches; a title counts as one chunk."""
+    found = search.dense(_title_vectors(spark, sf_dir), _asked_of_titles(spark, sf_dir), SearchOptions())
     return found.select("query_id", "chunk_id", "file_path", "score", "rank", F.lit(1).cast("long").alias("chunk_count"))
 
 
@@ -345,8 +364,6 @@ def _rag_sql(where: str = "true") -> str:
     return _top(_fill(_RERANK_TITLED, merged), 5, "chunk_id", "query_id, chunk_id, score, rank")
 
 
-#: Shares of letters, as the stand-in for an embedder gives them, of a column ``text`` in lower case; null where there are none.
-LETTERS = "list_transform(range(97, 123), lambda c: (length(text) - length(replace(text, chr(c::INTEGER), '')))::DOUBLE / nullif(length(regexp_replace(text, '[^a-z]', '', 'g')), 0))"
 _FILES100 = _files(_lexical(), "max_p")
 _MINMAX = "(SELECT * EXCLUDE (score), round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS score FROM {} WINDOW w AS (PARTITION BY query_id))"
 
@@ -370,20 +387,16 @@ ORACLES = {
     "q3_vector_outside_folder": f"WITH {FILES} {VECTORS} SELECT query_id, chunk_id, file_path, score, rank FROM {_dense(30, "NOT starts_with(file_path, 'src2/')")}",
     "q4_vector_title": f"WITH {FILES} {VECTORS} SELECT query_id, file_path, score, chunk_count FROM {_files(_dense(), 'max_p')}",
     "q5_hybrid_content": f"WITH {BM25} {VECTORS} SELECT query_id, file_path, score FROM {CONTENT}",
-    "q6_hybrid_title": f"WITH {BM25} {VECTORS} SELECT query_id, file_path, score FROM {TITLE}",
-    "q7_hybrid_search": f"""WITH {BM25} {VECTORS} {_top(f"(SELECT query_id, file_path, round(sum(part), 6) AS score FROM (SELECT query_id, file_path, score * 0.25::DOUBLE AS part FROM {TITLE} UNION ALL SELECT query_id, file_path, score * 0.75::DOUBLE FROM {CONTENT}) GROUP BY query_id, file_path)", 10, "file_path", RESULT)}""",
+    "q6_hybrid_title": f"WITH {BM25} {VECTORS} {TITLES} SELECT query_id, file_path, score FROM {TITLE}",
+    "q7_hybrid_search": f"""WITH {BM25} {VECTORS} {TITLES} {_top(f"(SELECT query_id, file_path, round(sum(part), 6) AS score FROM (SELECT query_id, file_path, score * 0.25::DOUBLE AS part FROM {TITLE} UNION ALL SELECT query_id, file_path, score * 0.75::DOUBLE FROM {CONTENT}) GROUP BY query_id, file_path)", 10, "file_path", RESULT)}""",
     "q8_single_source": f"WITH {BM25} {_top(_FILES100, 100, 'file_path', RESULT)}",
     "q9_file_rerank": f"WITH {BM25}, best AS (SELECT query_id, top_chunk AS chunk_id FROM ({_top(_FILES100, 10, 'file_path', 'query_id, top_chunk')})) {_top(_fill(_MINMAX, _fill(_RERANK, 'best')), 10, 'file_path', RESULT)}",
     "q10_search_and_rerank": f"WITH {BM25} {VECTORS} {_top(_fill(_MINMAX, _files(_fill(_RERANK_TITLED, _fill(_MERGED, _dense(60), _lexical(40))), 'max_p')), 10, 'file_path', RESULT)}",
     "q11_rag_chunks": f"WITH {BM25} {VECTORS} {_rag_sql()}",
     "q12_dense_documents": f"WITH {FILES} {VECTORS} {_top(_files(_dense(), 'max_p'), 5, 'file_path', RESULT)}",
     "q13_vault_search": f"WITH {BM25} {VECTORS} SELECT query_id, chunk_id, rank, '[[' || regexp_replace(e.file_path, '\\.md$', '') || ']]' || chr(10) || array_to_string(e.tokens, ' ') AS block FROM ({_rag_sql("NOT starts_with(file_path, 'src3/')")}) t JOIN entries e USING (chunk_id)",
-    "jon9_result_rows": f"""WITH {BM25} {VECTORS} SELECT {RESULT}, top_chunk, chunk_count, title, size FROM ({_top(f"(SELECT query_id, file_path, round(sum(part), 6) AS score, arg_min(top_chunk, o) AS top_chunk, arg_min(chunk_count, o) AS chunk_count FROM (SELECT query_id, file_path, score * 0.25::DOUBLE AS part, top_chunk, chunk_count, 1 AS o FROM {TITLE} UNION ALL SELECT query_id, file_path, score * 0.75::DOUBLE, top_chunk, chunk_count, 0 FROM {CONTENT}) GROUP BY query_id, file_path)", 10, "file_path", RESULT + ", top_chunk, chunk_count")}) JOIN files USING (file_path)""",
-    "q4_embedded_titles": f"""WITH {ENTRIES},
-        titles AS (SELECT file_path || '#0' AS chunk_id, file_path, {LETTERS} AS v FROM (SELECT DISTINCT file_path, lower(title) AS text FROM chunks)),
-        asked AS (SELECT item_id AS query_id, {LETTERS} AS v FROM (SELECT item_id, lower(text) AS text FROM benchmark)),
-        cosines AS (SELECT query_id, chunk_id, file_path, round(list_cosine_similarity(asked.v, titles.v), 6) AS score FROM asked CROSS JOIN titles WHERE asked.v[1] IS NOT NULL AND titles.v[1] IS NOT NULL)
-        SELECT query_id, chunk_id, file_path, score, rank, 1::BIGINT AS chunk_count FROM {_dense()}""",
+    "jon9_result_rows": f"""WITH {BM25} {VECTORS} {TITLES} SELECT {RESULT}, top_chunk, chunk_count, title, size FROM ({_top(f"(SELECT query_id, file_path, round(sum(part), 6) AS score, arg_min(top_chunk, o) AS top_chunk, arg_min(chunk_count, o) AS chunk_count FROM (SELECT query_id, file_path, score * 0.25::DOUBLE AS part, top_chunk, chunk_count, 1 AS o FROM {TITLE} UNION ALL SELECT query_id, file_path, score * 0.75::DOUBLE, top_chunk, chunk_count, 0 FROM {CONTENT}) GROUP BY query_id, file_path)", 10, "file_path", RESULT + ", top_chunk, chunk_count")}) JOIN files USING (file_path)""",
+    "q4_embedded_titles": f"WITH {ENTRIES} {TITLES} SELECT query_id, chunk_id, file_path, score, rank, 1::BIGINT AS chunk_count FROM {_dense().replace('FROM cosines', 'FROM title_cosines')}",
     "udf2_reranked_chunks": f"WITH {BM25} {VECTORS} SELECT query_id, chunk_id, score, rank::INTEGER AS rank FROM ({_rag_sql()})",
     "win2_weighted_rrf": f"WITH {BM25} {VECTORS} SELECT query_id, file_path, round(score, 6) AS score FROM {_rrf([(_files(_dense(), 'max_p'), 0.8), (_FILES100, 0.2)]).replace(f'/ {1 / 61!r}::DOUBLE', '')}",
     "win5_merge_first": f"""WITH {BM25} {VECTORS} SELECT query_id, chunk_id, score, source_order FROM (

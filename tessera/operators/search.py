@@ -46,7 +46,8 @@ def content(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFr
 def title(entries: bm25.Index | DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions, base: tuple[str, ...] = ()) -> DataFrame:
     lists = []
     if o.embedding_weight > 0:
-        lists.append((ranking.aggregate_files(dense(title_vectors, queries, o), "max_p"), o.embedding_weight))
+        asked = queries.withColumn("embedding", F.col("title_embedding")) if "title_embedding" in queries.columns else queries
+        lists.append((ranking.aggregate_files(dense(title_vectors, asked, o), "max_p"), o.embedding_weight))
     if o.bm25_weight > 0:
         lists.append((ranking.aggregate_files(lexical(entries, queries, o, titles=True), "max_p"), o.bm25_weight))
     return lists[0][0].select("query_id", "file_path", "score", *base) if len(lists) == 1 else ranking.reciprocal_ranks(lists, "file_path", base=base)
@@ -55,7 +56,8 @@ def title(entries: bm25.Index | DataFrame, title_vectors: DataFrame, queries: Da
 def search(entries: bm25.Index | DataFrame, vectors: DataFrame, title_vectors: DataFrame, queries: DataFrame, o: SearchOptions, base: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, file_path, score, rank): title and content branches combined by weight, the best ``o.top_k``; ``base`` columns (of ``BASE``) on request.
 
-    ``queries`` has (query_id, text, embedding); ``vectors`` and ``title_vectors`` (chunk_id, file_path, embedding).
+    ``queries`` has (query_id, text, embedding); ``vectors`` and ``title_vectors`` (chunk_id, file_path, embedding). Where titles have a model of their own,
+    ``queries`` also has title_embedding.
     """
     if o.title_weight > 0 and o.content_weight > 0:
         return ranking.combine(title(entries, title_vectors, queries, o, base), content(entries, vectors, queries, o, base), o.title_weight, o.content_weight, o.top_k, base)
@@ -97,6 +99,19 @@ def candidates(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: Dat
 
 
 def rerank_chunks(entries: bm25.Index | DataFrame, vectors: DataFrame, queries: DataFrame, o: SearchOptions, limit: int, scorer=overlap_score, up: bool = False) -> DataFrame:
-    """The candidates scored again by ``scorer`` on their titles and texts."""
+    """The candidates scored again by ``scorer`` on their titles and texts; queries are cut to what the model's context leaves beside these."""
     asked = queries.select("query_id", T.tokens(F.col("text")).alias("tokens"))
-    return scorer(asked, with_texts(entries, candidates(entries, vectors, queries, o, limit, up), queries.count() * (limit + 1), titles=True))
+    texts = with_texts(entries, candidates(entries, vectors, queries, o, limit, up), queries.count() * (limit + 1), titles=True)
+    return scorer(fitted(asked, texts, o.rerank_context), texts)
+
+
+#: Tokens of a reranker's context that belong to neither query nor document.
+MARGIN = 32
+
+
+def fitted(asked: DataFrame, texts: DataFrame, context: int) -> DataFrame:
+    """Queries (query_id, tokens) cut to the tokens that a context leaves beside the longest of their candidates (query_id, tokens); where none are left they stay whole."""
+    longest = texts.groupBy("query_id").agg(F.max(F.size("tokens")).alias("longest"))
+    room = F.lit(context - MARGIN) - F.coalesce("longest", F.lit(0))
+    cut = F.when(room > 0, F.slice("tokens", F.lit(1), F.greatest(room, F.lit(1)))).otherwise(F.col("tokens"))
+    return asked.join(longest, "query_id", "left").select("query_id", cut.alias("tokens"))
