@@ -16,9 +16,30 @@ WORD = r"[\p{L}\p{N}]+"
 REFUSALS = ["i don't know", "i do not know", "cannot answer", "unable to answer", "no information", "not enough information", "context doesn't contain", "context does not contain"]
 
 
+#: Scripts that are written without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+#: Runs of one of the scripts of Chinese and Japanese; a word does not go on from one to the next.
+_RUNS = r"([\p{IsHan}々〆]+|\p{IsHiragana}+|[\p{IsKatakana}ー]+)"
+_IDEOGRAPHS = r"^[\p{IsHan}々〆]{3,}$"
+_MARKED = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*"
+
+
+def segmented(text: Column) -> Column:
+    """Words of lower-cased text in which some scripts have no spaces.
+
+    Ideographs, hiragana and katakana are words by runs; a run of three ideographs and more, which may be several words, is every two neighbours, so that
+    a query for one of its words meets it. Runs of Thai, Lao, Khmer and Burmese go through Java's word breaks.
+    """
+    words = F.regexp_extract_all(F.regexp_replace(text, _RUNS, " $1 "), F.lit(_MARKED), F.lit(0))
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 1), lambda i: F.substring(w, i, F.lit(2)))
+    broken = lambda w: F.flatten(F.sentences(w, F.lit("th"), F.lit("TH")))
+    return F.flatten(F.transform(words, lambda w: F.when(w.rlike(_IDEOGRAPHS), pairs(w)).when(w.rlike(r"[\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"), broken(w)).otherwise(F.array(w))))
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters and digits; null gives no tokens."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """Lower-cased runs of letters and digits, and the words of scripts that have no spaces; null gives no tokens."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.when(low.rlike(UNSPACED), segmented(low)).otherwise(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
 
 
 def distinct_tokens(text: Column) -> Column:

@@ -147,6 +147,12 @@ def fn1_tokens(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("doc_id", T.token_count(F.col("content")).cast("long").alias("n"), F.array_join(F.slice(T.tokens(F.col("content")), 1, 8), " ").alias("head"))
 
 
+def fn1_mixed_scripts(spark, sf_dir):
+    """The words of every title with unspaced sentences before, inside and after it."""
+    marked = F.concat(F.lit("東京都に行きました"), F.col("title"), F.lit("カメラと我喜欢吃苹果 x"), F.col("lang"), F.lit("日本"))
+    return corpus.files(spark, sf_dir).select("doc_id", F.array_join(T.tokens(marked), "|").alias("words"))
+
+
 def fn2_distinct_tokens(spark, sf_dir):
     c = F.col("title")
     return corpus.files(spark, sf_dir).select("doc_id", F.size(T.distinct_tokens(F.col("content"))).cast("long").alias("n"), F.array_join(T.bigrams(c), "|").alias("pairs"))
@@ -332,7 +338,7 @@ _METHODS = ["max_p", "top_m_sum", "top_m_avg", "rrf_per_doc", "weighted_top_l_su
 QUERIES = {
     f.__name__: f
     for f in (
-        fn1_tokens, fn2_distinct_tokens, fn3_cosine, fn9_token_windows, agg8_postings, agg9_document_frequency, agg10_index_statistics,
+        fn1_tokens, fn1_mixed_scripts, fn2_distinct_tokens, fn3_cosine, fn9_token_windows, agg8_postings, agg9_document_frequency, agg10_index_statistics,
         q1_bm25_content, q1_bm25_in_folder, q2_bm25_title, q3_vector_content, q3_vector_outside_folder, q4_vector_title, q5_hybrid_content,
         q6_hybrid_title, q7_hybrid_search, q8_single_source, q9_file_rerank, q10_search_and_rerank, q11_rag_chunks, q12_dense_documents,
         q13_vault_search, jon9_result_rows, q4_embedded_titles, udf2_reranked_chunks, win2_weighted_rrf, win5_merge_first, agg30_min_max, snk8_trec_lines,
@@ -369,6 +375,9 @@ _MINMAX = "(SELECT * EXCLUDE (score), round(CASE WHEN max(score) OVER w = min(sc
 
 ORACLES = {
     "fn1_tokens": f"SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), {WORDS}))::BIGINT AS n, array_to_string(list_slice(regexp_extract_all(lower(coalesce(text, '')), {WORDS}), 1, 8), ' ') AS head FROM documents",
+    "fn1_mixed_scripts": rf"""WITH {FILES}, w AS (
+            SELECT doc_id, regexp_extract_all(regexp_replace(lower('東京都に行きました' || title || 'カメラと我喜欢吃苹果 x' || lang || '日本'), '([\p{{Han}}々〆]+|\p{{Hiragana}}+|[\p{{Katakana}}ー]+)', ' \1 ', 'g'), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*') AS ws FROM files)
+        SELECT doc_id, array_to_string(flatten(list_transform(ws, lambda w: CASE WHEN regexp_matches(w, '^[\p{{Han}}々〆]{{3,}}$') THEN list_transform(range(1, length(w)), lambda i: substr(w, i, 2)) ELSE [w] END)), '|') AS words FROM w""",
     "fn2_distinct_tokens": rf"""WITH {FILES},
         f AS (SELECT doc_id, content, regexp_replace(lower(title), '\s+', '', 'g') AS flat FROM files)
         SELECT doc_id, len(list_distinct(regexp_extract_all(lower(coalesce(content, '')), '\S+')))::BIGINT AS n,

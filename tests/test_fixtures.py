@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.config import SearchOptions
 from tessera.functions import chunker
 from tessera.functions import text as T
-from tessera.operators import bm25, evaluate, filters, models, prepare, ranking, sequences, sync, vector
+from tessera.operators import bm25, evaluate, filters, models, prepare, ranking, search, sequences, sync, vector
 from tessera.sources import corpus
 from tessera.streaming.changes import fold
 
@@ -194,6 +194,23 @@ def test_text_functions(spark):
     assert [w["idx"] for w in windows] == [0, 1, 2] and windows[2]["tokens"] == ["g", "h", "i", "j"]
 
 
+def test_words_of_scripts_without_spaces(spark):
+    rows = [(1, "a/1.md", "t", "東京都に行きました"), (2, "a/2.md", "t", "我喜欢吃苹果。Das ist gut"), (3, "a/3.md", "t", "ภาษาไทยง่าย"), (4, "a/4.md", "t", "plain words"), (5, "a/5.md", "t", None)]
+    notes = spark.createDataFrame(rows, "doc_id long, file_path string, title string, content string")
+    words = {r["doc_id"]: r["w"] for r in notes.select("doc_id", T.tokens(F.col("content")).alias("w")).collect()}
+    assert words[1] == ["東京", "京都", "に", "行", "きました"] and words[2] == ["我喜", "喜欢", "欢吃", "吃苹", "苹果", "das", "ist", "gut"]
+    assert "".join(words[3]) == "ภาษาไทยง่าย" and len(words[3]) > 1 and words[4] == ["plain", "words"] and words[5] == []
+    asked = spark.createDataFrame([(1, "東京"), (2, "苹果"), (3, "行")], "query_id long, text string")
+    found = bm25.score(corpus.index_entries(notes), asked, titles=False).select("query_id", "file_path").collect()
+    assert sorted(map(tuple, found)) == [(1, "a/1.md"), (2, "a/2.md"), (3, "a/1.md")]
+
+
+def test_a_query_is_cut_to_what_the_reranker_can_hold(spark):
+    asked = spark.createDataFrame([(1, list("abcdef")), (2, list("abc")), (3, list("ab"))], "query_id long, tokens array<string>")
+    texts = spark.createDataFrame([(1, list("x" * 5)), (1, list("y" * 8)), (2, list("z" * 60))], "query_id long, tokens array<string>")
+    assert {r["query_id"]: "".join(r["tokens"]) for r in search.fitted(asked, texts, 44).collect()} == {1: "abcd", 2: "abc", 3: "ab"}
+
+
 def test_chunker_invariants():
     assert chunker.chunk("", 5, 0) == chunker.chunk(" \n\t\n", 5, 0) == []
     assert chunker.chunk("   text", 5, 0) == [("text", [], 3)]
