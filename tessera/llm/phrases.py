@@ -212,7 +212,7 @@ def _merger(least: int):
                 phrase = batch["phrase"].cast(pa.string())
                 none = pc.equal(phrase, "")
                 n = pc.if_else(none, 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
-                yield pa.RecordBatch.from_arrays([batch["lang"].cast(pa.string()), pc.if_else(none, pa.scalar(None, pa.string()), phrase), n, batch["count"]], ["lang", "phrase", "n", "count"])
+                yield pa.RecordBatch.from_arrays([batch["lang"].cast(pa.string()), phrase, n, batch["count"]], ["lang", "phrase", "n", "count"])
             del table, held
         pa.default_memory_pool().release_unused()
 
@@ -301,7 +301,7 @@ def count_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     def counts(of: DataFrame, proposed, frequent, proposing=None) -> DataFrame:
         """What a pass counts ``support`` times, or as often as is proposed; phrases travel packed, as there are about as many as words."""
         packed = of.mapInArrow(_counter(proposed, frequent, longest, block_bytes, proposing, buckets), _PACKED)
-        return packed.repartition(buckets, "bucket").drop("bucket").mapInArrow(_merger(proposing or support), _ROWS)
+        return packed.repartition(buckets, "bucket").drop("bucket").mapInArrow(_merger(proposing or support), _ROWS).withColumn("phrase", F.nullif("phrase", F.lit("")))
 
     real = F.col("phrase").isNotNull()
     proposed = sc.broadcast(_bits(counts(picked, None, None, proposed_at).where(real)))
