@@ -144,6 +144,11 @@ def stm1_streamed_changes(spark, sf_dir):
     return changes.replayed(spark, f"{sf_dir}/events.parquet")
 
 
+def stm3_debounced_changes(spark, sf_dir):
+    """Bursts of each user's changes, each given out once after an hour without one."""
+    return changes.replayed_bursts(spark, f"{sf_dir}/events.parquet")
+
+
 def stm9_windowed_events(spark, sf_dir):
     return changes.windowed(spark, f"{sf_dir}/events.parquet")
 
@@ -153,7 +158,7 @@ QUERIES = {
     for f in (
         fn5_line_chunks, fn10_char_windows, fn11_note_queries, fn15_word_truncate, fn19_frontmatter, fn20_tidy, fn20_nfkc, fn24_controls, fn25_transcript, fn26_context,
         fn27_char_budget, fn28_grade, fn29_chunk_ids, fn30_names, fn31_labels, fn32_calendar, fn33_tasks, flt12_tasks, fn34_scores, fn35_graph, q14_related_notes,
-        stm1_streamed_changes, stm9_windowed_events,
+        stm1_streamed_changes, stm3_debounced_changes, stm9_windowed_events,
     )
 }
 
@@ -219,6 +224,17 @@ ORACLES = {
     "fn34_scores": "SELECT vec_id, pos, round(2 * x::DOUBLE - 1, 6) AS cosine, round(1 - x::DOUBLE, 6) AS similarity FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding)))::INTEGER AS pos FROM embeddings)",
     "fn35_graph": f"""WITH {R.BM25}, t AS ({R._top(R._files(R._lexical(), "max_p"), 10, "file_path", "query_id, file_path, score")})
         SELECT query_id AS source, t.file_path AS target, round(12 * (0.5::DOUBLE + 0.5::DOUBLE * size / max(size) OVER (PARTITION BY query_id)), 6) AS node_size, score AS strength FROM t JOIN files USING (file_path)""",
+    "stm3_debounced_changes": """WITH RECURSIVE e AS (
+            SELECT user_id AS key, ts, event_id AS seq, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'rename' ELSE 'modify' END AS op,
+                   coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 1 HOUR, false)::INTEGER AS fresh FROM events),
+        b AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY ts, seq) AS burst FROM e),
+        c AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY key, burst) AS n, max(ts) OVER (PARTITION BY key, burst) AS last FROM b WINDOW w AS (PARTITION BY key, burst ORDER BY ts, seq)),
+        fold AS (
+            SELECT key, burst, op AS held, i, n, last FROM c WHERE i = 1
+            UNION ALL
+            SELECT f.key, f.burst, CASE WHEN held = '' THEN c.op WHEN held = 'create' AND c.op = 'delete' THEN '' WHEN held = 'modify' AND c.op = 'delete' THEN 'delete' ELSE held END, c.i, c.n, c.last
+            FROM fold f JOIN c ON c.key = f.key AND c.burst = f.burst AND c.i = f.i + 1)
+        SELECT key, date_trunc('millisecond', last) + INTERVAL 1 HOUR AS fired, n, held AS op FROM fold WHERE i = n AND date_trunc('millisecond', last) + INTERVAL 1 HOUR <= date_trunc('millisecond', (SELECT max(ts) FROM events))""",
     "stm9_windowed_events": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
 }
 from tessera.jobs.maintenance import ORACLES as _MAINTENANCE  # noqa: E402

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.sources import store
 
@@ -26,10 +27,10 @@ def fold(held: str, op: str) -> str:
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held, seen = state.get if state.exists else ("", 0)
-    rows = pd.concat(frames).sort_values(["ts", "seq"])
-    for op in rows["op"]:
-        held = fold(held, op) if seen else op
-        seen += 1
+    for rows in frames:  # one at a time: a key may have any share of a micro-batch
+        for op in rows.sort_values(["ts", "seq"])["op"]:
+            held = fold(held, op) if seen else op
+            seen += 1
     state.update((held, seen))
     yield pd.DataFrame({"key": [key[0]], "seen": [seen], "op": [held]})
 
@@ -39,6 +40,63 @@ def coalesce_stream(changes: DataFrame) -> DataFrame:
     return changes.groupBy("key").applyInPandasWithState(_step, "key long, seen long, op string", "op string, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
+class Debounce(StatefulProcessor):
+    """Holds a key's changes until none has come for ``quiet`` milliseconds of event time; then what they come to is given out once."""
+
+    def __init__(self, quiet: int) -> None:
+        self.quiet = quiet
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "op string, n long, last long")
+
+    def _out(self, key: tuple, op: str, n: int, last: int) -> dict:
+        return {"key": key[0], "fired": pd.Timestamp(last + self.quiet, unit="ms", tz="UTC"), "n": n, "op": op}
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        op, n, last = self.held.get() if self.held.exists() else ("", 0, None)
+        before, out = last, []
+        for frame in rows:
+            for ts, one in frame.sort_values(["ts", "seq"])[["ts", "op"]].itertuples(index=False):
+                at = int(ts.timestamp() * 1000)
+                if last is not None and at - last >= self.quiet:
+                    out.append(self._out(key, op, n, last))
+                    op, n = "", 0
+                op, n, last = fold(op, one), n + 1, at if last is None else max(last, at)
+        self.held.update((op, n, last))
+        if before is not None and before != last:
+            self.handle.deleteTimer(before + self.quiet)
+        if before != last:
+            self.handle.registerTimer(last + self.quiet)
+        if out:
+            yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.held.exists():
+            op, n, last = self.held.get()
+            if last + self.quiet <= expiredTimerInfo.getExpiryTimeInMs():
+                self.held.clear()
+                yield pd.DataFrame([self._out(key, op, n, last)])
+
+    def close(self) -> None:
+        pass
+
+
+#: What keeps the state of ``debounced``: on disk, a file of changes for each micro-batch.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def debounced(changes: DataFrame, quiet: int, late: str = "0 seconds") -> DataFrame:
+    """(key, fired, n, op) of a stream (key, ts, seq, op): a burst of changes gives one row when nothing has followed it for ``quiet`` milliseconds.
+
+    Time is that of the events, ``late`` their greatest delay. Timers and the few words held per key are part of the stream's state, so a
+    restarted stream neither forgets a burst nor gives one out twice. The session must use ``ROCKS``.
+    """
+    timed = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    key = changes.schema["key"].dataType.simpleString()
+    return timed.groupBy("key").transformWithStateInPandas(Debounce(quiet), f"key {key}, fired timestamp, n long, op string", "append", "EventTime")
+
+
 def _events(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
@@ -66,6 +124,28 @@ def replayed(spark: SparkSession, path: str) -> DataFrame:
     return last.where("op <> ''")
 
 
+#: Milliseconds without a change that end a burst of the replayed events.
+QUIET = 3_600_000
+
+
+def replayed_bursts(spark: SparkSession, path: str) -> DataFrame:
+    """The bursts of the event table's changes that have ended when the stream has read all of it."""
+    out = store.scratch(spark, "bursts")
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
+
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        changes = _events(spark, path).select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), _kind().alias("op"))
+        query = debounced(changes, QUIET).writeStream.outputMode("append").option("checkpointLocation", store.scratch(spark, "state")).trigger(availableNow=True).foreachBatch(sink).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
+    return spark.read.schema("key long, fired timestamp, n long, op string").parquet(out).select("key", F.col("fired").cast("timestamp_ntz").alias("fired"), "n", "op")
+
+
 def windowed(spark: SparkSession, path: str) -> DataFrame:
     """Events per hour and kind by event time; rows more than a day late are left out, windows come when they close or at the end.
 
