@@ -182,11 +182,15 @@ def _packed(bucket: np.ndarray, lang: np.ndarray, flat: np.ndarray, ends: np.nda
 def _merger(least: int):
     """Sums of packed counts, of which those of ``least`` and more are given out; what a task holds are the distinct phrases of its buckets."""
 
-    def merged(held: list[pa.Table]) -> pa.Table:
-        return pa.concat_tables(held).combine_chunks().group_by(["lang", "phrase"]).aggregate([("count", "sum")]).rename_columns(["lang", "phrase", "count"])
+    def merged(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        coded = pa.concat_arrays([phrases for phrases, _ in held]).dictionary_encode()
+        total = np.zeros(len(coded.dictionary), np.int64)
+        np.add.at(total, coded.indices.to_numpy(), np.concatenate([count for _, count in held]))
+        return coded.dictionary, total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, room = [], 0, MERGED
+        held: dict[str, list] = {}
+        size, room = 0, MERGED
         for batch in batches:
             each = pc.binary_length(batch["counts"]).to_numpy().astype(np.int64) // 8
             _, offsets, data = batch["counts"].buffers()
@@ -197,23 +201,26 @@ def _merger(least: int):
             real = np.ones(len(split), bool)
             real[np.cumsum(each + 1) - 1] = False
             own = batch["lang"].dictionary_encode()
-            lang = own.dictionary.take(pa.array(np.repeat(own.indices.to_numpy(), each)))
-            held.append(pa.table({"lang": lang, "phrase": split.filter(pa.array(real)), "count": pa.array(count)}))
+            lang = np.repeat(own.indices.to_numpy(), each + 1)
+            for k, name in enumerate(own.dictionary.to_pylist()):
+                mine = (lang == k) & real
+                held.setdefault(name, []).append((split.filter(pa.array(mine)), count[mine[real]]))
             size += len(count)
             if size > room:
-                held = [merged(held)]
-                size = held[0].num_rows
+                held = {name: [merged(parts)] for name, parts in held.items()}
+                size = sum(len(parts[0][1]) for parts in held.values())
                 room = MERGED + 2 * size
                 pa.default_memory_pool().release_unused()
-        if held:
-            table = merged(held)
-            table = table.filter(pc.or_(pc.greater_equal(table["count"], least), pc.equal(table["phrase"], "")))
-            for batch in table.to_batches(max_chunksize=ROWS_OUT):
-                phrase = batch["phrase"].cast(pa.string())
-                none = pc.equal(phrase, "")
-                n = pc.if_else(none, 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
-                yield pa.RecordBatch.from_arrays([batch["lang"].cast(pa.string()), phrase, n, batch["count"]], ["lang", "phrase", "n", "count"])
-            del table, held
+        for name in list(held):
+            phrases, total = merged(held.pop(name))
+            phrases = phrases.cast(pa.string())
+            none = pc.equal(phrases, "").to_numpy(zero_copy_only=False)
+            kept = np.flatnonzero((total >= least) | none)
+            n = np.where(none, 0, pc.count_substring(phrases, " ").to_numpy() + 1).astype(np.int32)
+            for i in range(0, len(kept), ROWS_OUT):
+                at = kept[i : i + ROWS_OUT]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), phrases.take(pa.array(at)), pa.array(n[at]), pa.array(total[at])], ["lang", "phrase", "n", "count"])
+            del phrases
         pa.default_memory_pool().release_unused()
 
     return run
