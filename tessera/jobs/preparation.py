@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.jobs import retrieval as R
-from tessera.operators import prepare, sequences
+from tessera.operators import prepare, scan, sequences
 from tessera.sources import corpus
 
 
@@ -108,11 +107,13 @@ def jon12_turn_at_time(spark, sf_dir):
     return sequences.as_of(buys, signups, "user_id", "ts", "start", "signup", else_first=True)
 
 
+def _lines(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("no", "line"))
+
+
 def win8_offsets(spark, sf_dir):
-    """Where each line of a document starts."""
-    d = corpus.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    w = Window.partitionBy("doc_id").orderBy("no")
-    return d.select("doc_id", "no", sequences.running_offset(F.char_length("line").cast("long"), w).alias("start"))
+    """Where each line of a document starts; a null text is one empty line."""
+    return sequences.offsets(_lines(spark, sf_dir), "doc_id", ["no"], F.char_length("line"), "start").select("doc_id", "no", "start")
 
 
 def win9_history(spark, sf_dir):
@@ -129,12 +130,9 @@ def win10_context_budget(spark, sf_dir):
 
 def win11_heading_scope(spark, sf_dir):
     """The headings that each line stands under; a line of one to five words counts as one, of level words % 3 + 1."""
-    d = corpus.table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("no", "line"))
     n = F.size(F.regexp_extract_all("line", F.lit(r"\S+"), F.lit(0)))
-    d = d.withColumn("level", F.when(n.between(1, 5), n % 3 + 1))
-    w = Window.partitionBy("doc_id").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    at = {k: F.max(F.when(F.col("level") == k, F.col("no"))).over(w) for k in (1, 2, 3)}
-    d = d.select("doc_id", "no", *[v.alias(f"n{k}") for k, v in at.items()])
+    leveled = _lines(spark, sf_dir).select("doc_id", "no", F.when(n.between(1, 5), n % 3 + 1).alias("level"))
+    d = scan.running(leveled, ["doc_id"], ["no"], {f"n{k}": ("max", F.when(F.col("level") == k, F.col("no"))) for k in (1, 2, 3)})
     h2 = F.when(F.col("n2") > F.coalesce("n1", F.lit(-1)), F.col("n2"))
     h3 = F.when(F.col("n3") > F.greatest(F.coalesce("n1", F.lit(-1)), F.coalesce("n2", F.lit(-1))), F.col("n3"))
     return d.select("doc_id", "no", F.col("n1").alias("h1"), h2.alias("h2"), h3.alias("h3"))
@@ -183,7 +181,7 @@ _MAIN = rf"regexp_replace(trim({_decoded(f"regexp_replace({_MAIN}, '<[^>]*>', ''
 _HTML = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
 _HTML = _decoded(rf"regexp_replace(regexp_replace({_HTML}, '(?i)<(p|div|br|h[1-6]|li|tr)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g')")
 _HTML = rf"trim(regexp_replace(regexp_replace({_HTML}, '[ \t]+', ' ', 'g'), '\n\s*\n', chr(10) || chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))"
-_LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS no FROM documents WHERE text IS NOT NULL)"
+_LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS no FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))"
 _NOTE = f"WITH {R.CHUNKS} SELECT file_path, md5(string_agg(array_to_string(tokens, ' '), chr(10) || chr(10) ORDER BY chunk_index)) AS text_md5 FROM chunks"
 
 ORACLES = {

@@ -62,8 +62,8 @@ def fn25_transcript(spark, sf_dir):
     part = lambda i: F.regexp_extract("line", r"^\[(\d+):(\d+):(\d+\.\d+) --> (\d+):(\d+):(\d+\.\d+)\]\s*(?s)(.*)$", i)
     at = lambda i: part(i).cast("int") * 3600 + part(i + 1).cast("int") * 60 + part(i + 2).cast("double")
     said = lines.select("conv_id", "turn", F.round(at(1), 3).alias("start"), F.round(at(4), 3).alias("end"), F.trim(part(7)).alias("text")).where("text <> ''")
-    offset = sequences.running_offset(F.char_length("text").cast("long"), Window.partitionBy("conv_id").orderBy("turn"))
-    return said.select("conv_id", "turn", "start", "end", F.md5("text").alias("text_md5"), offset.alias("offset"))
+    placed = sequences.offsets(said, "conv_id", ["turn"], F.char_length("text"), "offset")
+    return placed.select("conv_id", "turn", "start", "end", F.md5("text").alias("text_md5"), "offset")
 
 
 def fn26_context(spark, sf_dir):
