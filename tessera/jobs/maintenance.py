@@ -8,6 +8,7 @@ from tessera.jobs import retrieval as R
 from tessera.operators import prepare, sync
 from tessera.operators.segments import Store
 from tessera.sources import corpus, store
+from tessera.sources.runs import RunLog
 from tessera.sources.scratch import scratch
 
 # What the kinds of events stand for.
@@ -114,11 +115,20 @@ def jon14_resume(spark, sf_dir):
     return q.join(q.where("query_id % 3 = 0").select("query_id"), "query_id", "left_anti")
 
 
+def snk9_resumed_run(spark, sf_dir):
+    """Answers of a run that was stopped after a third of its queries, started again over half of them, and again over all: one of each."""
+    q = corpus.queries(spark, sf_dir).select("query_id", F.char_length("text").cast("long").alias("answer"))
+    log = RunLog(spark, scratch(spark, "run"), "query_id long, answer long", "query_id")
+    for done in (F.col("query_id") % 3 == 0, F.col("query_id") % 2 == 0, F.lit(True)):
+        log.append(log.pending(q.where(done)))
+    return log.read()
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         jon10_sync_diff, agg16_sync_counts, stm2_coalesced_changes, stm4_latest_request, stm5_renames, snk1_upserted_chunks, snk2_upserted_vectors,
-        snk3_incremental_postings, snk4_deleted_postings, flt10_failed_vectors, agg12_index_stats, agg13_corpus_stats, agg15_first_chunk, jon14_resume,
+        snk3_incremental_postings, snk4_deleted_postings, flt10_failed_vectors, agg12_index_stats, agg13_corpus_stats, agg15_first_chunk, jon14_resume, snk9_resumed_run,
     )
 }
 
@@ -158,5 +168,6 @@ ORACLES = {
     "agg12_index_stats": f"WITH {R.CHUNKS} SELECT count(*) AS chunks, count(DISTINCT file_path) AS files FROM chunks",
     "agg13_corpus_stats": "SELECT count(*) AS n, sum(n_chars)::BIGINT AS sum_chars, floor(avg(n_chars) + 0.5)::BIGINT AS avg_chars, sum(strlen(text))::BIGINT AS sum_bytes, floor(avg(strlen(text)) + 0.5)::BIGINT AS avg_bytes FROM documents",
     "agg15_first_chunk": f"WITH {R.CHUNKS} SELECT file_path, array_to_string(arg_min(tokens, chunk_index), ' ') AS content, count(*) AS chunks FROM chunks GROUP BY file_path",
+    "snk9_resumed_run": "SELECT item_id AS query_id, length(text) AS answer FROM benchmark",
     "jon14_resume": "SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 3 <> 0",
 }
