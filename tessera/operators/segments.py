@@ -21,8 +21,8 @@ from tessera.sources.files import Folder
 
 #: So many segments of one tier are merged; a tier's segments are up to so many times as large as those of the tier below.
 FAN = 4
-#: Postings of a file of lists, roughly, and rows of its pages, which are read or passed over by their tokens.
-FILE_POSTINGS, PAGE_ROWS = 1 << 20, 64
+#: Postings of a file of lists, roughly; files are read or passed over by their tokens.
+FILE_POSTINGS = 1 << 18
 CHUNKS = "seq long, is_title boolean, share int, idx int, chunk_id string, file_path string, title string, chunk_index int, tokens array<string>, dl int"
 VECTORS = "chunk_id string, file_path string, is_title boolean, embedding array<double>"
 TERMS = "token string, df long, cf long"
@@ -184,7 +184,7 @@ class Store:
         own.where("df <> 0").sortWithinPartitions("token").write.parquet(f"{path}/terms")
         postings = lists.agg(F.coalesce(F.sum(F.size("idx").cast("long")), F.lit(0))).first()[0]
         cut = lists.repartitionByRange(-(-max(1, postings) // FILE_POSTINGS), "token", "share").sortWithinPartitions("token", "share")
-        cut.write.option("parquet.page.row.count.limit", PAGE_ROWS).option("parquet.page.size", 1 << 16).option("parquet.block.size", 16 << 20).parquet(f"{path}/lists")
+        cut.write.parquet(f"{path}/lists")
         stored = self.spark.read.schema(bm25.LISTS).parquet(f"{path}/lists")
         stored.groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file")).agg(F.min("token").alias("low"), F.max("token").alias("high")).coalesce(1).write.parquet(f"{path}/fences")
         folder = Folder(self.spark, path)
