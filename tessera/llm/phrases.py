@@ -30,8 +30,8 @@ BITS = 1 << 26
 PROBES = 3
 #: Text bytes whose phrases are counted together, and rows of a batch that goes back.
 BLOCK_BYTES, ROWS_OUT = 1 << 20, 1 << 14
-#: Partitions of packed counts for each one that the session uses: a task gets all of one in a few batches.
-SPREAD = 4
+#: Partitions of packed counts, or as many as the session uses if these are more.
+BUCKETS = 256
 #: Rows that a task gathers before it adds them up.
 MERGED = 1 << 17
 
@@ -157,17 +157,19 @@ class Block:
         if frequent is None and len(self.langs):
             total = np.bincount(self.lang, self.count, len(self.langs)).astype(np.int64)
             yield _packed(np.zeros(len(total), np.int64), np.arange(len(total)), np.full(len(total), 10, np.uint8), np.arange(len(total) + 1), total, self.langs)
-        for n, lang, first, count, key in self.count_all(proposed, frequent, longest, proposing):
-            bucket = (key % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((lang, bucket))
-            for i in range(0, len(order), MERGED):
-                own = order[i : i + MERGED]
-                starts = self.at[first[own]]
-                lens = self.at[first[own] + n] - starts
-                ends = spans(lens)
-                flat = gather(self.bytes, starts, lens)
-                flat[ends[1:] - 1] = 10  # for the space behind the last word
-                yield _packed(bucket[own], lang[own], flat, ends, count[own].astype(np.int64), self.langs)
+        found = [(key, lang, self.at[first], self.at[first + n], count) for n, lang, first, count, key in self.count_all(proposed, frequent, longest, proposing)]
+        if not found:
+            return
+        key, lang, starts, stops, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((lang, bucket))
+        for i in range(0, len(order), MERGED):
+            own = order[i : i + MERGED]
+            lens = stops[own] - starts[own]
+            ends = spans(lens)
+            flat = gather(self.bytes, starts[own], lens)
+            flat[ends[1:] - 1] = 10  # for the space behind the last word
+            yield _packed(bucket[own], lang[own], flat, ends, count[own].astype(np.int64), self.langs)
 
 
 def _packed(bucket: np.ndarray, lang: np.ndarray, flat: np.ndarray, ends: np.ndarray, count: np.ndarray, langs: list[str]) -> pa.RecordBatch:
@@ -303,7 +305,7 @@ def count_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGES
     picked = docs.where(F.pmod(F.xxhash64("lang", "text"), F.lit(RATE)) == 0 if sample is None else F.col("in_sample__")).select("lang", "text")
     docs = docs.select("lang", "text")
 
-    buckets = SPREAD * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def counts(of: DataFrame, proposed, frequent, proposing=None) -> DataFrame:
         """What a pass counts ``support`` times, or as often as is proposed; phrases travel packed, as there are about as many as words."""
