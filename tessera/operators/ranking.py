@@ -13,6 +13,17 @@ DIGITS = 6
 FILE_DIGITS = {"weighted_top_l_sum": 11}
 
 
+def rounded(x: Column, digits: int = DIGITS) -> Column:
+    """``x`` to so many digits as SQL engines round doubles: scaled, then halves away from zero.
+
+    Spark's own round goes by a double's shortest decimal form, in which the sum of 0.25 * a and 0.75 * b can stand just below the half that it is.
+    """
+    scale = 10.0**digits
+    size = F.abs(x) * F.lit(scale)
+    near = F.rint(size)  # halves to even
+    return F.signum(x) * (near + F.when(size - near == 0.5, 1.0).otherwise(0.0)) / F.lit(scale)
+
+
 def rank_in_query(key: str) -> Column:
     """Position by score within a query, from 1; ties by key, so positions are unique."""
     return F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key))
@@ -57,7 +68,7 @@ def merge_first(*lists: DataFrame) -> DataFrame:
 def _fused(union: DataFrame, key: str, score: Column, base: tuple[str, ...]) -> DataFrame:
     """Parts added up per query and key; the ``base`` columns are those of the first list that has the key."""
     first = [F.min_by(F.struct(*base), "source_order").alias("base")] if base else []
-    return union.groupBy("query_id", key).agg(F.round(score, DIGITS).alias("score"), *first).select("query_id", key, "score", *[f"base.{c}" for c in base])
+    return union.groupBy("query_id", key).agg(rounded(score).alias("score"), *first).select("query_id", key, "score", *[f"base.{c}" for c in base])
 
 
 def reciprocal_ranks(lists: list[tuple[DataFrame, float]], key: str, k: int = RRF_K, normalise: bool = True, base: tuple[str, ...] = ()) -> DataFrame:
@@ -88,7 +99,7 @@ def min_max(scored: DataFrame) -> DataFrame:
     """Scores of a query to [0, 1]; 1 where all are equal."""
     w = Window.partitionBy("query_id")
     low, span = F.min("score").over(w), F.max("score").over(w) - F.min("score").over(w)
-    return scored.withColumn("score", F.round(F.when(span == 0, 1.0).otherwise((F.col("score") - low) / span), DIGITS))
+    return scored.withColumn("score", rounded(F.when(span == 0, 1.0).otherwise((F.col("score") - low) / span)))
 
 
 def split_limit(limit: int, embedding_weight: float, bm25_weight: float, up: bool = False) -> tuple[int, int]:

@@ -62,7 +62,7 @@ def search(entries: bm25.Index | DataFrame, vectors: DataFrame, title_vectors: D
     if o.title_weight > 0 and o.content_weight > 0:
         return ranking.combine(title(entries, title_vectors, queries, o, base), content(entries, vectors, queries, o, base), o.title_weight, o.content_weight, o.top_k, base)
     only = title(entries, title_vectors, queries, o, base=base) if o.title_weight > 0 else content(entries, vectors, queries, o, base=base)
-    return ranking.top_per_query(only.withColumn("score", F.round("score", ranking.DIGITS)), o.top_k, "file_path")
+    return ranking.top_per_query(only.withColumn("score", ranking.rounded(F.col("score"))), o.top_k, "file_path")
 
 
 def detailed(results: DataFrame, notes: DataFrame, most: int) -> DataFrame:
@@ -77,7 +77,7 @@ def overlap_score(query: DataFrame, candidates: DataFrame) -> DataFrame:
     """
     q = query.select("query_id", F.array_distinct("tokens").alias("asked"))
     share = F.size(F.array_intersect("asked", "tokens")) / F.greatest(F.size("asked"), F.lit(1))
-    return candidates.join(q, "query_id").select("query_id", "chunk_id", "file_path", F.round(share, 6).alias("score"))
+    return candidates.join(q, "query_id").select("query_id", "chunk_id", "file_path", ranking.rounded(share).alias("score"))
 
 
 def with_texts(entries: bm25.Index | DataFrame, chunks: DataFrame, most: int, titles: bool = False) -> DataFrame:

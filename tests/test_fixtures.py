@@ -71,6 +71,18 @@ def test_combine_sides(spark):
     assert list(scores(ranking.combine(hits(spark, ("a", 3), ("b", 2), ("c", 1)), none, 1.0, 0.0, 2))) == ["a", "b"]
 
 
+def test_combined_scores_round_as_sql(spark):
+    """Sums of quarters that are a half of the last digit, whose doubles may stand just below it."""
+    duckdb = pytest.importorskip("duckdb")
+    pairs = [(t / 1e6, c / 1e6) for t in range(400001, 400200) for c in (500003, 611117, 733331) if (t + 3 * c) % 4 == 2]
+    side = lambda at: spark.createDataFrame([(1, f"{i:04}", p[at]) for i, p in enumerate(pairs)], "query_id int, file_path string, score double")
+    sql = duckdb.connect().execute(f"SELECT round(t * 0.25::DOUBLE + c * 0.75::DOUBLE, 6) FROM (VALUES {', '.join(f'({i}, {t!r}::DOUBLE, {c!r}::DOUBLE)' for i, (t, c) in enumerate(pairs))}) v(i, t, c) ORDER BY i").fetchall()
+    got = scores(ranking.combine(side(0), side(1), 1.0, 3.0, len(pairs)))
+    assert [got[k] for k in sorted(got)] == [r[0] for r in sql]
+    odd = spark.createDataFrame([(x,) for x in (0.25, -0.25, 0.35, 1e300, float("inf"), 0.0, None)], "x double")
+    assert [r[0] for r in odd.select(ranking.rounded(F.col("x"), 1)).collect()] == [0.3, -0.3, 0.4, 1e300, float("inf"), 0.0, None]
+
+
 def test_min_max_and_limits(spark):
     assert set(scores(ranking.min_max(hits(spark, ("a", 2), ("b", 2), ("c", 2)))).values()) == {1.0}
     assert scores(ranking.min_max(hits(spark, ("a", 1), ("b", 3)))) == {"a": 0.0, "b": 1.0}
