@@ -248,9 +248,12 @@ def _windows(text: str, most: int) -> Iterator[str]:
     yield text[at:]
 
 
-def _encoder(path: str, step_bytes: int, held: int):
+def _encoder(path: str, step_bytes: int, held: int, form: str | None = None):
+    """With a ``form``, ids are decoded again in the same worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(("transducer", path, held), lambda: Encoder(path, held))
+        machine = form and Decoder(encoder.merges, form)
         for block in _blocks(batches, step_bytes):
             row = block["row"].combine_chunks()
             row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
@@ -265,7 +268,8 @@ def _encoder(path: str, step_bytes: int, held: int):
             for i in range(0, len(lens), ROWS_OUT):
                 j = min(i + ROWS_OUT, len(lens))
                 ids = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.array(flat[ends[i] : ends[j]].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([row.slice(i, j - i), ids], ["row", "ids"])
+                decoded = {"decoded": _texts(machine, ids)} if machine else {}
+                yield pa.RecordBatch.from_arrays([row.slice(i, j - i), ids, *decoded.values()], ["row", "ids", *decoded])
 
     return run
 
@@ -321,18 +325,22 @@ class Decoder:
         return out
 
 
+def _texts(machine: Decoder, part: pa.ListArray) -> pa.Array:
+    """The text of each list of ids; null lists have none."""
+    part = part.fill_null([]) if part.null_count else part
+    ids, ends, out = part.flatten().to_numpy(), spans(np.asarray(part.value_lengths().to_numpy(zero_copy_only=False), np.int64)), []
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        machine.reset()
+        out.append("".join([machine.feed(ids[k : min(k + STEP_IDS, b)]) for k in range(a, b, STEP_IDS)]) + machine.feed(ids[:0], True))
+    return pa.array(out, pa.string())
+
+
 def _decoder(path: str, form: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Decoder(per_worker(("merges", path), lambda: Merges(path)), form)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS_OUT):
-                part = batch["ids"].slice(i, ROWS_OUT)
-                part = part.fill_null([]) if part.null_count else part
-                ids, ends, out = part.flatten().to_numpy(), spans(np.asarray(part.value_lengths().to_numpy(zero_copy_only=False), np.int64)), []
-                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                    machine.reset()
-                    out.append("".join([machine.feed(ids[k : min(k + STEP_IDS, b)]) for k in range(a, b, STEP_IDS)]) + machine.feed(ids[:0], True))
-                yield pa.RecordBatch.from_arrays([batch["row"].slice(i, ROWS_OUT), pa.array(out, pa.string())], ["row", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch["row"].slice(i, ROWS_OUT), _texts(machine, batch["ids"].slice(i, ROWS_OUT))], ["row", "decoded"])
 
     return run
 
@@ -342,3 +350,11 @@ def decode(docs: DataFrame, path: str, form: str = "tokens", ids_col: str = "ids
     rows = docs.select(packed(docs, "decoded").alias("row"), quoted(ids_col)[0].alias("ids"))
     schema = rows.select("row", F.lit("").alias("decoded")).schema
     return rows.mapInArrow(_decoder(path, form), schema).select(*[F.col("row").getField(c).alias(c) for c in without(docs, "decoded")], "decoded")
+
+
+def round_trip(docs: DataFrame, path: str, form: str = "tokens", carry: list[str] | None = None, step_bytes: int = STEP_BYTES, held: int = HELD, text_col: str = "text") -> DataFrame:
+    """Add ids and decoded: what ``encode`` and then ``decode`` add, in one step, so that a task has one Python worker and ids are sent once."""
+    kept = docs.select(*quoted(*(carry if carry is not None else docs.columns)))
+    rows = docs.select(packed(kept, "ids", "decoded").alias("row"), quoted(text_col)[0].alias("text"))
+    schema = rows.select("row", F.array(F.lit(0)).alias("ids"), F.lit("").alias("decoded")).schema
+    return rows.mapInArrow(_encoder(path, step_bytes, held, form), schema).select(*[F.col("row").getField(c).alias(c) for c in without(kept, "ids", "decoded")], "ids", "decoded")

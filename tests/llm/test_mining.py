@@ -128,6 +128,19 @@ def test_transducer_equals_the_library_and_decodes(spark, library, step, held):
     assert transducer.decode(transducer.encode(empty, PATH), PATH).count() == 0
 
 
+@pytest.mark.parametrize("step, held", [(4 << 20, 250_000), (300, 5)])
+def test_a_round_trip_takes_one_python_step(spark, library, step, held):
+    """Two steps in one task are two workers, each with its tables and memory of its own."""
+    texts = [*ODD, *random_texts(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("IDS", F.lit("clash")).withColumn("Decoded", F.lit(1)).repartition(3)
+    out = transducer.round_trip(df, PATH, step_bytes=step, held=held)
+    assert out.columns == ["doc_id", "text", "ids", "decoded"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    expected = encoded(library, texts)
+    assert [(r["ids"], r["decoded"]) for r in sorted(out.collect(), key=lambda r: r["doc_id"])] == [(e, library.decode(e, skip_special_tokens=False)) for e in expected]
+    assert transducer.round_trip(df.limit(0), PATH).count() == 0
+
+
 def test_a_window_gives_what_the_whole_piece_gives(library):
     merges = transducer.Merges(PATH)
     rng = random.Random(2)
