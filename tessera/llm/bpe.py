@@ -147,9 +147,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _encoder(path: str, pattern: str, block_bytes: int):
+def _encoder(path: str, pattern: str, block_bytes: int, back: bool = False):
+    """``back``: ids are decoded again in the same worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = per_worker(("bpe", path, pattern), lambda: UnitIds(regex.compile(pattern).findall, Replay(read_ranks(path)).pieces, HELD, HELD_CHARS))
+        tokens = Tokens(read_ranks(path)) if back else None
         for block in _blocks(batches, block_bytes):
             cache.start()
             numbers, units = cache.add([text or "" for text in block["text"].to_pylist()])
@@ -161,7 +164,8 @@ def _encoder(path: str, pattern: str, block_bytes: int):
                 flat, lens = cache.ids(numbers[at[i] : at[j]])
                 ends = spans(lens)[at[i : j + 1] - at[i]]
                 ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), ids], ["row", "ids"])
+                decoded = {"decoded": tokens.decode(ids)} if tokens else {}
+                yield pa.RecordBatch.from_arrays([rows.slice(i, j - i), ids, *decoded.values()], ["row", "ids", *decoded])
 
     return run
 
@@ -179,21 +183,31 @@ def encode(docs: DataFrame, path: str, pattern: str, carry: list[str] | None = N
     return rows.mapInArrow(_encoder(path, pattern, block_bytes), schema).select(*[F.col("row").getField(c).alias(c) for c in without(kept, "ids")], "ids")
 
 
+class Tokens:
+    """The bytes of all tokens end to end."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        tokens = sorted((i, t) for t, i in ranks.items())
+        self.lens = np.zeros(tokens[-1][0] + 1, np.int64)
+        self.lens[[i for i, _ in tokens]] = [len(t) for _, t in tokens]
+        self.flat, self.starts = np.frombuffer(b"".join(t for _, t in tokens), np.uint8), spans(self.lens)[:-1]
+
+    def decode(self, part: pa.ListArray) -> pa.Array:
+        """The bytes of each list of ids."""
+        values = part.flatten().to_numpy()
+        own = self.lens[values]
+        ends = spans(own)[spans(np.asarray(part.value_lengths().to_numpy(zero_copy_only=False), np.int64))]
+        buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(gather(self.flat, self.starts[values], own))]
+        return pa.Array.from_buffers(pa.binary(), len(part), buffers)
+
+
 def _decoder(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted((i, t) for t, i in read_ranks(path).items())
-        lens = np.zeros(tokens[-1][0] + 1, np.int64)
-        lens[[i for i, _ in tokens]] = [len(t) for _, t in tokens]
-        flat, starts = np.frombuffer(b"".join(t for _, t in tokens), np.uint8), spans(lens)[:-1]
+        tokens = Tokens(read_ranks(path))
         for batch in batches:
             ids = batch["ids"].fill_null([]) if batch["ids"].null_count else batch["ids"]
             for i in range(0, batch.num_rows, ROWS_OUT):
-                part = ids.slice(i, ROWS_OUT)
-                values = part.flatten().to_numpy()
-                own = lens[values]
-                ends = spans(own)[spans(np.asarray(part.value_lengths().to_numpy(zero_copy_only=False), np.int64))]
-                buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(gather(flat, starts[values], own))]
-                yield pa.RecordBatch.from_arrays([batch["row"].slice(i, ROWS_OUT), pa.Array.from_buffers(pa.binary(), len(part), buffers)], ["row", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch["row"].slice(i, ROWS_OUT), tokens.decode(ids.slice(i, ROWS_OUT))], ["row", "decoded"])
 
     return run
 
@@ -203,3 +217,11 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     rows = docs.select(packed(docs, "decoded").alias("row"), quoted(ids_col)[0].alias("ids"))
     schema = rows.select("row", F.lit(b"").alias("decoded")).schema
     return rows.mapInArrow(_decoder(path), schema).select(*[F.col("row").getField(c).alias(c) for c in without(docs, "decoded")], "decoded")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, carry: list[str] | None = None, block_bytes: int = BLOCK_BYTES, text_col: str = "text") -> DataFrame:
+    """Add ids and decoded: what ``encode`` and then ``decode`` add, in one step, so that a task has one Python worker and ids are sent once."""
+    kept = docs.select(*quoted(*(carry if carry is not None else docs.columns)))
+    rows = docs.select(packed(kept, "ids", "decoded").alias("row"), quoted(text_col)[0].alias("text"))
+    schema = rows.select("row", F.array(F.lit(0)).alias("ids"), F.lit(b"").alias("decoded")).schema
+    return rows.mapInArrow(_encoder(path, pattern, block_bytes, back=True), schema).select(*[F.col("row").getField(c).alias(c) for c in without(kept, "ids", "decoded")], "ids", "decoded")

@@ -389,6 +389,21 @@ def test_bpe_equals_the_library_and_decodes(spark, docs):
     assert len(out) == docs.count() and bpe.encode(empty(spark), path, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("block", [4 << 20, 200])
+def test_bpe_round_trip_takes_one_python_step(spark, docs, block):
+    """Two steps in one task are two workers, each with its tables and memory of its own."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    out = bpe.round_trip(docs.withColumn("IDS", F.lit("clash")).withColumn("decoded", F.lit(1)), path, public_tokenizers.PATTERN, block_bytes=block)
+    assert out.columns == [*docs.columns, "ids", "decoded"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    rows = out.collect()
+    assert all(r["ids"] == library.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode() for r in rows)
+    assert len(rows) == docs.count() and bpe.round_trip(empty(spark), path, public_tokenizers.PATTERN).count() == 0
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline as p
 
