@@ -7,6 +7,7 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,22 +92,34 @@ def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     return out
 
 
+def _lots(*texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose texts reach ``LOT`` characters with their last row; only so many are Python strings at once."""
+    ends = np.cumsum(sum(pc.fill_null(pc.utf8_length(t), 0).to_numpy(zero_copy_only=False).astype(np.int64) for t in texts))
+    i = 0
+    while i < len(ends):
+        j = min(int(np.searchsorted(ends, (int(ends[i - 1]) if i else 0) + LOT)) + 1, len(ends))
+        yield i, j
+        i = j
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The lines of each text that are not blank: their number, digest and band keys."""
     for batch in batches:
-        row, no, lines = [], [], []
-        for i, text in enumerate(batch["text"].to_pylist()):
-            for j, line in enumerate((text or "").split("\n")):
-                if line and not line.isspace():
-                    row.append(i)
-                    no.append(j)
-                    lines.append(line)
-        start = size = 0
-        for k, line in enumerate(lines):
-            size += len(line)
-            if size >= LOT or k + 1 == len(lines):
-                yield _occurrence(batch, row[start : k + 1], no[start : k + 1], lines[start : k + 1])
-                start, size = k + 1, 0
+        for first, end in _lots(batch["text"]):
+            part = batch.slice(first, end - first)
+            row, no, lines = [], [], []
+            for i, text in enumerate(part["text"].to_pylist()):
+                for j, line in enumerate((text or "").split("\n")):
+                    if line and not line.isspace():
+                        row.append(i)
+                        no.append(j)
+                        lines.append(line)
+            start = size = 0
+            for k, line in enumerate(lines):
+                size += len(line)
+                if size >= LOT or k + 1 == len(lines):
+                    yield _occurrence(part, row[start : k + 1], no[start : k + 1], lines[start : k + 1])
+                    start, size = k + 1, 0
 
 
 def _occurrence(batch: pa.RecordBatch, row: list[int], no: list[int], lines: list[str]) -> pa.RecordBatch:
@@ -127,17 +140,12 @@ def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose whole shingle sets are similar; each line of a lot is cut into shingles once."""
     for batch in batches:
-        a, b, la, lb = (batch[c].to_pylist() for c in ("a", "b", "la", "lb"))
-        start = size = 0
-        for k in range(len(a)):
-            size += len(la[k]) + len(lb[k])
-            if size < LOT and k + 1 < len(a):
-                continue
-            held = dict(zip(a[start : k + 1], la[start : k + 1], strict=True)) | dict(zip(b[start : k + 1], lb[start : k + 1], strict=True))
+        for first, end in _lots(batch["la"], batch["lb"]):
+            a, b, la, lb = (batch[c].slice(first, end - first).to_pylist() for c in ("a", "b", "la", "lb"))
+            held = dict(zip(a, la, strict=True)) | dict(zip(b, lb, strict=True))
             sets = dict(zip(held, shingle_sets(list(held.values())), strict=True))
-            near = [i for i in range(start, k + 1) if similar(sets[a[i]], sets[b[i]], SIMILAR)]
+            near = [i for i in range(len(a)) if similar(sets[a[i]], sets[b[i]], SIMILAR)]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in near], pa.int64()) for x in (a, b)], ["a", "b"])
-            start, size = k + 1, 0
 
 
 def _tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -225,6 +225,33 @@ def test_line_dedup_against_brute_force(spark, monkeypatch, small, hubs, tile):
     assert {(r["row"], r["dk"], r["copy"]) for r in out.values()} == {(1, 1, 1)} and len(out) == len(texts)
 
 
+def test_lots_of_lines_bound_what_a_batch_takes(monkeypatch):
+    """A batch of long lines is compared and sketched lot by lot; what one lot gives, many give."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pool = [words(i, 300) for i in range(20)]
+    text = lambda i: pool[i % 20]
+    pairs = pa.RecordBatch.from_pydict({"a": list(range(1500)), "b": list(range(5000, 6500)), "la": [text(i) for i in range(1500)], "lb": [text(i + i % 2) for i in range(1500)]})
+    docs = pa.RecordBatch.from_pydict({"id": list(range(1500)), "dk": list(range(1500)), "th": [0] * 1500, "text": [text(i) + "\n" + text(i + 1) if i % 7 else None for i in range(1500)]})
+    monkeypatch.setattr(line_dedup, "LOT", 1 << 16)
+    monkeypatch.setattr(line_dedup, "STEP", 1 << 12)
+    for run, batch in ((line_dedup._verify, pairs), (line_dedup._occurrences, docs)):
+        list(run(iter([batch.slice(1, 1)])))  # makes the tables of powers, which stay
+        total = 0
+        tracemalloc.start()
+        for out in run(iter([batch])):
+            total += out.num_rows
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        size = batch.nbytes
+        assert size > 4e6 and peak < size, (run.__name__, peak, size)
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "LOT", 1 << 30)
+            assert total == sum(out.num_rows for out in run(iter([batch]))) > 700
+
+
 def test_line_dedup_of_repeated_rows(spark):
     text = f"{words(1, 20)}\n{words(2, 20)}"
     rows = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None), (2, "other"), (None, "alone")], "doc_id long, text string")
