@@ -21,56 +21,76 @@ BANDS, ROWS = 7, 3
 SIMILAR = 0.8
 #: Characters hashed at once: a longer line goes in pieces that overlap by a shingle.
 STEP = 1 << 16
+#: Bytes of lines hashed at once, so that the arrays stay in a core's cache.
+RUN = 1 << 15
 #: Rows of a tile, and its characters: the rest of a large bucket meets so many of its lines at once.
 TILE, TILE_CHARS = 256, 1 << 22
+#: Columns of an incidence matrix that are held at once; steps of a matrix product that take as long as one pair.
+COLUMNS, PAIR = 1 << 12, 1 << 17
 #: Text characters whose lines are sketched or compared together.
 LOT = 1 << 22
 
+_KEYS = [f"k{b}" for b in range(BANDS)]
 _MULTIPLY = (np.random.default_rng(11).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 
 
-def _pieces(lines: list[str]) -> tuple[list[bytes], np.ndarray]:
+def _lower(lines: list[str]) -> list[bytes]:
+    return [line.lower().encode() for line in lines]
+
+
+def _pieces(lines: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     """The lower-cased lines, long ones cut into overlapping pieces, and where each line's pieces start."""
+    if max(map(len, lines), default=0) <= STEP:
+        return lines, np.arange(len(lines))
     out, starts = [], []
     for line in lines:
         starts.append(len(out))
-        low = line.lower()
-        if len(low) <= STEP:
-            out.append(low.encode())
+        if len(line) <= STEP:
+            out.append(line)
         else:
+            low = line.decode()
             out += [low[i : i + STEP + CHARS - 1].encode() for i in range(0, max(1, len(low) - CHARS + 1), STEP)]
     return out, np.array(starts)
 
 
 def _shingles(pieces: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first piece, shingle hashes, start of each piece's) for runs of pieces; a short piece is one shingle."""
+    """(first piece, hashes, start and end of each piece's shingles among them) for runs of pieces; a short piece is one shingle.
+
+    A hash is taken at every character; those behind a piece's end are nobody's. The last one is a filler, so that an end is a place.
+    """
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(sizes)
     i = 0
     while i < len(pieces):
         before = int(ends[i - 1]) if i else 0
-        j = max(i + 1, int(np.searchsorted(ends, before + 2 * STEP, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, before + RUN, "right")))
         data = np.frombuffer(b"".join(pieces[i:j]), np.uint8)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTE[data] * _power("up", _BASE, len(data)), out=total[1:])
-        chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        chars = np.append(np.flatnonzero(data.view(np.int8) >= -64), len(data))
         edge = np.searchsorted(chars, np.concatenate([[0], ends[i:j] - before]))
-        counts = np.maximum(1, np.diff(edge) - CHARS + 1)
-        starts = np.concatenate([[0], np.cumsum(counts)])
-        at = np.repeat(edge[:-1] - starts[:-1], counts) + np.arange(starts[-1])
-        s, e = chars[at], chars[np.minimum(at + CHARS, np.repeat(edge[1:], counts))]
-        yield i, mix((total[e] - total[s]) * _power("down", _INVERSE, len(data))[s] + (e - s).astype(np.uint64)), starts
+        units = np.diff(edge)
+        # Shingles end CHARS characters on, but for pieces that are shorter.
+        until = np.append(chars[CHARS:], np.full(min(CHARS, len(chars)), len(data)))
+        short = np.flatnonzero(units < CHARS)
+        until[edge[short]] = chars[edge[short + 1]]
+        sums = (total[until] - total[chars]) * _power("down", _INVERSE, len(data) + 1)[chars] + (until - chars).view(np.uint64)
+        yield i, mix(sums), np.stack([edge[:-1], edge[:-1] + np.maximum(1, units - CHARS + 1)], axis=1)
         i = j
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
     """A key per band for each line: a hash of the band and the least of its shingles' hashes under each of the band's permutations."""
+    return _band_keys(_lower(lines))
+
+
+def _band_keys(lines: list[bytes]) -> np.ndarray:
     pieces, starts = _pieces(lines)
     least = np.empty((len(pieces), BANDS * ROWS), np.uint32)
     for i, h, at in _shingles(pieces):
         halves = h.astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32)
         for v, m in enumerate(_MULTIPLY):
-            least[i : i + len(at) - 1, v] = np.minimum.reduceat(halves[v % 2] * m, at[:-1])
+            least[i : i + len(at), v] = np.minimum.reduceat(halves[v % 2] * m, at.reshape(-1))[::2]
     values = np.minimum.reduceat(least, starts).reshape(-1, BANDS, ROWS) if len(lines) else least.reshape(0, BANDS, ROWS)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), values.shape[:2])
     for r in range(ROWS):
@@ -80,10 +100,10 @@ def band_keys(lines: list[str]) -> np.ndarray:
 
 def shingle_sets(lines: list[str]) -> list[np.ndarray]:
     """The sorted set of whole-line shingle hashes of each line."""
-    pieces, starts = _pieces(lines)
+    pieces, starts = _pieces(_lower(lines))
     found: list[np.ndarray] = []
     for _, h, at in _shingles(pieces):
-        found += (h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        found += (h[a:b].copy() for a, b in at.tolist())
     edges, out = [*starts.tolist(), len(pieces)], []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         one = found[a] if b == a + 1 else np.concatenate(found[a:b])
@@ -107,34 +127,29 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end in _lots(batch["text"]):
             part = batch.slice(first, end - first)
-            row, no, lines = [], [], []
+            row, no, digests, lines = [], [], [], []
+            size = 0
             for i, text in enumerate(part["text"].to_pylist()):
-                for j, line in enumerate((text or "").split("\n")):
+                # A line feed ends the context of every letter, so the whole text is lower-cased and encoded at once.
+                whole = zip((text or "").split("\n"), (text or "").encode().split(b"\n"), (text or "").lower().encode().split(b"\n"), strict=True)
+                for j, (line, data, low) in enumerate(whole):
                     if line and not line.isspace():
                         row.append(i)
                         no.append(j)
-                        lines.append(line)
-            start = size = 0
-            for k, line in enumerate(lines):
-                size += len(line)
-                if size >= LOT or k + 1 == len(lines):
-                    yield _occurrence(part, row[start : k + 1], no[start : k + 1], lines[start : k + 1])
-                    start, size = k + 1, 0
+                        digests.append(md5(data).digest())
+                        lines.append(low)
+                        size += len(line)
+                        if size >= LOT:
+                            yield _occurrence(part, row, no, digests, lines)
+                            row, no, digests, lines, size = [], [], [], [], 0
+            if lines:
+                yield _occurrence(part, row, no, digests, lines)
 
 
-def _occurrence(batch: pa.RecordBatch, row: list[int], no: list[int], lines: list[str]) -> pa.RecordBatch:
-    at, n = pa.array(row, pa.int32()), len(lines)
-    keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(band_keys(lines).reshape(-1)))
-    digests = pa.array([md5(line.encode()).digest() for line in lines], pa.binary())
-    return pa.RecordBatch.from_arrays([batch["id"].take(at), batch["dk"].take(at), batch["th"].take(at), pa.array(no, pa.int32()), digests, keys], ["id", "dk", "th", "no", "same", "keys"])
-
-
-def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(nid, line) for the numbered lines of each text."""
-    for batch in batches:
-        for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-            lines, asked = text.as_py().split("\n"), wanted.as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([w["nid"] for w in asked], pa.int64()), pa.array([lines[w["no"]] for w in asked], pa.string())], ["nid", "line"])
+def _occurrence(batch: pa.RecordBatch, row: list[int], no: list[int], same: list[bytes], lines: list[bytes]) -> pa.RecordBatch:
+    at = pa.array(row, pa.int32())
+    keys = [pa.array(k) for k in np.ascontiguousarray(_band_keys(lines).T)]
+    return pa.RecordBatch.from_arrays([batch["dk"].take(at), batch["th"].take(at), pa.array(no, pa.int32()), pa.array(same, pa.binary()), *keys], ["dk", "th", "no", "same", *_KEYS])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +163,49 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in near], pa.int64()) for x in (a, b)], ["a", "b"])
 
 
+def _alike(sx: list[np.ndarray], sy: list[np.ndarray], asked: np.ndarray) -> np.ndarray:
+    """Which asked pairs of sets are similar: one by one if they are few, else by the product of the sets' incidence matrices, some columns at a time."""
+    nx, ny = (np.fromiter(map(len, s), np.int64, len(s)) for s in (sx, sy))
+    least, most = np.minimum.outer(nx, ny), np.maximum.outer(nx, ny)
+    asked = asked & (least >= SIMILAR * most - 1e-9)
+    x, y = np.flatnonzero(asked.any(axis=1)), np.flatnonzero(asked.any(axis=0))
+    out = np.zeros(asked.shape, bool)
+    if not len(x):
+        return out
+    hx, hy = (np.concatenate([s[i] for i in at]) for s, at in ((sx, x), (sy, y)))
+    common = np.intersect1d(hx, hy)
+    if np.count_nonzero(asked) * PAIR < len(x) * len(y) * len(common):
+        for i, j in np.argwhere(asked).tolist():
+            out[i, j] = similar(sx[i], sy[j], SIMILAR)
+        return out
+    both = np.zeros((len(x), len(y)), np.int64)
+    if len(common):
+        sides = []
+        for h, n in ((hx, nx[x]), (hy, ny[y])):
+            column = np.minimum(np.searchsorted(common, h), len(common) - 1)
+            kept = np.flatnonzero(common[column] == h)
+            kept = kept[np.argsort(column[kept], kind="stable")]
+            sides.append((np.repeat(np.arange(len(n)), n)[kept], column[kept], len(n)))
+        for c in range(0, len(common), COLUMNS):
+            parts = []
+            for row, column, n in sides:
+                a, b = np.searchsorted(column, [c, c + COLUMNS])
+                part = np.zeros((n, min(COLUMNS, len(common) - c)), np.float32)
+                part[row[a:b], column[a:b] - c] = 1
+                parts.append(part)
+            both += (parts[0] @ parts[1].T).astype(np.int64)
+    at = np.ix_(x, y)
+    out[at] = asked[at] & (both >= SIMILAR * (np.add.outer(nx[x], ny[y]) - both) - 1e-9)
+    return out
+
+
 def _tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Links between two lots of a bucket's lines, as few as join what they join; a pair is looked at in the first band that it shares."""
     found: list[tuple[int, int]] = []
     if left.num_rows and right.num_rows:
         sx, sy = (shingle_sets(t["line"].to_pylist()) for t in (left, right))
         kx, ky = (np.array(t["keys"].to_pylist(), np.int64) for t in (left, right))
+        cx, cy = (t["comp"].to_numpy() for t in (left, right))
         nx, ny, head = left["nid"].to_pylist(), right["nid"].to_pylist(), {}
         band = int(np.flatnonzero(kx[0] == key[0].as_py())[0])
 
@@ -163,30 +215,37 @@ def _tile(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
                 i = up
             return i
 
-        for n, c in zip(nx + ny, left["comp"].to_pylist() + right["comp"].to_pylist(), strict=True):
+        for n, c in zip(nx + ny, cx.tolist() + cy.tolist(), strict=True):
             head[n] = head.setdefault(-1 - c, n)
-        for i, n in enumerate(nx):
-            for j in np.flatnonzero((kx[i] == ky).argmax(axis=1) == band).tolist():
-                if root(n) != root(ny[j]) and similar(sx[i], sy[j], SIMILAR):
-                    head[root(n)] = root(ny[j])
-                    found.append((min(n, ny[j]), max(n, ny[j])))
+        earlier = np.zeros((len(nx), len(ny)), bool)
+        for k in range(band):
+            earlier |= np.equal.outer(kx[:, k], ky[:, k])
+        for i, j in np.argwhere(_alike(sx, sy, ~earlier & np.not_equal.outer(cx, cy))).tolist():
+            if root(nx[i]) != root(ny[j]):
+                head[root(nx[i])] = root(ny[j])
+                found.append((min(nx[i], ny[j]), max(nx[i], ny[j])))
     return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
+def _hashed(small: DataFrame) -> DataFrame:
+    """The side of a join that tasks hold in a hash table, so that the other is not sorted; its partitions are a fraction of the other's."""
+    return small.hint("shuffle_hash")
+
+
 def _checker(rows: DataFrame, nodes: DataFrame):
     def prepare(multi: DataFrame):
-        asked = nodes.join(multi.select("nid").distinct(), "nid", "left_semi").select("nid", "first.dk", "first.th", "first.no")
-        asked = stored(asked.groupBy("dk", "th").agg(F.collect_list(F.struct("nid", "no")).alias("wanted")), "asked-lines")
-        met = rows.select("dk", "th", "text").join(asked, ["dk", "th"]).select("text", "wanted")
+        met = stored(nodes.join(_hashed(multi.select("nid").distinct()), "nid", "left_semi").select("nid", "keys", "dk", "th", "no"), "asked-nodes")
+        asked = stored(met.groupBy("dk", "th").agg(F.collect_list(F.struct("nid", "no")).alias("wanted")), "asked-lines")
+        wanted = F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("wanted", lambda w: F.struct(w["nid"].alias("nid"), F.get(lines, w["no"]).alias("line"))))[0]
         # Rows that repeat id and text give a line once each.
-        texts = stored(met.mapInArrow(_wanted, "nid long, line string").dropDuplicates(["nid"]), "line-texts")
+        texts = stored(rows.select("dk", "th", "text").join(_hashed(asked), ["dk", "th"]).select(F.inline(wanted)).dropDuplicates(["nid"]), "line-texts")
 
         def check(pairs: DataFrame) -> DataFrame:
             la, lb = (texts.select(F.col("nid").alias(s), F.col("line").alias(f"l{s}")) for s in "ab")
             return pairs.join(la, "a").join(lb, "b").select("a", "b", "la", "lb").mapInArrow(_verify, "a long, b long")
 
         def rest(away: DataFrame, tagged: DataFrame) -> DataFrame:
-            held = stored(nodes.select("nid", "keys").join(texts, "nid"), "rest-lines")
+            held = stored(met.select("nid", "keys").join(texts, "nid"), "rest-lines")
             sized = lambda t, name: t.join(held.select("nid", F.length("line").alias("chars")), "nid").groupBy("key").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("chars") / TILE_CHARS)).cast("int").alias(name))
             lots = stored(sized(tagged, "lots_b").join(sized(away, "lots_a"), "key"), "lots")
             lot = lambda n: F.pmod(F.xxhash64("nid"), F.col(n)).cast("int")
@@ -225,21 +284,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         packed(docs, "n_lines", "n_dropped", text_col).alias("row"), doc_id.alias("id"), doc_text.alias("text"),
         F.xxhash64(doc_id, doc_text).alias("dk"), F.xxhash64(F.lit("again"), doc_id, doc_text).alias("th"),
     )
-    id_type = rows.schema["id"].dataType.simpleString()
-    seen = rows.select("id", "dk", "th", "text").mapInArrow(_occurrences, f"id {id_type}, dk long, th long, no int, same binary, keys array<long>")
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "dk", "th", "no")).alias("first")
-    nodes = stored(seen.groupBy("same").agg(F.first("keys").alias("keys"), first, F.count("*").alias("n")).withColumn("nid", F.monotonically_increasing_id()), "line-nodes")
+    seen = rows.select("dk", "th", "text").mapInArrow(_occurrences, f"dk long, th long, no int, same binary, {', '.join(f'{k} long' for k in _KEYS)}")
+    # Equal lines have equal keys. Numbers only, so that tasks add up in a hash table; the three firsts are one occurrence's.
+    met = seen.groupBy("same").agg(*[F.min(k).alias(k) for k in _KEYS], *[F.first(c).alias(c) for c in ("dk", "th", "no")], F.count("*").alias("n"))
+    nodes = stored(met.select("same", F.array(*_KEYS).alias("keys"), "dk", "th", "no", "n", F.monotonically_increasing_id().alias("nid")), "line-nodes")
     bands = nodes.select(F.explode("keys").alias("key"), "nid", F.col("n").alias("w"))
     comp = components(link(bands, _checker(rows, nodes)))
-    classed = stored(nodes.select("same", "nid", "first", "n").join(comp, "nid", "left").select("same", "first", "n", F.coalesce("comp", "nid").alias("comp")), "line-classes")
+    # A line that occurs once and has no link is nobody's copy.
+    linked = nodes.select("same", "nid", "n").join(_hashed(comp), "nid", "left").where("n > 1 or comp is not null")
+    shared = stored(linked.select("same", F.coalesce("comp", "nid").alias("comp")), "shared-lines")
     forget(nodes, comp)
-    stays = stored(classed.groupBy("comp").agg(F.min("first").alias("stays"), F.sum("n").alias("all")).where("all > 1"), "line-heads")
-    shared = stored(classed.join(stays, "comp").select("same", F.col("stays.dk").alias("keep_dk"), F.col("stays.th").alias("keep_th"), F.col("stays.no").alias("keep_no")), "shared-lines")
-    placed = rows.select("dk", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).select("dk", "th", "no", F.unhex(F.md5("line")).alias("same"))
-    stay = (F.col("dk") == F.col("keep_dk")) & (F.col("th") == F.col("keep_th")) & (F.col("no") == F.col("keep_no"))
-    found = placed.join(shared, "same").groupBy("dk", "th").agg(F.collect_set("no").alias("every"), F.collect_set(F.when(stay, F.col("no"))).alias("stay"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "dk", "th", "no")
+    placed = rows.select("id", "dk", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).select(place.alias("place"), F.unhex(F.md5("line")).alias("same"))
+    copies = stored(placed.join(_hashed(shared), "same").select("comp", "place"), "line-copies")
+    stays = stored(copies.groupBy("comp").agg(F.min("place").alias("stays")), "line-heads")
+    no = F.col("place.no")
+    found = copies.join(stays, "comp").groupBy("place.dk", "place.th").agg(F.collect_set(no).alias("every"), F.collect_set(F.when(F.col("place") == F.col("stays"), no)).alias("stay"))
     gone = stored(found, "gone-lines")
-    forget(classed, stays, shared)
+    forget(shared, copies, stays)
     copy = F.row_number().over(Window.partitionBy("dk", "th").orderBy("dk"))
     dropped = F.when(F.col("copy") > 1, F.col("every")).otherwise(F.array_except("every", "stay"))
     told = rows.withColumn("copy", copy).join(gone, ["dk", "th"], "left").withColumn("gone", F.when(F.col("every").isNull(), F.array().cast("array<int>")).otherwise(dropped))

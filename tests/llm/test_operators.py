@@ -252,6 +252,32 @@ def test_lots_of_lines_bound_what_a_batch_takes(monkeypatch):
             assert total == sum(out.num_rows for out in run(iter([batch]))) > 700
 
 
+def test_line_tiles_compare_no_pair_by_itself(monkeypatch):
+    """A full tile of a bucket is compared by matrix products; its links join what brute force joins, whatever the columns held at once."""
+    import pyarrow as pa
+
+    lines = [t for seed in range(4) for t in near_lines(60, seed)] + ["x", "y"]
+    keys, calls, one = line_dedup.band_keys(lines), [], line_dedup.similar
+    keys[:, 0] = 7
+    monkeypatch.setattr(line_dedup, "similar", lambda x, y, least: calls.append(1) or one(x, y, least))
+    side = lambda at: pa.table({"nid": pa.array(at, pa.int64()), "comp": pa.array(at, pa.int64()), "line": [lines[i] for i in at], "keys": keys[at].tolist()})
+    left, right = (list(range(k, len(lines), 2)) for k in (0, 1))
+    sets = [{t.lower()[k : k + 10] for k in range(max(1, len(t) - 9))} for t in lines]
+    comp = list(range(len(lines)))
+    for a in left:
+        for b in right:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and comp[a] != comp[b]:
+                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    for columns in (1 << 12, 50):
+        monkeypatch.setattr(line_dedup, "COLUMNS", columns, raising=False)
+        links = line_dedup._tile((pa.scalar(7),), side(left), side(right)).to_pylist()
+        found = list(range(len(lines)))
+        for e in links:
+            found = [min(found[e["a"]], found[e["b"]]) if c in (found[e["a"]], found[e["b"]]) else c for c in found]
+        assert found == comp and len(links) == len(lines) - len(set(comp))
+    assert len(calls) < len(lines)
+
+
 def test_line_dedup_of_repeated_rows(spark):
     text = f"{words(1, 20)}\n{words(2, 20)}"
     rows = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None), (2, "other"), (None, "alone")], "doc_id long, text string")
