@@ -5,7 +5,7 @@ import pytest
 from tessera.functions.text import references
 from tessera.jobs import catalog
 
-NAMES = ["fn21_page_text", "fn23_page_fallback", "fn22_main_text"]
+NAMES = ["fn21_page_text", "fn23_page_fallback", "fn22_main_text", "src17_capped_page_text"]
 PAGE = "<html><head><title>{0}</title></head><body><h1>{0}</h1><p>x &copy;</p><p>{0}</p></body></html>"
 CUTS = ["a &amp;&amp;&amp", "b &am", "c &quo", "d &lt", "e &", "f &amp;lt;"]
 
