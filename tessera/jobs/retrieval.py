@@ -204,10 +204,8 @@ def q4_vector_title(spark, sf_dir):
 
 def fn3_cosine(spark, sf_dir):
     """The stated queries, ids divisible by 20, against all vectors."""
-    v = corpus.table(spark, sf_dir, "embeddings")
-    a, b = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    near = a.join(b, F.col("a") != F.col("b"))
-    return near.select("a", "b", F.round(vector.cosine(F.col("x"), F.col("y")), 6).alias("score"))
+    v = corpus.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector.all_cosines(v.where("id % 20 = 0"), v)
 
 
 def aggregate(method: str):
